@@ -41,5 +41,17 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, fit(docs)).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op4_simhash, op5_packing, op8_language_id)}
+def op9_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .imatch import edited_neighbours
+
+    return edited_neighbours(_table(spark, sf_dir, "documents"))
+
+
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import shard_documents
+
+    return shard_documents(_table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op4_simhash, op5_packing, op8_language_id, op9_imatch, op10_sharding)}
 ORACLES: dict[str, str] = {}

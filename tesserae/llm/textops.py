@@ -50,11 +50,11 @@ def column(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, off - off[0]
 
 
-def slices(data: np.ndarray, off: np.ndarray, most: int = 1 << 21) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Row ranges of at most `most` bytes, or of one row: (first, last, bytes, offsets)."""
+def slices(data: np.ndarray, off: np.ndarray, most: int = 1 << 21, most_rows: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Row ranges of at most `most` bytes and `most_rows` rows, or of one row: (first, last, bytes, offsets)."""
     i, n = 0, len(off) - 1
     while i < n:
-        j = max(i + 1, int(np.searchsorted(off, off[i] + most, "right")) - 1)
+        j = min(max(i + 1, int(np.searchsorted(off, off[i] + most, "right")) - 1), i + most_rows)
         yield i, j, data[off[i] : off[j]], off[i : j + 1] - off[i]
         i = j
 
