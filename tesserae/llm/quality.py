@@ -139,7 +139,7 @@ def count_grams(docs: DataFrame, order: int = 4) -> DataFrame:
             langs = np.array(["" if x is None else x for x in batch.column("lang").to_pylist()], object)
             data, off = T.column(batch.column("text"))
             names, code = np.unique(langs.astype(str), return_inverse=True) if len(langs) else ([], np.zeros(0, np.int64))
-            for i, j, d, o in T.slices(data, off, 1 << 24):
+            for i, j, d, o in T.slices(data, off, 1 << 22):
                 starts, ends, first = T.words(d, o)
                 if not len(starts):
                     continue
@@ -276,7 +276,7 @@ def score(docs: DataFrame, model: dict, window: int = 5, own_share: float = 0.8)
             lang = [x if x in languages and x != "*" else "*" for x in batch.column("lang").to_pylist()]
             code = np.array([languages[x] for x in lang], np.int64)
             got: dict[str, list[np.ndarray]] = {x: [] for x in [*names, "nll", "n_scored"]}
-            for i, j, d, o in T.slices(data, off, 1 << 24):
+            for i, j, d, o in T.slices(data, off, 1 << 22):
                 b = base_metrics(d, o, window)
                 for x in names:
                     got[x].append(b[x].astype(np.int64))

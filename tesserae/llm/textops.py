@@ -29,7 +29,7 @@ def _powers(base: U64, n: int) -> np.ndarray:
         have[0] = 1
         with np.errstate(over="ignore"):
             np.multiply.accumulate(have, out=have)
-        if size <= 1 << 23:
+        if size <= 1 << 22:
             _POWERS[int(base)] = have
     return have[:n]
 
