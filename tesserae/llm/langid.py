@@ -105,7 +105,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
             langs = np.array(batch.column("lang").to_pylist(), dtype=object).astype(str)
             names, code = np.unique(langs, return_inverse=True) if len(langs) else ([], np.zeros(0, np.int64))
             data, off = T.column(batch.column("text"))
-            for i, j, d, o in T.slices(data, off, 1 << 23):
+            for i, j, d, o in T.slices(data, off, 1 << 21):
                 w = _Letters(d, o)
                 row = T.row_of(w.first)
                 for k in np.unique(code[i:j]):
@@ -195,7 +195,7 @@ def identify(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
         for batch in batches:
             data, off = T.column(batch.column("text"))
             pred, conf, n_words = [], [], []
-            for _, _, d, o in T.slices(data, off, 1 << 23):
+            for _, _, d, o in T.slices(data, off, 1 << 21):
                 w = _Letters(d, o)
                 count = np.diff(w.first)
                 if not len(m["languages"]) or not len(w.starts):
