@@ -1,6 +1,591 @@
-"""The queries of the search engine and their SQL."""
+"""The search engine's queries over the standard tables, with DuckDB SQL for the same rows.
+
+Queries share one index a session and data folder, built on first use and
+written to the shared folder.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .functions import scoring, text
+from .operators import index as ix
+from .operators import rank, suffixes, validate
+from .operators.match import fuzzy_join, match_terms
+from .plans import search as sp
+from .session import shared_folder, ship
+from .sources import documents as src
+from .sources import html
+
+#: The stop words of these queries, few so that the SQL can name them.
+STOP = frozenset("the of and to in is der die und le la de el que".split())
+_STOP_SQL = ", ".join(f"'{w}'" for w in sorted(STOP))
+_FOLDERS: dict[tuple[str, str], str] = {}
+LIMIT = 10
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a query by its function's name, with its SQL."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return src.document_corpus(_t(spark, sf_dir, "documents"))
+
+
+def _engine(spark: SparkSession, sf_dir: str) -> sp.Engine:
+    """The engine over the saved index of `documents`."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _FOLDERS:
+        path = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+        ix.Index.build(_corpus(spark, sf_dir), stop=STOP).save(path)
+        _FOLDERS[key] = path
+    return sp.Engine.load(spark, _FOLDERS[key])
+
+
+def _r(c: str, digits: int = 6):
+    return F.round(F.col(c).cast("double"), digits).alias(c)
+
+
+# SQL building blocks
+
+_TOKENS = rf"""docs AS (SELECT doc_id, text, source, split_part(text, chr(10), 1) AS title, strlen(text) AS text_len FROM documents WHERE text IS NOT NULL),
+chunk_lists AS (SELECT doc_id, text_len, strlen(title) AS tl, regexp_extract_all(text, '[^\p{{L}}\p{{N}}]*[\p{{L}}\p{{N}}]+') AS c FROM docs),
+chunks AS (SELECT doc_id, text_len, tl, unnest(c) AS chunk, unnest(range(1, len(c) + 1)) AS i FROM chunk_lists),
+words AS (SELECT doc_id, text_len, tl, regexp_extract(chunk, '[\p{{L}}\p{{N}}]+$') AS word, sum(strlen(chunk)) OVER (PARTITION BY doc_id ORDER BY i) AS e FROM chunks),
+tokens AS (SELECT doc_id, text_len, tl, word, lower(strip_accents(word)) AS term, CAST(e - strlen(word) AS BIGINT) AS off FROM words)"""
+_POST = rf"""{_TOKENS},
+post AS (SELECT doc_id, term, off, text_len, CASE WHEN off < tl THEN 'title' ELSE 'content' END AS field_type, CASE WHEN off < tl THEN 0 ELSE 4 END AS match_type,
+  CASE WHEN off < tl THEN 0 ELSE 1 END AS section_idx,
+  CASE WHEN off < tl THEN 1000 ELSE 10 END + CAST(floor(5 * ((text_len - off) / text_len)) AS INTEGER) AS score,
+  CASE WHEN off < tl THEN 100.0 ELSE 1.0 END + 0.5 * (1.0 - off / text_len) AS base_score FROM tokens WHERE term <> '' AND term NOT IN ({_STOP_SQL}))"""
+
+
+def _match(terms: list[str], tier: int) -> str:
+    rows = ", ".join(f"({i}, '{t}')" for i, t in enumerate(terms))
+    test = {1: "v.term = q.qt", 2: "starts_with(v.term, q.qt)", 3: "v.term ~ '^[a-z0-9]+$' AND levenshtein(v.term, q.qt) BETWEEN 1 AND 2"}[tier]
+    score = {1: "CAST(p.score AS DOUBLE)", 2: "p.score * (strlen(q.qt) / greatest(strlen(p.term), 1))", 3: "p.score * (1.0 / (1.0 + levenshtein(p.term, q.qt)))"}[tier]
+    dist = "levenshtein(p.term, q.qt)" if tier == 3 else "0"
+    return f"""(SELECT q.pos AS term_pos, q.qt, p.* EXCLUDE (score), p.score AS raw_score, {score} AS score, {dist} AS distance FROM (VALUES {rows}) q(pos, qt)
+  JOIN (SELECT DISTINCT term FROM post) v ON {test} JOIN post p ON p.term = v.term)"""
+
+
+def _tier_sql(terms: list[str], tier: int, limit: int = LIMIT, exclude: str = "", dedup: bool = True) -> str:
+    """SELECT of one tier's results: doc_id, score, section_idx, match_type, matched_term, title."""
+    hits = f"(SELECT * FROM {_match(terms, tier)} h {exclude})"
+    if len(terms) == 1 and tier == 1:
+        return f"""(SELECT h.doc_id, h.score, h.section_idx, h.match_type, h.term AS matched_term, d.title, row_number() OVER (ORDER BY h.score DESC, h.doc_id) AS rk
+  FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, base_score DESC, off) AS n FROM {hits}) h JOIN docs d USING (doc_id) WHERE n = 1 QUALIFY rk <= {limit})"""
+    final = "match_type, score DESC, title, doc_id"
+    if len(terms) == 1 and tier == 2:
+        return f"""(SELECT f.doc_id, f.score, f.section_idx, f.match_type, f.matched_term, d.title, row_number() OVER (ORDER BY {final}) AS rk FROM (
+  SELECT doc_id, max(score) AS score, min_by(section_idx, pos) AS section_idx, min(match_type) AS match_type, min_by(term, pos) AS matched_term FROM (
+    SELECT *, min(CASE WHEN match_type = best THEN pos END) OVER (PARTITION BY doc_id) AS p FROM (
+      SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY term, raw_score DESC, base_score DESC, off) AS pos, min(match_type) OVER (PARTITION BY doc_id) AS best FROM {hits}))
+  WHERE pos >= p GROUP BY doc_id) f JOIN docs d USING (doc_id) QUALIFY rk <= {limit})"""
+    if len(terms) == 1:
+        return f"""(SELECT f.doc_id, f.score, f.section_idx, f.match_type, f.term AS matched_term, d.title, row_number() OVER (ORDER BY {final}) AS rk FROM (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY match_type, score DESC, distance, term, raw_score DESC, base_score DESC, off) AS n FROM {hits}) f
+  JOIN docs d USING (doc_id) WHERE n = 1 QUALIFY rk <= {limit})"""
+    sections = f"""(SELECT doc_id, section_idx, sum(score) AS score, min(match_type) AS match_type, first(term ORDER BY match_type, term_pos, distance, term, raw_score DESC, doc_id, base_score DESC, off) AS matched_term
+  FROM (SELECT *, count(DISTINCT term_pos) OVER (PARTITION BY doc_id) AS hit FROM {hits}) WHERE hit = {len(terms)} GROUP BY doc_id, section_idx)"""
+    if dedup:
+        sections = f"""(SELECT doc_id, first(section_idx ORDER BY match_type, score DESC, section_idx) AS section_idx, sum(score) AS score, first(matched_term ORDER BY match_type, score DESC, section_idx) AS matched_term, min(match_type) AS match_type FROM {sections} GROUP BY doc_id)"""
+    return f"""(SELECT s.doc_id, s.score, s.section_idx, s.match_type, s.matched_term, d.title, row_number() OVER (ORDER BY {final}, section_idx) AS rk FROM {sections} s JOIN docs d USING (doc_id) QUALIFY rk <= {limit})"""
+
+
+_OUT = "doc_id, round(score, 6) AS score, CAST(section_idx AS INTEGER) AS section_idx, CAST(match_type AS INTEGER) AS match_type, matched_term, CAST(rk AS INTEGER) AS rank"
+
+
+def _results(df: DataFrame) -> DataFrame:
+    return df.select("doc_id", _r("score"), F.col("section_idx").cast("int").alias("section_idx"), "match_type", "matched_term", F.col("rank").cast("int").alias("rank"))
+
+
+def _one_tier(terms: list[str], tier: int, **how) -> str:
+    return f"WITH {_POST} SELECT {_OUT} FROM {_tier_sql(terms, tier, **how)}"
+
+
+# Text functions
+
+
+@query(f"WITH {_TOKENS} SELECT doc_id, count(*) AS n_tokens, CAST(sum(off) AS BIGINT) AS offset_sum, max(off) AS last_offset FROM tokens WHERE term <> '' GROUP BY doc_id")
+def tokenize_documents(spark, sf_dir):
+    tokens = text.tokenize(_t(spark, sf_dir, "documents"), frozenset())
+    return tokens.groupBy("doc_id").agg(F.count("*").alias("n_tokens"), F.sum("offset").alias("offset_sum"), F.max("offset").alias("last_offset"))
+
+
+@query(f"WITH {_TOKENS} SELECT doc_id, count(*) AS n_tokens, CAST(sum(off) AS BIGINT) AS offset_sum FROM tokens GROUP BY doc_id")
+def tokenize_native(spark, sf_dir):
+    return text.tokenize_native(_t(spark, sf_dir, "documents")).groupBy("doc_id").agg(F.count("*").alias("n_tokens"), F.sum("offset").alias("offset_sum"))
+
+
+@query("SELECT doc_id, lower(strip_accents(trim(regexp_replace(text, '\\s+', ' ', 'g')))) AS normalized FROM documents")
+def normalize_texts(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").select("doc_id", text.normalize(F.col("text")).alias("normalized"))
+
+
+@query("SELECT doc_id, lower(strip_accents(trim(regexp_replace(text, '\\s+', ' ', 'g')))) AS normalized FROM documents")
+def normalize_texts_exact(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").select("doc_id", text.normalize_exact("text").alias("normalized"))
+
+
+@query(f"WITH {_TOKENS} SELECT term, count(*) AS n FROM tokens WHERE term <> '' AND term NOT IN ({_STOP_SQL}) GROUP BY term")
+def stopword_filter(spark, sf_dir):
+    return text.tokenize(_t(spark, sf_dir, "documents"), frozenset()).where(~text.is_stop_word(F.col("term"), STOP)).groupBy("term").agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id, regexp_replace(regexp_replace(lower(split_part(text, chr(10), 1)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM documents")
+def slugify_titles(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").select("doc_id", text.slugify(F.split("text", "\n")[0]).alias("slug"))
+
+
+@query("SELECT substr(sha256(text), 1, 16) AS hash, min(doc_id) AS doc_id, count(*) AS copies FROM documents WHERE text IS NOT NULL GROUP BY text")
+def content_hash_dedup(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").where("text is not null").groupBy(text.content_hash(F.col("text")).alias("hash")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+
+
+@query("SELECT doc_id, CASE WHEN length(text) > 200 THEN substr(text, 1, 200) || '...' ELSE text END AS excerpt FROM documents")
+def excerpt_200(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").select("doc_id", text.excerpt(F.col("text")).alias("excerpt"))
+
+
+@query("SELECT page_id, CASE WHEN strlen(url) >= 8 AND strlen(regexp_extract(url, '^(.*/)', 1)) >= 4 THEN regexp_extract(url, '^(.*/)', 1) END AS prefix FROM pages")
+def href_prefix(spark, sf_dir):
+    return _t(spark, sf_dir, "pages").select("page_id", text.href_prefix(F.col("url")).alias("prefix"))
+
+
+@query("SELECT p_partkey, levenshtein(p_brand, 'Brand#23') AS d, starts_with(p_name, 'b') AS b FROM part WHERE levenshtein(p_brand, 'Brand#23') <= 1")
+def bounded_levenshtein(spark, sf_dir):
+    d = text.levenshtein_within(F.col("p_brand"), F.lit("Brand#23"), 1)
+    return _t(spark, sf_dir, "part").select("p_partkey", d.cast("long").alias("d"), F.col("p_name").startswith("b").alias("b")).where("d is not null")
+
+
+# Index
+
+
+@query(f"WITH {_POST} SELECT CAST(row_number() OVER (ORDER BY term) - 1 AS BIGINT) AS term_idx, term, CAST(strlen(term) AS INTEGER) AS term_len, count(DISTINCT doc_id) AS doc_freq FROM post GROUP BY term")
+def vocab_doc_freq(spark, sf_dir):
+    return _engine(spark, sf_dir).index.vocab
+
+
+@query(f"WITH {_POST} SELECT term, count(*) AS n, CAST(sum(score) AS BIGINT) AS score_sum, round(sum(base_score), 4) AS base_sum FROM post GROUP BY term")
+def postings_scored(spark, sf_dir):
+    return _engine(spark, sf_dir).index.postings.groupBy("term").agg(F.count("*").alias("n"), F.sum("score").alias("score_sum"), F.round(F.sum("base_score"), 4).alias("base_sum"))
+
+
+@query(f"WITH {_POST} SELECT field_type, score, count(*) AS n FROM post GROUP BY field_type, score")
+def default_score_bands(spark, sf_dir):
+    return _engine(spark, sf_dir).index.postings.groupBy("field_type", "score").agg(F.count("*").alias("n"))
+
+
+@query("SELECT level, CASE WHEN level = 0 THEN 0 WHEN level IN (1, 2) THEN 1 WHEN level = 3 THEN 2 WHEN level = 4 THEN 3 ELSE 4 END AS bucket, count(*) AS n FROM (SELECT CAST(doc_id % 10 AS INTEGER) AS level FROM documents) GROUP BY level")
+def match_type_buckets(spark, sf_dir):
+    levels = _t(spark, sf_dir, "documents").select((F.col("doc_id") % 10).cast("int").alias("level"))
+    return levels.groupBy("level").agg(F.first(scoring.match_type(F.col("level"))).alias("bucket"), F.count("*").alias("n"))
+
+
+@query(f"WITH {_POST} SELECT term, doc_id, off AS \"offset\", score, CAST(row_number() OVER (PARTITION BY term ORDER BY score DESC, doc_id, base_score DESC, off) AS INTEGER) AS place FROM post WHERE term IN ('tion', 'rewh')")
+def posting_ranks(spark, sf_dir):
+    post = _engine(spark, sf_dir).index.postings.where(F.col("term").isin("tion", "rewh"))
+    return post.select("term", "doc_id", "offset", "score", F.row_number().over(Window.partitionBy("term").orderBy(*ix.posting_order())).alias("place"))
+
+
+@query(f"WITH {_POST} SELECT (SELECT count(*) FROM docs) AS docs, count(DISTINCT term) AS terms, (SELECT CAST(sum(text_len) AS BIGINT) FROM docs) AS text_bytes FROM post")
+def corpus_totals(spark, sf_dir):
+    return _engine(spark, sf_dir).index.totals()
+
+
+@query(f"WITH {_POST}, v AS (SELECT * FROM (SELECT 'docs' AS name, (SELECT count(*) FROM docs) AS rows) UNION ALL SELECT 'boundaries', (SELECT count(*) FROM docs WHERE title <> '') + (SELECT count(*) FROM docs WHERE strlen(title) + 1 < text_len) UNION ALL SELECT 'postings', (SELECT count(*) FROM post) UNION ALL SELECT 'vocab', (SELECT count(DISTINCT term) FROM post) UNION ALL SELECT 'sections', 1) SELECT * FROM v")
+def index_inspect(spark, sf_dir):
+    return _engine(spark, sf_dir).index.inspect().select("name", "rows")
+
+
+@query("SELECT doc_id, CAST(row_number() OVER (ORDER BY doc_id DESC) - 1 AS BIGINT) AS new_id FROM documents")
+def renumber_documents(spark, sf_dir):
+    docs = _t(spark, sf_dir, "documents").select("doc_id", (-F.col("doc_id")).alias("src"))
+    return ix.dense_index(docs, ["src"], "new_id").select("doc_id", "new_id")
+
+
+@query("SELECT CASE WHEN n <= 50 AND b <= 100000 THEN 'suffix' WHEN n >= 500 THEN 'hybrid' ELSE 'suffix' END AS mode, n, b FROM (SELECT count(*) AS n, CAST(sum(strlen(text)) AS BIGINT) AS b FROM documents)")
+def index_mode(spark, sf_dir):
+    row = _t(spark, sf_dir, "documents").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("b")).first()
+    return spark.createDataFrame([(ix.select_mode(row["n"], row["b"]), row["n"], row["b"])], "mode string, n long, b long")
+
+
+# Tiers
+
+
+@query(_one_tier(["tion"], 1))
+def t1_exact_single(spark, sf_dir):
+    return _results(_engine(spark, sf_dir).tier("tion", 1, LIMIT))
+
+
+@query(_one_tier(["ing", "tion"], 1))
+def t1_exact_multi_and(spark, sf_dir):
+    return _results(_engine(spark, sf_dir).tier("ing TION", 1, LIMIT))
+
+
+@query(_one_tier(["ing", "tion"], 1, dedup=False))
+def t1_multi_no_dedup(spark, sf_dir):
+    return _results(_engine(spark, sf_dir).tier("ing tion", 1, LIMIT, dedup_sections=False))
+
+
+@query(_one_tier(["thing"], 2))
+def t2_prefix_single(spark, sf_dir):
+    return _results(_engine(spark, sf_dir).tier("thing", 2, LIMIT))
+
+
+@query(_one_tier(["thin", "rewh"], 2))
+def t2_prefix_multi(spark, sf_dir):
+    return _results(_engine(spark, sf_dir).tier("thin rewh", 2, LIMIT))
+
+
+def _ascii(spark: SparkSession, sf_dir: str) -> sp.Engine:
+    """The engine over plain ASCII terms, where SQL's byte distance is the character distance."""
+    e = _engine(spark, sf_dir)
+    plain = F.col("term").rlike("^[a-z0-9]+$")
+    return sp.Engine(ix.Index(e.index.docs, e.index.boundaries, e.index.postings, e.index.vocab.where(plain), e.index.sections))
+
+
+@query(_one_tier(["thingre"], 3))
+def t3_fuzzy_single(spark, sf_dir):
+    return _results(_ascii(spark, sf_dir).tier("thingre", 3, LIMIT))
+
+
+@query(_one_tier(["thingre", "eringt"], 3))
+def t3_fuzzy_multi(spark, sf_dir):
+    return _results(_ascii(spark, sf_dir).tier("thingre eringt", 3, LIMIT))
+
+
+def _tiered_sql(terms: list[str]) -> str:
+    no1 = "WHERE doc_id NOT IN (SELECT doc_id FROM t1)"
+    no2 = "WHERE doc_id NOT IN (SELECT doc_id FROM t1) AND doc_id NOT IN (SELECT doc_id FROM t2)"
+    return f"""WITH {_POST}, t1 AS (SELECT *, 1 AS tier FROM {_tier_sql(terms, 1)}), t2 AS (SELECT *, 2 AS tier FROM {_tier_sql(terms, 2, exclude=no1)}), t3 AS (SELECT *, 3 AS tier FROM {_tier_sql(terms, 3, exclude=no2)}),
+every AS (SELECT * FROM t1 UNION ALL SELECT * FROM t2 UNION ALL SELECT * FROM t3)"""
+
+
+_FINAL = "row_number() OVER (ORDER BY match_type, score DESC, title, doc_id)"
+
+
+@query(f"{_tiered_sql(['thing'])} SELECT {_OUT.replace('rk AS', 'r AS').replace('CAST(rk', 'CAST(r')}, tier FROM (SELECT *, {_FINAL} AS r FROM every) WHERE r <= {LIMIT}")
+def tiered_search(spark, sf_dir):
+    found = _ascii(spark, sf_dir).search("thing", LIMIT)
+    return _results(found).join(found.select("doc_id", "tier"), "doc_id")
+
+
+@query(f"{_tiered_sql(['ing', 'tion'])} SELECT {_OUT.replace('CAST(rk', 'CAST(r')}, tier FROM (SELECT *, {_FINAL} AS r FROM every) WHERE r <= {LIMIT}")
+def tiered_search_multi(spark, sf_dir):
+    found = _ascii(spark, sf_dir).search("ing tion", LIMIT)
+    return _results(found).join(found.select("doc_id", "tier"), "doc_id")
+
+
+@query(f"{_tiered_sql(['thing'])} SELECT tier, count(*) AS hits FROM every GROUP BY tier")
+def tier_counts(spark, sf_dir):
+    one, two, three = _ascii(spark, sf_dir).tiers("thing", LIMIT)
+    return rank.tier_counts(one.unionByName(two).unionByName(three)).select("tier", "hits")
+
+
+def _merged(order: str, limit: int) -> str:
+    return f"""WITH {_POST}, every AS (SELECT *, 1 AS tier FROM {_tier_sql(['thing'], 1, 100)} UNION ALL SELECT *, 2 FROM {_tier_sql(['thing'], 2, 100)} UNION ALL SELECT *, 3 FROM {_tier_sql(['thing'], 3, 100)}),
+best AS (SELECT * EXCLUDE (rk) FROM every QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY {order}) = 1)"""
+
+
+@query(f"{_merged('match_type, score DESC, title, doc_id, tier, section_idx', 10)} SELECT {_OUT.replace('CAST(rk', 'CAST(r')}, tier FROM (SELECT *, {_FINAL} AS r FROM best) WHERE r <= {LIMIT}")
+def progressive_t1_t2_t3(spark, sf_dir):
+    last = None
+    for _, last in sp.progressive(_ascii(spark, sf_dir), "thing", LIMIT):
+        pass
+    return _results(last).join(last.select("doc_id", "tier"), "doc_id")
+
+
+@query(f"{_merged('score DESC, tier, match_type, section_idx', 10)} SELECT doc_id, round(score, 6) AS score, tier FROM best")
+def streaming_dedup_best(spark, sf_dir):
+    e = _ascii(spark, sf_dir)
+    every = e.tier("thing", 1, 100).unionByName(e.tier("thing", 2, 100)).unionByName(e.tier("thing", 3, 100))
+    return rank.stream_best(every).select("doc_id", _r("score"), "tier")
+
+
+@query(
+    f"WITH {_POST}, q(query_id, pos, qt) AS (VALUES (0, 0, 'tion'), (1, 0, 'ing'), (2, 0, 'rewh'), (3, 0, 'thing')), h AS (SELECT q.query_id, p.*, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY score DESC, base_score DESC, off) AS n FROM q JOIN post p ON p.term = q.qt)"
+    f" SELECT query_id, doc_id, CAST(score AS DOUBLE) AS score, CAST(rk AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rk FROM h WHERE n = 1) WHERE rk <= {LIMIT}"
+)
+def batch_exact_search(spark, sf_dir):
+    return _engine(spark, sf_dir).tier(["tion", "ing", "rewh", "thing"], 1, LIMIT).select("query_id", "doc_id", _r("score"), F.col("rank").cast("int").alias("rank"))
+
+
+@query(f"WITH {_POST} SELECT doc_id FROM (SELECT DISTINCT doc_id FROM post WHERE term = 'ing') a WHERE doc_id NOT IN (SELECT doc_id FROM post WHERE term = 'tion')")
+def exclude_anti_join(spark, sf_dir):
+    post = _engine(spark, sf_dir).index.postings
+    return post.where("term = 'ing'").select("doc_id").distinct().join(post.where("term = 'tion'").select("doc_id"), "doc_id", "left_anti")
+
+
+@query(f"WITH {_POST} SELECT doc_id FROM post WHERE term IN ('ing', 'tion', 'er') GROUP BY doc_id HAVING count(DISTINCT term) = 3")
+def docs_all_terms_intersect(spark, sf_dir):
+    return validate.intersect(_engine(spark, sf_dir).index.postings, ["ing", "tion", "er"])
+
+
+# Matching
+
+
+@query(f"WITH {_POST} SELECT qt, term, levenshtein(term, qt) AS distance FROM (SELECT DISTINCT term FROM post WHERE term ~ '^[a-z0-9]+$') v, (VALUES ('thingre'), ('eringt'), ('ouhand'), ('st')) q(qt) WHERE levenshtein(term, qt) <= 2")
+def fuzzy_candidates_join(spark, sf_dir):
+    vocab = _ascii(spark, sf_dir).index.vocab
+    queries = spark.createDataFrame([("thingre",), ("eringt",), ("ouhand",), ("st",)], "qt string")
+    return fuzzy_join(vocab, queries).select("qt", "term", F.col("distance").cast("long").alias("distance"))
+
+
+@query(f"WITH {_POST} SELECT qt, term FROM (SELECT DISTINCT term FROM post) v, (VALUES ('edble'), ('éau'), ('ring')) q(qt) WHERE contains(term, qt)")
+def substring_terms(spark, sf_dir):
+    return match_terms(_engine(spark, sf_dir).index.vocab, [(0, 0, "edble"), (0, 1, "éau"), (0, 2, "ring")], "substring").select("qt", "term")
+
+
+# Library search
+
+
+def _library_sql(terms: list[str], tiers: list[str], exclude: str = "") -> str:
+    """Library results; each tier is a test of v.term against q.qt, the first that hits counts for a term."""
+    rows = ", ".join(f"({i}, '{t}')" for i, t in enumerate(terms))
+    found = " UNION ALL ".join(f"SELECT q.pos, q.qt, v.term, {k} AS tier FROM q JOIN vocab v ON {test}" for k, test in enumerate(tiers, 1))
+    return f"""WITH {_POST}, q(pos, qt) AS (VALUES {rows}), vocab AS (SELECT DISTINCT term FROM post WHERE term ~ '^[a-z0-9]+$'), found AS ({found}),
+chosen AS (SELECT * FROM found QUALIFY tier = min(tier) OVER (PARTITION BY pos)),
+best AS (SELECT c.pos, p.doc_id, max(p.base_score) AS s FROM chosen c JOIN post p USING (term) {exclude} GROUP BY c.pos, p.doc_id),
+total AS (SELECT doc_id, sum(s) AS score, count(*) AS hit FROM best GROUP BY doc_id),
+ranked AS (SELECT t.doc_id, score, title, row_number() OVER (ORDER BY score DESC, title, doc_id) AS rk, count(*) OVER () AS many FROM total t JOIN docs USING (doc_id) WHERE hit = (SELECT count(DISTINCT pos) FROM best))
+SELECT doc_id, round(score, 6) AS score, CAST(rk AS INTEGER) AS rank FROM ranked WHERE many <= 200 OR rk <= 100"""
+
+
+_EXACT, _SUB = "v.term = q.qt", "contains(v.term, q.qt)"
+_FUZZY = "levenshtein(v.term, q.qt) <= CASE WHEN strlen(q.qt) > 5 THEN 2 ELSE 1 END"
+
+
+def _library(df: DataFrame) -> DataFrame:
+    return df.select("doc_id", _r("score"), F.col("rank").cast("int").alias("rank"))
+
+
+@query(_library_sql(["tion", "ing"], [_EXACT]))
+def hybrid_exact(spark, sf_dir):
+    return _library(_ascii(spark, sf_dir).search_exact("Tion ing"))
+
+
+@query(_library_sql(["edble"], [_SUB], "WHERE p.doc_id NOT IN (1, 3, 5)"))
+def hybrid_expanded(spark, sf_dir):
+    out = spark.createDataFrame([(0, 1), (0, 3), (0, 5)], "query_id int, doc_id long")
+    return _library(_ascii(spark, sf_dir).search_expanded("edble", out))
+
+
+@query(_library_sql(["thingre", "rewhh"], [_FUZZY]))
+def hybrid_fuzzy(spark, sf_dir):
+    return _library(_ascii(spark, sf_dir).search_fuzzy("thingre rewhh"))
+
+
+@query(_library_sql(["ing", "edbl", "thingrx", "zzzzqqqq"], [_EXACT, _SUB, _FUZZY]))
+def hybrid_first_tier(spark, sf_dir):
+    return _library(_ascii(spark, sf_dir).search_hybrid("ing edbl thingrx zzzzqqqq"))
+
+
+def _suffix_sql(term: str) -> str:
+    return f"""t AS (SELECT doc_id, length(split_part(text, chr(10), 1)) AS tl, length(text) AS n, instr(text, '{term}') - 1 AS spot, instr(substr(text, length(split_part(text, chr(10), 1)) + 2), '{term}') AS body FROM documents WHERE contains(text, '{term}'))
+SELECT doc_id, round(greatest(CASE WHEN spot < tl THEN 100.0 + 0.5 * (1.0 - spot / n) END, CASE WHEN body > 0 THEN 1.0 + 0.5 * (1.0 - (tl + body) / n) END, 1.0 + 0.5 * (1.0 - spot / n)), 6) AS score FROM t"""
+
+
+@query(f"WITH {_suffix_sql('edble')}")
+def suffix_substring_search(spark, sf_dir):
+    docs = src.document_corpus(_t(spark, sf_dir, "documents"), chars=True)
+    return sp.search_text(docs, "edble").select("doc_id", _r("score"))
+
+
+@query(
+    "WITH s AS (SELECT p_partkey, unnest(range(1, length(p_name) + 1)) AS i, p_name FROM part), f AS (SELECT p_partkey AS doc_id, CAST(i - 1 AS INTEGER) AS pos, substr(p_name, i) AS suffix FROM s)"
+    " SELECT doc_id, pos, CAST(row_number() OVER (ORDER BY suffix, doc_id, pos) - 1 AS BIGINT) AS place FROM f"
+)
+def suffix_array_part_names(spark, sf_dir):
+    part = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.col("p_name").alias("text"))
+    return suffixes.suffix_array(part).select("doc_id", F.col("offset").alias("pos"), "place")
+
+
+@query(
+    "WITH s AS (SELECT p_partkey, unnest(range(1, length(p_name) + 1)) AS i, p_name FROM part), f AS (SELECT p_partkey AS doc_id, CAST(i - 1 AS INTEGER) AS pos, substr(p_name, i) AS suffix FROM s),"
+    " l AS (SELECT *, lag(suffix) OVER (ORDER BY suffix, doc_id, pos) AS prev FROM f)"
+    " SELECT doc_id, pos, CAST(CASE WHEN prev IS NULL THEN 0 ELSE len(list_filter(range(1, least(length(suffix), length(prev)) + 1), lambda k: substr(suffix, 1, CAST(k AS INTEGER)) = substr(prev, 1, CAST(k AS INTEGER)))) END AS INTEGER) AS lcp FROM l"
+)
+def lcp_lag(spark, sf_dir):
+    part = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.col("p_name").alias("text"))
+    return suffixes.suffix_array(part).select("doc_id", F.col("offset").alias("pos"), "lcp")
+
+
+@query(
+    "WITH v AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS term FROM part), s AS (SELECT term, unnest(range(1, strlen(term) + 1)) AS i FROM v)"
+    " SELECT term, CAST(i - 1 AS INTEGER) AS pos, CAST(row_number() OVER (ORDER BY substr(term, i), term, i) - 1 AS BIGINT) AS place FROM s"
+)
+def vocab_suffix_array(spark, sf_dir):
+    words = _t(spark, sf_dir, "part").select(F.explode(F.split("p_name", " ")).alias("term")).distinct()
+    return suffixes.vocabulary_suffix_array(words).select("term", F.col("offset").alias("pos"), "place")
+
+
+@query(_library_sql(["thing"], [_EXACT]))
+def inverted_only(spark, sf_dir):
+    e = _engine(spark, sf_dir)
+    return _library(sp.search_unified(e, src.document_corpus(_t(spark, sf_dir, "documents"), chars=True), "thing", "inverted"))
+
+
+@query(f"WITH {_suffix_sql('thingre')}")
+def unified_mode(spark, sf_dir):
+    e = _engine(spark, sf_dir)
+    docs = src.document_corpus(_t(spark, sf_dir, "documents"), chars=True)
+    return sp.search_unified(e, docs, "thingre", "suffix").select("doc_id", _r("score"))
+
+
+# Union search
+
+
+def _union_engines(spark: SparkSession, sf_dir: str) -> dict[str, sp.Engine]:
+    out = {}
+    for name, corpus in sp.union_corpora(src.part_inputs(_t(spark, sf_dir, "part"))).items():
+        key = (spark.sparkContext.applicationId, f"{sf_dir}/{name}")
+        if key not in _FOLDERS:
+            path = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+            ix.Index.build(corpus, stop=frozenset()).save(path)
+            _FOLDERS[key] = path
+        out[name] = sp.Engine.load(spark, _FOLDERS[key])
+    return out
+
+
+def _union_results_sql(term: str) -> str:
+    """Source lists are ordered by library score, so their cut above 200 needs those scores."""
+    spans = []
+    for name, col in (("title", "p_name"), ("heading", "p_type"), ("content", "p_brand")):
+        spans.append(f"SELECT '{name}' AS source, p_partkey AS doc_id, p_name AS doc_title, strlen({col}) AS n, {dict(title=100.0, heading=10.0, content=1.0)[name]} AS base, regexp_extract_all({col}, '[^\\p{{L}}\\p{{N}}]*[\\p{{L}}\\p{{N}}]+') AS c FROM part")
+    return f"""WITH lists AS ({' UNION ALL '.join(spans)}),
+chunks AS (SELECT source, doc_id, doc_title, n, base, unnest(c) AS chunk, unnest(range(1, len(c) + 1)) AS i FROM lists),
+words AS (SELECT *, regexp_extract(chunk, '[\\p{{L}}\\p{{N}}]+$') AS word, sum(strlen(chunk)) OVER (PARTITION BY source, doc_id ORDER BY i) AS e FROM chunks),
+post AS (SELECT source, doc_id, doc_title, lower(strip_accents(word)) AS term, base + 0.5 * (1.0 - (e - strlen(word)) / n) AS s FROM words),
+v AS (SELECT DISTINCT source, term FROM post),
+f AS (SELECT source, term, CASE WHEN term = '{term}' THEN 1 WHEN contains(term, '{term}') THEN 2 WHEN levenshtein(term, '{term}') <= {2 if len(term) > 5 else 1} THEN 3 END AS tier FROM v),
+c AS (SELECT * FROM f WHERE tier IS NOT NULL QUALIFY tier = min(tier) OVER (PARTITION BY source)),
+h AS (SELECT source, doc_id, doc_title, max(s) AS s FROM post JOIN c USING (source, term) GROUP BY source, doc_id, doc_title),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY s DESC, doc_title, doc_id) AS rk, count(*) OVER (PARTITION BY source) AS many FROM h),
+kept AS (SELECT source, doc_id, s, rk, CASE source WHEN 'title' THEN 100.0 WHEN 'heading' THEN 10.0 ELSE 1.0 END AS score FROM ranked WHERE many <= 200 OR rk <= 100)"""
+
+
+@query(f"{_union_results_sql('small')} SELECT doc_id, CAST(max(score) AS DOUBLE) AS score, arg_max(source, score) AS source, CAST(row_number() OVER (ORDER BY max(score) DESC, doc_id) AS INTEGER) AS rank FROM kept GROUP BY doc_id")
+def union_search(spark, sf_dir):
+    return sp.search_union(_union_engines(spark, sf_dir), "small").select("doc_id", "score", "source", F.col("rank").cast("int").alias("rank"))
+
+
+@query(f"{_union_results_sql('brand')} SELECT source, doc_id, round(s, 6) AS score, CAST(rk AS INTEGER) AS rank FROM kept")
+def union_grouped(spark, sf_dir):
+    out = None
+    for name, df in sp.search_union_grouped(_union_engines(spark, sf_dir), "brand").items():
+        part = df.select(F.lit(name).alias("source"), "doc_id", _r("score"), F.col("rank").cast("int").alias("rank"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+# Filters, sections, validation
+
+
+@query("SELECT doc_id FROM documents WHERE source = 'src3' AND lang = 'en'")
+def include_filter(spark, sf_dir):
+    docs = _t(spark, sf_dir, "documents").withColumnsRenamed({"source": "category", "lang": "kind"})
+    return ix.include(docs, {"category": "src3", "type": "en", "unknown": "ignored"}).select("doc_id")
+
+
+@query(f"WITH {_TOKENS} SELECT CASE WHEN off < tl THEN 'title' ELSE 'content' END AS field_type, count(*) AS n FROM tokens WHERE term <> '' AND term NOT IN ({_STOP_SQL}) GROUP BY 1")
+def fields_filter(spark, sf_dir):
+    kept = ix.fields(_corpus(spark, sf_dir), ["title"])
+    return ix.postings(kept, STOP).groupBy("field_type").agg(F.count("*").alias("n"))
+
+
+@query(
+    "WITH e AS (SELECT event_id, user_id, ts FROM events), s AS (SELECT user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),"
+    " h AS (SELECT user_id, ts AS mark FROM s WHERE k % 3 = 1) SELECT e.event_id, max(h.mark) AS section_start FROM e LEFT JOIN h ON h.user_id = e.user_id AND h.mark <= e.ts GROUP BY e.event_id"
+)
+def section_lookup_asof(spark, sf_dir):
+    events = _t(spark, sf_dir, "events").select("event_id", "user_id", "ts")
+    k = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    starts = events.withColumn("k", k).where("k % 3 = 1").select("user_id", F.col("ts").alias("start"))
+    return validate.asof(events, starts, "user_id", "ts", "start").select("event_id", F.col("start").alias("section_start"))
+
+
+@query(
+    f"WITH {_TOKENS}, b AS (SELECT doc_id, 0 AS s, strlen(title) AS e FROM docs WHERE title <> '' UNION ALL SELECT doc_id, strlen(title) + 1, text_len FROM docs WHERE strlen(title) + 1 < text_len),"
+    " l AS (SELECT *, lag(e) OVER (PARTITION BY doc_id ORDER BY s) AS pe FROM b) SELECT 'gap' AS rule, doc_id, CAST(s AS BIGINT) AS at FROM l WHERE coalesce(pe, 0) < s UNION ALL SELECT 'overlap', doc_id, CAST(s AS BIGINT) FROM l WHERE pe > s"
+)
+def section_validation(spark, sf_dir):
+    bounds = _engine(spark, sf_dir).index.boundaries.withColumn("section_id", F.coalesce("section_id", F.lit("head")))
+    return validate.sections(bounds).where(F.col("rule").isin("gap", "overlap")).select("rule", "doc_id", F.col("at").cast("long").alias("at"))
+
+
+@query("SELECT 'none' AS rule, CAST(0 AS BIGINT) AS violations WHERE false")
+def posting_invariants(spark, sf_dir):
+    return validate.index_violations(_engine(spark, sf_dir).index).groupBy("rule").agg(F.count("*").alias("violations"))
+
+
+@query(f"WITH {_POST} SELECT term, doc_id, off AS \"offset\", 1000 * CAST(field_type = 'title' AS INTEGER) + CAST(text_len % 7 AS INTEGER) + 3 AS score FROM post WHERE term = 'tion'")
+def custom_scoring_udf(spark, sf_dir):
+    e = _engine(spark, sf_dir)
+    own = scoring.custom_scores(e.index.postings.where("term = 'tion'"), e.index.docs, _own_score)
+    return own.select("term", "doc_id", "offset", "score")
+
+
+def _own_score(context: dict) -> float:
+    m = context["match"]
+    return 1000 * (m["fieldType"] == "title") + m["textLength"] % 7 + 3.9
+
+
+# Web pages
+
+
+@query("SELECT page_id, trim(regexp_replace(replace(replace(replace(regexp_replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), '<[^>]*>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&amp;', '&'), '\\s+', ' ', 'g')) AS title FROM pages")
+def html_titles(spark, sf_dir):
+    return _t(spark, sf_dir, "pages").select("page_id", html.page_title(F.col("html")).alias("title"))
+
+
+@query(
+    "WITH x AS (SELECT page_id, trim(regexp_replace(replace(replace(regexp_replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), '<[^>]*>', ' ', 'g'), '&nbsp;', ' '), '&amp;', '&'), '\\s+', ' ', 'g')) AS heading FROM pages)"
+    " SELECT page_id, CAST(0 AS INTEGER) AS seq, CAST(1 AS INTEGER) AS level, regexp_replace(regexp_replace(lower(heading), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS section_id, heading FROM x"
+)
+def html_sections(spark, sf_dir):
+    return html.page_sections(_t(spark, sf_dir, "pages")).select("page_id", "seq", "level", "section_id", "heading")
+
+
+@query("SELECT DISTINCT page_id, unnest(regexp_extract_all(html, '(?is)<a\\s[^>]*href=[\"'']([^\"''#]+)', 1)) AS href FROM pages")
+def html_links(spark, sf_dir):
+    return html.page_links(_t(spark, sf_dir, "pages"))
+
+
+@query()
+def html_page_corpus(spark, sf_dir):
+    corpus = html.page_corpus(_t(spark, sf_dir, "pages"))
+    return corpus.select("doc_id", "title", "category", F.length("text").alias("n"), F.size("boundaries").alias("fields"))
+
+
+@query("SELECT conv_id, count(*) AS turns, CAST(sum(strlen(text)) + count(*) - 1 AS BIGINT) AS text_bytes FROM conversations WHERE text IS NOT NULL GROUP BY conv_id")
+def conversation_sections(spark, sf_dir):
+    corpus = src.conversation_corpus(_t(spark, sf_dir, "conversations"))
+    return corpus.select(F.col("doc_id").alias("conv_id"), F.size("boundaries").cast("long").alias("turns"), F.col("boundaries")[F.size("boundaries") - 1]["end"].alias("text_bytes"))
+
+
+@query("SELECT l_returnflag, count(*) AS n, round(avg(l_quantity), 6) AS mean, round(stddev_samp(l_quantity), 6) AS sd, round(avg(l_quantity) - 1.96 * stddev_samp(l_quantity) / sqrt(count(*)), 6) AS low, round(avg(l_quantity) + 1.96 * stddev_samp(l_quantity) / sqrt(count(*)), 6) AS high, 2 * 1.96 * stddev_samp(l_quantity) / sqrt(count(*)) < 0.1 * avg(l_quantity) AS stable FROM lineitem GROUP BY l_returnflag")
+def bench_stats(spark, sf_dir):
+    s = rank.benchmark_statistics(_t(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_quantity")
+    return s.select("l_returnflag", "n", _r("mean"), _r("sd"), _r("low"), _r("high"), "stable")
