@@ -51,9 +51,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     Results between stages are tables in the shared folder that
     spark.checkpoint.dir names.
     """
-    sparkops.shared(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    place = f"{spark.sparkContext.getCheckpointDir()}/corpus-{uuid.uuid4().hex}"
+    place = f"{sparkops.shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
         out = f"{place}/{k}-{name}"
         stage(spark, docs, sf_dir).write.parquet(out)

@@ -2,42 +2,12 @@
 
 from __future__ import annotations
 
-import io
-import tempfile
-import zipfile
-from pathlib import Path
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut, shared_folder, ship
 
-def shared(spark: SparkSession) -> None:
-    """Makes sure that checkpoints have a folder: the one that the session names, or, where it names none, one of this machine (tests)."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
-
-
-def ship(spark: SparkSession) -> None:
-    """Gives the executors this package's source, once for each Spark application, so that they need no copy of their own."""
-    sc = spark.sparkContext
-    if getattr(sc, "_tesserae_shipped", False):
-        return
-    root = Path(__file__).resolve().parents[1]
-    body = io.BytesIO()
-    with zipfile.ZipFile(body, "w") as z:
-        for f in [root / "__init__.py", *sorted((root / "llm").glob("*.py"))]:
-            z.write(f, f.relative_to(root.parent))
-    place = Path(tempfile.mkdtemp(prefix="source-")) / f"{root.name}.zip"
-    place.write_bytes(body.getvalue())
-    sc.addPyFile(str(place))
-    sc._tesserae_shipped = True
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Writes `df` to the shared checkpoint folder and reads it from there: it is computed once, and a lost executor loses nothing of it."""
-    shared(df.sparkSession)
-    return df.checkpoint(eager=True)
+__all__ = ["cut", "held_out", "shared_folder", "ship", "with_info"]
 
 
 def with_info(rows: DataFrame, info: DataFrame, key: str, count: str, total: int, most: int = 1000) -> DataFrame:
