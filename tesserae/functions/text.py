@@ -65,11 +65,12 @@ def normalize_light(c: Column) -> Column:
 @F.pandas_udf(St.StringType())
 def normalize_exact(s: pd.Series) -> pd.Series:
     """normalize_text() of a column, for any script."""
-    distinct = {x: normalize_text(x) for x in s.dropna().unique()}
-    return s.map(distinct)
+    values = s.tolist()
+    distinct = {x: normalize_text(x) for x in set(values) if isinstance(x, str)}
+    return pd.Series([distinct.get(x) for x in values], dtype=object)
 
 
-@lru_cache(maxsize=1)
+@lru_cache(maxsize=32)
 def stop_words(*languages: str) -> frozenset[str]:
     """Stop words of the packaged lists (all, or of some languages), as written and normalized."""
     lists = json.loads(resources.files("tesserae.functions").joinpath("stop_words.json").read_text("utf-8"))
