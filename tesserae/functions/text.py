@@ -17,10 +17,13 @@ from importlib import resources
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as St
 
+from . import kernels
+
 #: Code-point ranges that normalization removes, besides what decomposition leaves to them.
 MARKS = ((0x0300, 0x036F), (0x0900, 0x097F), (0x0C00, 0x0C7F), (0x1DC0, 0x1DFF), (0x20D0, 0x20FF), (0xFE20, 0xFE2F))
 _MARK_CLASS = "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in MARKS) + "]"
@@ -93,15 +96,6 @@ def _letter_table() -> np.ndarray:
     return table
 
 
-def _spans(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends, in characters, of the maximal alphanumeric runs of a text, and its characters' byte offsets."""
-    cp = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    ink = _letter_table()[cp]
-    edge = np.diff(np.concatenate([[0], ink.view(np.int8), [0]]))
-    width = 1 + (cp >= 0x80).astype(np.int64) + (cp >= 0x800) + (cp >= 0x10000)
-    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), np.append(0, np.cumsum(width))
-
-
 def tokenize(docs: DataFrame, stop: frozenset[str] | None = None, id_col: str = "doc_id", text_col: str = "text", boundaries_col: str | None = None) -> DataFrame:
     """The tokens of every document: doc_id, term, offset (bytes), text_len (bytes), field_type, section_id, heading_level.
 
@@ -112,54 +106,58 @@ def tokenize(docs: DataFrame, stop: frozenset[str] | None = None, id_col: str =
     """
     drop = stop_words() if stop is None else stop
     kind = docs.schema[id_col].dataType.simpleString()
-    names = ["doc_id", "term", "offset", "text_len", "field_type", "section_id", "heading_level"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, str | None] = {}
         for batch in batches:
-            out: dict[str, list] = {n: [] for n in names}
-            ids = batch.column("doc_id").to_pylist()
-            bounds = batch.column("bounds").to_pylist() if boundaries_col else [None] * len(ids)
-            for doc, text, fields in zip(ids, batch.column("text").to_pylist(), bounds):
-                if not text:
-                    continue
-                starts, ends, at = _spans(text)
-                words = [text[a:b] for a, b in zip(starts.tolist(), ends.tolist())]
-                terms = []
-                for w in words:
-                    if w not in known:
-                        t = normalize_text(w)
-                        known[w] = t if t and t not in drop else None
-                    terms.append(known[w])
-                keep = np.array([t is not None for t in terms], bool)
-                offset = at[starts[keep]] if len(keep) else np.zeros(0, np.int64)
-                n = len(offset)
-                place = np.full(n, -1)
-                for k in range(len(fields or []) - 1, -1, -1):
-                    f = fields[k]
-                    place[(offset >= f["start"]) & (offset < f["end"])] = k
-                out["doc_id"] += [doc] * n
-                out["term"] += [t for t in terms if t is not None]
-                out["offset"].append(offset)
-                out["text_len"] += [int(at[-1])] * n
-                for name, key, default in (("field_type", "fieldType", "content"), ("section_id", "sectionId", None), ("heading_level", "headingLevel", 5)):
-                    values = [f[key] if f[key] is not None or name == "section_id" else 0 for f in fields or []] + [default]
-                    out[name] += [values[k] for k in place.tolist()]
-                if len(out["term"]) > 200_000:
-                    yield _tokens(out, batch.schema.field("doc_id").type)
-                    out = {n: [] for n in names}
-            if len(known) > 2_000_000:
-                known.clear()
-            yield _tokens(out, batch.schema.field("doc_id").type)
+            data, off = kernels.buffers(batch.column("text"))
+            for i, j in kernels.row_ranges(off):
+                bounds = batch.column("bounds").slice(i, j - i) if boundaries_col else None
+                yield _tokens(batch.column("doc_id").slice(i, j - i), data[off[i] : off[j]], off[i : j + 1] - off[i], bounds, drop)
 
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *([F.col(boundaries_col).alias("bounds")] if boundaries_col else []))
     return source.mapInArrow(run, f"doc_id {kind}, term string, offset long, text_len long, field_type string, section_id string, heading_level int")
 
 
-def _tokens(out: dict[str, list], id_type: pa.DataType) -> pa.RecordBatch:
-    kinds = {"doc_id": id_type, "term": pa.string(), "text_len": pa.int64(), "field_type": pa.string(), "section_id": pa.string(), "heading_level": pa.int32()}
-    columns = [pa.array(np.concatenate(v) if v else np.zeros(0, np.int64), pa.int64()) if n == "offset" else pa.array(v, kinds[n]) for n, v in out.items()]
-    return pa.RecordBatch.from_arrays(columns, list(out))
+def _tokens(ids: pa.Array, data: np.ndarray, off: np.ndarray, bounds: pa.Array | None, drop: frozenset[str]) -> pa.RecordBatch:
+    """Tokens of some rows, as arrays; only distinct words are normalized one by one."""
+    cp = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le", "surrogatepass"), np.uint32)
+    lead = np.flatnonzero((data & 0xC0) != 0x80)
+    edges = np.searchsorted(lead, off)
+    starts, ends = kernels.runs(_letter_table()[cp], edges)
+    _, one, inverse = np.unique(kernels.slice_hashes(cp, starts, ends), return_index=True, return_inverse=True)
+    raw = cp.tobytes()
+    distinct = [normalize_text(raw[4 * a : 4 * b].decode("utf-32-le", "surrogatepass")) for a, b in zip(starts[one].tolist(), ends[one].tolist())]
+    wanted = np.array([bool(t) and t not in drop for t in distinct], bool)
+    keep = np.flatnonzero(wanted[inverse]) if len(wanted) else np.zeros(0, np.int64)
+    row = np.searchsorted(edges, starts[keep], "right") - 1
+    offset = lead[starts[keep]] - off[row]
+    place = np.full(len(keep), -1, np.int64)
+    values = {"fieldType": pa.array([], pa.string()), "sectionId": pa.array([], pa.string()), "headingLevel": pa.array([], pa.int32())}
+    if bounds is not None:
+        if bounds.null_count:
+            bounds = pa.array([x or [] for x in bounds.to_pylist()], bounds.type)
+        flat, size = bounds.flatten(), bounds.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        first = np.cumsum(size) - size
+        low, high = (flat.field(x).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64) for x in ("start", "end"))
+        values = {"fieldType": flat.field("fieldType"), "sectionId": flat.field("sectionId"), "headingLevel": flat.field("headingLevel").cast(pa.int32()).fill_null(0)}
+        open_ = np.arange(len(keep))
+        k = 0
+        while len(open_):
+            open_ = open_[size[row[open_]] > k]
+            at = first[row[open_]] + k
+            hit = (low[at] <= offset[open_]) & (offset[open_] < high[at])
+            place[open_[hit]] = at[hit]
+            open_ = open_[~hit]
+            k += 1
+    outside = place < 0
+    pick = pa.array(np.where(outside, 0, place), mask=outside)
+    take = lambda name: values[name].take(pick) if len(values[name]) else pa.nulls(len(keep), values[name].type)
+    missing = pa.array(outside)
+    field = pc.if_else(missing, "content", take("fieldType"))
+    level = pc.if_else(missing, pa.scalar(5, pa.int32()), take("headingLevel"))
+    terms = pa.array(distinct, pa.string()).take(pa.array(inverse[keep])) if distinct else pa.array([], pa.string())
+    columns = [ids.take(pa.array(row)), terms, pa.array(offset, pa.int64()), pa.array(np.diff(off)[row], pa.int64()), field, take("sectionId"), level]
+    return pa.RecordBatch.from_arrays(columns, ["doc_id", "term", "offset", "text_len", "field_type", "section_id", "heading_level"])
 
 
 def tokenize_native(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -56,7 +56,7 @@ def posting_order() -> list:
 
 def vocabulary(post: DataFrame) -> DataFrame:
     """(term_idx, term, term_len, doc_freq) of all terms, numbered in byte order."""
-    terms = post.groupBy("term").agg(F.countDistinct("doc_id").alias("doc_freq")).withColumn("term_len", F.octet_length("term"))
+    terms = cut(post.groupBy("term").agg(F.countDistinct("doc_id").alias("doc_freq")).withColumn("term_len", F.octet_length("term")))
     return dense_index(terms, ["term"], "term_idx").select("term_idx", "term", "term_len", "doc_freq")
 
 
@@ -101,9 +101,16 @@ class Index:
     docs: DataFrame
     boundaries: DataFrame
     postings: DataFrame
-    vocab: DataFrame
+    stored_vocab: DataFrame | None
     sections: DataFrame
 
+    @property
+    def vocab(self) -> DataFrame:
+        """The stored vocabulary, or, for an index that isn't saved, one made on first use."""
+        if self.stored_vocab is None:
+            self.stored_vocab = vocabulary(self.postings)
+        return self.stored_vocab
+
     @classmethod
     def build(cls, docs: DataFrame, rule: str | dict = "*", kept_fields: list[str] | None = None, stop: frozenset[str] | None = None, scorer=None) -> "Index":
         """Index of docs(doc_id, title, text, boundaries array, ...), filtered by an index definition."""
@@ -111,16 +118,15 @@ class Index:
         post = postings(chosen, stop)
         if scorer is not None:
             post = scoring.custom_scores(post, chosen, scorer)
-        sections = section_table(chosen)
-        post = post.join(sections, "section_id", "left").withColumn("section_idx", F.coalesce("section_idx", F.lit(0)).cast("int"))
         bounds = chosen.select("doc_id", F.explode("boundaries").alias("b")).select("doc_id", F.col("b.start").alias("start"), F.col("b.end").alias("end"), F.col("b.fieldType").alias("field_type"), F.col("b.sectionId").alias("section_id"), F.col("b.headingLevel").alias("heading_level"))
-        meta = chosen.drop("text", "boundaries").withColumn("text_len", F.lit(None).cast("long")) if "text" not in chosen.columns else chosen.withColumn("text_len", F.octet_length(F.coalesce("text", F.lit("")))).drop("text", "boundaries")
-        return cls(meta, bounds, post, vocabulary(post), sections)
+        meta = chosen.withColumn("text_len", F.octet_length(F.coalesce("text", F.lit("")))).drop("text", "boundaries")
+        return cls(meta, bounds, post, None, section_table(chosen))
 
     def save(self, path: str) -> "Index":
         """Writes the tables and their counts; returns the index as read back."""
         spark = self.docs.sparkSession
-        self.postings.repartitionByRange("term").sortWithinPartitions("term", *posting_order()).write.mode("overwrite").parquet(f"{path}/postings")
+        # By hash, as range partitioning would tokenize twice; files sorted by term are skipped by row group as well.
+        self.postings.repartition("term").sortWithinPartitions("term", *posting_order()).write.mode("overwrite").parquet(f"{path}/postings")
         stored = spark.read.parquet(f"{path}/postings")
         vocabulary(stored).write.mode("overwrite").parquet(f"{path}/vocab")
         for name in ("docs", "boundaries", "sections"):

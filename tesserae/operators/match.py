@@ -38,8 +38,8 @@ def _test(term: Column, mode: str, most: int):
     return one
 
 
-def match_terms(vocab: DataFrame, queries: list[QueryTerm], mode: str) -> DataFrame:
-    """(query_id, term_pos, qt, term, distance) of the terms of `vocab(term)` that match each query term.
+def match_terms(vocab: DataFrame, queries: list[QueryTerm], mode: str, keep: bool = False) -> DataFrame:
+    """(query_id, term_pos, qt, term, distance) of the terms of `vocab(term)` that match each query term; with `keep`, and its other columns.
 
     fuzzy allows a distance of 2, library_fuzzy of 1 or 2 by the query's length;
     both include distance 0.  Empty query terms match nothing.
@@ -47,20 +47,21 @@ def match_terms(vocab: DataFrame, queries: list[QueryTerm], mode: str) -> DataFr
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
     queries = [q for q in queries if q[2]]
+    columns = vocab.columns if keep else ["term"]
     if not queries:
-        return vocab.select(F.lit(0).alias("query_id"), F.lit(0).alias("term_pos"), F.lit("").alias("qt"), "term", F.lit(0).alias("distance")).where("false")
+        return vocab.select(F.lit(0).alias("query_id"), F.lit(0).alias("term_pos"), F.lit("").alias("qt"), *columns, F.lit(0).alias("distance")).where("false")
     parts = []
     for at in range(0, len(queries), BLOCK):
         block = queries[at : at + BLOCK]
         most = max(library_distance(q) for _, _, q in block) if mode == "library_fuzzy" else 2
-        source = vocab.select("term")
+        source = vocab.select(*columns)
         if mode in ("exact", "prefix"):
             tests = [F.col("term") == q if mode == "exact" else F.col("term").startswith(q) for q in sorted({q for _, _, q in block})]
             source = source.where(reduce(lambda a, b: a | b, tests)) if mode == "prefix" else source.where(F.col("term").isin(sorted({q for _, _, q in block})))
         literal = F.array(*[F.struct(F.lit(i).alias("query_id"), F.lit(p).alias("term_pos"), F.lit(q).alias("qt"), F.lit(library_distance(q) if mode == "library_fuzzy" else 2).alias("k")) for i, p, q in block])
         found = source.withColumn("_q", F.explode(F.filter(literal, _test(F.col("term"), mode, most))))
         distance = F.levenshtein("term", F.col("_q.qt"), 2) if "fuzzy" in mode else F.lit(0)
-        parts.append(found.select("_q.query_id", "_q.term_pos", "_q.qt", "term", distance.alias("distance")))
+        parts.append(found.select("_q.query_id", "_q.term_pos", "_q.qt", *columns, distance.alias("distance")))
     return reduce(DataFrame.unionByName, parts)
 
 

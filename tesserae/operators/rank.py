@@ -23,22 +23,22 @@ def top(rows: DataFrame, order: list[Column], limit: int, by: list[str] = ["quer
 
 
 def accumulate(hits: DataFrame, n_terms: DataFrame, titles: DataFrame, limit: int, dedup_sections: bool = True) -> DataFrame:
-    """Multi-term results from hits(query_id, term_pos, doc_id, section_idx, match_type, score, term, seq).
+    """Multi-term results from hits(query_id, term_pos, doc_id, section_id, match_type, score, term, seq).
 
     Scores of all postings of a document's section are added up; its match type
     is the best, its term that of the first hit (by seq) of that type.
     Documents must have a hit of every term (n_terms: query_id, n).  With
     `dedup_sections` a document's sections are added up into one result in its
-    best section (match type, score, then lowest index).
+    best section (match type, score, then lowest id, none first).
     """
     first = F.struct("match_type", "seq")
-    sections = hits.groupBy("query_id", "doc_id", "section_idx").agg(F.sum("score").alias("score"), F.min("match_type").alias("match_type"), F.min_by("term", first).alias("matched_term"), F.collect_set("term_pos").alias("_pos"))
+    sections = hits.groupBy("query_id", "doc_id", "section_id").agg(F.sum("score").alias("score"), F.min("match_type").alias("match_type"), F.min_by("term", first).alias("matched_term"), F.collect_set("term_pos").alias("_pos"))
     per_doc = hits.groupBy("query_id", "doc_id").agg(F.countDistinct("term_pos").alias("_hit")).join(n_terms, "query_id").where("_hit = n").select("query_id", "doc_id")
     sections = sections.drop("_pos").join(per_doc, ["query_id", "doc_id"])
     if dedup_sections:
-        best = F.struct("match_type", -F.col("score"), "section_idx")
-        sections = sections.groupBy("query_id", "doc_id").agg(F.min_by("section_idx", best).alias("section_idx"), F.min_by("matched_term", best).alias("matched_term"), F.min("match_type").alias("match_type"), F.sum("score").alias("score"))
-    return top(sections.join(titles, "doc_id"), [*result_order(), F.asc("section_idx")], limit)
+        best = F.struct("match_type", -F.col("score"), "section_id")
+        sections = sections.groupBy("query_id", "doc_id").agg(F.min_by("section_id", best).alias("section_id"), F.min_by("matched_term", best).alias("matched_term"), F.min("match_type").alias("match_type"), F.sum("score").alias("score"))
+    return top(sections.join(titles, "doc_id"), [*result_order(), F.asc("section_id")], limit)
 
 
 def first_posting(hits: DataFrame, limit: int) -> DataFrame:
@@ -57,7 +57,7 @@ def prefix_fold(hits: DataFrame, titles: DataFrame, limit: int) -> DataFrame:
     doc = Window.partitionBy("query_id", "doc_id")
     placed = hits.withColumn("_pos", F.row_number().over(doc.orderBy(*order))).withColumn("_best", F.min("match_type").over(doc))
     first = placed.withColumn("_p", F.min(F.when(F.col("match_type") == F.col("_best"), F.col("_pos"))).over(doc))
-    folded = first.where(F.col("_pos") >= F.col("_p")).groupBy("query_id", "doc_id").agg(F.max("score").alias("score"), F.min_by("section_idx", "_pos").alias("section_idx"), F.min_by("term", "_pos").alias("matched_term"), F.first("_best").alias("match_type"))
+    folded = first.where(F.col("_pos") >= F.col("_p")).groupBy("query_id", "doc_id").agg(F.max("score").alias("score"), F.min_by("section_id", "_pos").alias("section_id"), F.min_by("term", "_pos").alias("matched_term"), F.first("_best").alias("match_type"))
     return top(folded.join(titles, "doc_id"), result_order(), limit)
 
 
@@ -65,7 +65,7 @@ def fuzzy_fold(hits: DataFrame, titles: DataFrame, limit: int) -> DataFrame:
     """Fuzzy single-term results: each document's best hit by match type and score, the first seen of equals."""
     seen = [F.asc("match_type"), F.desc("score"), F.asc("distance"), F.asc("term"), F.desc("raw_score"), F.desc("base_score"), F.asc("offset")]
     one = hits.withColumn("_n", F.row_number().over(Window.partitionBy("query_id", "doc_id").orderBy(*seen))).where("_n = 1")
-    folded = one.select("query_id", "doc_id", "score", "section_idx", F.col("term").alias("matched_term"), "match_type")
+    folded = one.select("query_id", "doc_id", "score", "section_id", F.col("term").alias("matched_term"), "match_type")
     return top(folded.join(titles, "doc_id"), result_order(), limit)
 
 

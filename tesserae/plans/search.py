@@ -56,14 +56,13 @@ class Engine:
 
     def _hits(self, terms: list[QueryTerm], tier: int, exclude: DataFrame | None) -> DataFrame:
         """Postings of the terms that match, with the tier's score and the order in which a sequential search sees them."""
-        mode = {1: "exact", 2: "prefix", 3: "fuzzy"}[tier]
-        found = match_terms(self.index.vocab, terms, mode)
-        if tier == 3:
-            found = found.where("distance > 0")
         post = self.index.postings
-        if tier == 1 and terms:
-            post = post.where(F.col("term").isin(sorted({t for _, _, t in terms})))
-        hits = post.join(found, "term").join(self.titles.select("doc_id"), "doc_id", "left_semi")
+        if tier == 1:
+            # The postings' own terms answer it; the predicate reaches their scan.
+            hits = match_terms(post, terms, "exact", keep=True)
+        else:
+            found = match_terms(self.index.vocab, terms, "prefix" if tier == 2 else "fuzzy")
+            hits = post.join(found.where("distance > 0") if tier == 3 else found, "term")
         if exclude is not None:
             hits = hits.join(exclude.select("query_id", "doc_id").distinct(), ["query_id", "doc_id"], "left_anti")
         raw = F.col("score").cast("double")
@@ -87,17 +86,18 @@ class Engine:
         if single or not multi:
             hits = self._hits(single, tier, exclude)
             if tier == 1:
-                got = rank.first_posting(hits, limit).withColumn("matched_term", F.col("term"))
-                parts.append(got.join(self.titles, "doc_id"))
+                parts.append(rank.first_posting(hits.join(self.titles, "doc_id"), limit).withColumn("matched_term", F.col("term")))
             else:
                 parts.append((rank.prefix_fold if tier == 2 else rank.fuzzy_fold)(hits, self.titles, limit))
         if multi:
             parts.append(rank.accumulate(self._hits(multi, tier, exclude), F.broadcast(self._counts(multi)), self.titles, limit, dedup_sections))
-        columns = [c for c in RESULT if c != "tier"] + ["title"]
+        columns = ["query_id", "rank", "doc_id", "score", "section_id", "match_type", "matched_term", "title"]
         out = parts[0].select(*columns)
         for p in parts[1:]:
             out = out.unionByName(p.select(*columns))
-        return out.withColumn("tier", F.lit(tier))
+        # Section numbers are joined to the results only.
+        numbered = out.join(self.index.sections, "section_id", "left").withColumn("section_idx", F.coalesce("section_idx", F.lit(0)).cast("int"))
+        return numbered.withColumn("tier", F.lit(tier)).select(*RESULT, "title")
 
     def tiers(self, queries: str | list[str], limit: int = 10, dedup_sections: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
         """The three tiers, each without the results of those before; only a tier's limited results exclude."""

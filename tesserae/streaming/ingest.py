@@ -20,7 +20,7 @@ def append_postings(documents: DataFrame, path: str, checkpoint: str, stop: froz
 
     def write(batch: DataFrame, number: int) -> None:
         post = postings(batch, stop)
-        post.repartitionByRange("term").sortWithinPartitions("term", *posting_order()).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        post.repartition("term").sortWithinPartitions("term", *posting_order()).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return documents.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
