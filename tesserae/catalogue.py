@@ -17,7 +17,7 @@ from .operators import index as ix
 from .operators import rank, suffixes, validate
 from .operators.match import fuzzy_join, match_terms
 from .plans import search as sp
-from .session import shared_folder, ship
+from .session import shared_folder, ship, spread
 from .sources import documents as src
 from .sources import html
 
@@ -129,7 +129,7 @@ def _one_tier(terms: list[str], tier: int, **how) -> str:
 
 @query(f"WITH {_TOKENS} SELECT doc_id, count(*) AS n_tokens, CAST(sum(off) AS BIGINT) AS offset_sum, max(off) AS last_offset FROM tokens WHERE term <> '' GROUP BY doc_id")
 def tokenize_documents(spark, sf_dir):
-    tokens = text.tokenize(_t(spark, sf_dir, "documents"), frozenset())
+    tokens = text.tokenize(spread(_t(spark, sf_dir, "documents")), frozenset())
     return tokens.groupBy("doc_id").agg(F.count("*").alias("n_tokens"), F.sum("offset").alias("offset_sum"), F.max("offset").alias("last_offset"))
 
 
@@ -150,7 +150,7 @@ def normalize_texts_exact(spark, sf_dir):
 
 @query(f"WITH {_TOKENS} SELECT term, count(*) AS n FROM tokens WHERE term <> '' AND term NOT IN ({_STOP_SQL}) GROUP BY term")
 def stopword_filter(spark, sf_dir):
-    return text.tokenize(_t(spark, sf_dir, "documents"), frozenset()).where(~text.is_stop_word(F.col("term"), STOP)).groupBy("term").agg(F.count("*").alias("n"))
+    return text.tokenize(spread(_t(spark, sf_dir, "documents")), frozenset()).where(~text.is_stop_word(F.col("term"), STOP)).groupBy("term").agg(F.count("*").alias("n"))
 
 
 @query("SELECT doc_id, regexp_replace(regexp_replace(lower(split_part(text, chr(10), 1)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM documents")

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring, text
 from ..schema import FORMAT_VERSION
-from ..session import cut, ship
+from ..session import cut, ship, spread
 
 TABLES = ("docs", "boundaries", "postings", "vocab", "sections")
 
@@ -41,7 +41,7 @@ def dense_index(df: DataFrame, order: list[str], name: str, start: int = 0) -> D
 def postings(docs: DataFrame, stop: frozenset[str] | None = None, boundaries_col: str | None = "boundaries") -> DataFrame:
     """Every token of docs(doc_id, text, boundaries) with its field, match type, stored and library score."""
     ship(docs.sparkSession)
-    tokens = text.tokenize(docs, stop, boundaries_col=boundaries_col)
+    tokens = text.tokenize(spread(docs), stop, boundaries_col=boundaries_col)
     return (
         tokens.withColumn("match_type", scoring.match_type(F.col("heading_level")))
         .withColumn("base_score", scoring.final_score(F.col("field_type"), F.col("offset"), F.col("text_len")))

@@ -38,3 +38,19 @@ def cut(df: DataFrame) -> DataFrame:
     """Writes `df` to the shared folder and reads it from there: it is computed once, and a lost executor loses nothing of it."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """`df` over all cores, where it comes in fewer parts than there are cores and is small.
+
+    Tables of one small file, which one task would read, are dealt out anew;
+    anything of over 64 MB for each core stays as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    parts = df.rdd.getNumPartitions()
+    return df.repartition(cores) if parts <= cores and _bytes(df) <= cores << 26 else df
+
+
+def _bytes(df: DataFrame) -> int:
+    """The optimizer's estimate of a table's size."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
