@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut, shared_folder, ship
+from ..session import cut, shared_folder, ship, spread
 
-__all__ = ["cut", "held_out", "shared_folder", "ship", "with_info"]
+__all__ = ["cut", "held_out", "shared_folder", "ship", "spread", "with_info"]
 
 
 def with_info(rows: DataFrame, info: DataFrame, key: str, count: str, total: int, most: int = 1000) -> DataFrame:
