@@ -127,29 +127,28 @@ def shard_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = cut(docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.unhex(F.md5(text.cast("binary"))).alias("key")))
     groups = cut(rows.groupBy("key").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")))
     info = cut(groups.join(shard_groups(groups.select("key", "bytes"), shards), "key").select("key", "n", "shard"))
-    placed = cut(with_info(rows, info, "key", "n", rows.count()).select("doc_id", "size", "text_crc32", "shard"))
-    counts = {(r["p"], r["shard"]): r["count"] for r in placed.groupBy(F.spark_partition_id().alias("p"), "shard").count().collect()}
+    placed = cut(with_info(rows, info, "key", "n", rows.count()).select("doc_id", "size", "text_crc32", "shard", F.spark_partition_id().alias("p")))
+    counts = {(r["p"], r["shard"]): r["count"] for r in placed.groupBy("p", "shard").count().collect()}
     start: dict[tuple[int, int], int] = {}
     for s in range(shards):
         at = 0
-        for p in range(placed.rdd.getNumPartitions()):
+        for p in sorted({p for p, _ in counts}):
             start[p, s] = at
             at += counts.get((p, s), 0)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        p = TaskContext.get().partitionId()
-        at = np.array([start.get((p, s), 0) for s in range(shards)], np.int64)
+        at: dict[tuple[int, int], int] = {}
         for b in batches:
-            shard = b.column("shard").to_numpy().astype(np.int64)
-            slot = np.zeros(len(shard), np.int64)
-            for s in np.unique(shard):
-                mine = np.flatnonzero(shard == s)
-                slot[mine] = at[s] + np.arange(len(mine))
-                at[s] += len(mine)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(slot)], ["doc_id", "size", "text_crc32", "shard", "slot"])
+            key = b.column("p").to_numpy().astype(np.int64) * shards + b.column("shard").to_numpy()
+            slot = np.zeros(len(key), np.int64)
+            for k in np.unique(key).tolist():
+                mine = np.flatnonzero(key == k)
+                place = divmod(k, shards)
+                first = at.get(place, start.get(place, 0))
+                slot[mine] = first + np.arange(len(mine))
+                at[place] = first + len(mine)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "size", "text_crc32", "shard")), pa.array(slot)], ["doc_id", "size", "text_crc32", "shard", "slot"])
 
     numbered = placed.mapInArrow(number, f"doc_id {kind}, size long, text_crc32 long, shard int, slot long")
     return numbered.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
