@@ -46,25 +46,41 @@ def tally(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 class Counter:
-    """Counts of 64-bit keys, merged now and then."""
+    """Counts of 64-bit keys, merged now and then; in eight parts by key, so that a merge copies an eighth."""
 
-    def __init__(self, most: int = 1 << 22) -> None:
-        self.keys: list[np.ndarray] = []
-        self.counts: list[np.ndarray] = []
-        self.size, self.most = 0, most
+    PARTS = 8
 
-    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
-        self.keys.append(keys)
-        self.counts.append(counts)
-        self.size += len(keys)
-        if self.size > self.most:
-            self.merge()
-            self.most = max(self.most, 2 * self.size)
+    def __init__(self, most: int = 1 << 18) -> None:
+        self.keys: list[list[np.ndarray]] = [[] for _ in range(self.PARTS)]
+        self.counts: list[list[np.ndarray]] = [[] for _ in range(self.PARTS)]
+        self.size, self.most = [0] * self.PARTS, [most] * self.PARTS
 
-    def merge(self) -> tuple[np.ndarray, np.ndarray]:
-        k, c = tally(np.concatenate(self.keys), np.concatenate(self.counts)) if self.keys else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        self.keys, self.counts, self.size = [k], [c], len(k)
-        return k, c
+    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        part = ((keys >> np.uint64(ROW_BITS)) & np.uint64(self.PARTS - 1)).astype(np.int8)
+        for k in range(self.PARTS):
+            mine = part == k
+            self.keys[k].append(keys[mine])
+            self.counts[k].append(counts[mine].astype(np.int32))
+            self.size[k] += len(self.keys[k][-1])
+            if self.size[k] > self.most[k]:
+                self._merge(k)
+                self.most[k] = max(self.most[k], self.size[k] + self.size[k] // 2)
+
+    def _merge(self, k: int) -> None:
+        if self.keys[k]:
+            keys, counts = tally(np.concatenate(self.keys[k]), np.concatenate(self.counts[k]))
+            self.keys[k], self.counts[k], self.size[k] = [keys], [counts], len(keys)
+
+    def frequent(self, least: float) -> tuple[np.ndarray, np.ndarray]:
+        """The keys, once each in no order, of at least `least`, and their counts."""
+        keys, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)]
+        for k in range(self.PARTS):
+            self._merge(k)
+            for x, c in zip(self.keys[k], self.counts[k]):
+                keys.append(x[c >= least])
+                counts.append(c[c >= least])
+            self.keys[k], self.counts[k] = [], []
+        return np.concatenate(keys), np.concatenate(counts)
 
 
 def key_counts(composites: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -86,11 +102,9 @@ def local_frequent(docs: DataFrame, least_share: float, hashes: Callable = word_
         for batch in batches:
             data, off = T.column(batch.column("text"))
             n += batch.num_rows
-            for _, _, d, o in T.slices(data, off, 1 << 22, ROWS):
+            for _, _, d, o in T.slices(data, off, 1_000_000, ROWS):
                 found.add(*key_counts(distinct_in_rows(*hashes(d, o))))
-        keys, counts = found.merge()
-        mine = counts >= least_share * n
-        yield sized(keys[mine], counts[mine])
+        yield sized(*found.frequent(least_share * n))
 
     got = docs.select("text").mapInArrow(run, "key long, df long").select("key").distinct().toArrow()
     return np.sort(got.column("key").to_numpy().view(np.uint64))
@@ -106,7 +120,7 @@ def document_counts(docs: DataFrame, keys: np.ndarray, hashes: Callable = word_h
         for batch in batches:
             data, off = T.column(batch.column("text"))
             n += batch.num_rows
-            for _, _, d, o in T.slices(data, off, 1 << 22, ROWS):
+            for _, _, d, o in T.slices(data, off, 1_000_000, ROWS):
                 h, first = hashes(d, o)
                 row = T.row_of(first)
                 at, found = T.lookup(wanted, h & ~_LOW)
