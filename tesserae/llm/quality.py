@@ -1,6 +1,11 @@
-"""Quality rules with an n-gram perplexity model.
+"""Quality rules with two n-gram perplexity models, of characters and of words.
 
-The model is a modified Kneser-Ney model over the characters of words (order
+The model of words counts every gram of one to three words over every document.
+Its table is never in one place: tasks exchange sorted arrays of hashes by hash
+range, and each chunk of documents gets the counts of its own distinct grams
+(word_scores).  It's what tells prose from the same words in another order.
+
+The model of characters is a modified Kneser-Ney model over the characters of words (order
 `order`, padded at the word start, with a word-end mark), one for each language
 of enough data and one, "*", for all.  Spark counts it over every document.
 Continuation counts, discounts, back-off weights and interpolated
@@ -11,11 +16,13 @@ passage in another language isn't taken for noise.
 
 Documents whose mean negative log probability a word leaves the band
 [median - lower * s, median + upper * s] of their language are rejected; s is
-the scaled median absolute deviation, widened for short documents.
+the scaled median absolute deviation, widened for short documents.  The word
+model's value has the upper bound alone.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -307,30 +314,208 @@ def score(docs: DataFrame, model: dict, window: int = 5, own_share: float = 0.8)
     return docs.select("doc_id", "text", "lang", "text_key").mapInArrow(run, schema)
 
 
-def bands(scored: DataFrame) -> DataFrame:
-    """(band, centre, spread): median and scaled median deviation of nll for each band language, exact to 0.001; a row for each language kept and "*"."""
-    rounded = scored.where("nll is not null").select("band", F.round("nll", 3).alias("x"))
+#: Text a chunk of documents holds; a document is never split.
+_CHUNK = 1 << 24
+
+
+def _planes(values: np.ndarray) -> bytes:
+    """The integers' bytes, all lowest bytes first, then the next ones."""
+    return pa.compress(np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes(), codec="zstd", asbytes=True) if len(values) else b""
+
+
+def _unplanes(data: bytes, n: int, kind) -> np.ndarray:
+    if not n:
+        return np.zeros(0, kind)
+    width = np.dtype(kind).itemsize
+    raw = pa.decompress(data, decompressed_size=n * width, codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, n).T).view(kind).ravel()
+
+
+def _runs(ordered: np.ndarray) -> np.ndarray:
+    """Where each run of equal values begins."""
+    return np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])) if len(ordered) else np.zeros(0, np.int64)
+
+
+def word_keys(h: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The last positions of the `k`-grams of words that lie in one row, and their keys; a key's lowest two bits are k."""
+    at = np.arange(len(h))
+    at = at[at - np.repeat(first[:-1], np.diff(first)) >= k - 1]
+    with np.errstate(over="ignore"):
+        g = np.zeros(len(at), np.uint64)
+        for q in range(k - 1, -1, -1):
+            g = g * _M + h[at - q]
+    return at, (T.mix(g) & ~np.uint64(3)) | np.uint64(k)
+
+
+def word_chunks(docs: DataFrame) -> DataFrame:
+    """(chunk, n_docs, n_tokens, n_words, docs, sizes, words, tokens): `docs(text, text_key)` as chunks of hashed words, written to the shared folder."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def pack() -> pa.RecordBatch:
+            keys, counts, h = (np.concatenate([x[i] for x in held]) for i in range(3))
+            order = np.argsort(h, kind="stable")
+            begin = _runs(h[order])
+            ids = np.empty(len(h), np.uint32)
+            ids[order] = np.repeat(np.arange(len(begin), dtype=np.uint32), np.diff(np.append(begin, len(h))))
+            words = h[order[begin]]
+            row = [uuid.uuid4().hex, len(keys), len(h), len(words), _planes(keys), _planes(counts), _planes(np.diff(words, prepend=np.uint64(0))), _planes(ids)]
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array([x]) for x in row], ["chunk", "n_docs", "n_tokens", "n_words", "docs", "sizes", "words", "tokens"])
+
+        for batch in batches:
+            data, off = T.column(batch.column("text"))
+            keys = batch.column("text_key").to_numpy(zero_copy_only=False).astype(np.int64)
+            for i, j, d, o in T.slices(data, off, 1 << 22):
+                if size and size + len(d) > _CHUNK:
+                    yield pack()
+                    size = 0
+                starts, ends, first = T.words(d, o)
+                held.append((keys[i:j], np.diff(first), T.hash_slices(T.running(d), starts, ends)))
+                size += max(1, len(d))
+        if held:
+            yield pack()
+
+    schema = "chunk string, n_docs long, n_tokens long, n_words long, docs binary, sizes binary, words binary, tokens binary"
+    return cut(docs.select("text", "text_key").mapInArrow(run, schema))
+
+
+def _unpack(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a chunk: the documents' keys, each one's first word (and the end), the words' hashes."""
+    first = np.zeros(row["n_docs"] + 1, np.int64)
+    np.cumsum(_unplanes(row["sizes"], row["n_docs"], np.int64), out=first[1:])
+    with np.errstate(over="ignore"):
+        words = np.cumsum(_unplanes(row["words"], row["n_words"], np.uint64), dtype=np.uint64)
+    return _unplanes(row["docs"], row["n_docs"], np.int64), first, words[_unplanes(row["tokens"], row["n_tokens"], np.uint32)]
+
+
+def count_words(chunks: DataFrame, order: int, parts: int) -> DataFrame:
+    """(chunk, part, n, counts, types): for each chunk and range of hashes, how often each of the chunk's distinct grams occurs in all documents, in the order of their keys.
+
+    Every gram of 1 to `order` words is counted.  A chunk sends its sorted
+    distinct keys to `parts` ranges of hashes; the task that has a range merges
+    them and answers each chunk.  types: the distinct words of a range, in one
+    of its rows.
+    """
+    width = np.uint64((1 << 64) // parts + 1)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                _, first, h = _unpack(row)
+                keys = np.sort(np.concatenate([word_keys(h, first, k)[1] for k in range(1, order + 1)]))
+                begin = _runs(keys)
+                n = np.diff(np.append(begin, len(keys))).astype(np.uint32)
+                keys = keys[begin]
+                edge = np.append(_runs(keys // width), len(keys))
+                for a, b in zip(edge[:-1], edge[1:]):
+                    yield pa.RecordBatch.from_arrays([pa.array([row["chunk"]]), pa.array([int(keys[a] // width)], pa.int32()), pa.array([int(b - a)], pa.int64()), pa.array([_planes(np.diff(keys[a:b], prepend=np.uint64(0)))]), pa.array([_planes(n[a:b])])], ["chunk", "part", "n", "keys", "own"])
+
+    def merge(table: pa.Table) -> pa.Table:
+        rows = table.sort_by("chunk").to_pylist()
+        with np.errstate(over="ignore"):
+            keys = np.concatenate([np.cumsum(_unplanes(r["keys"], r["n"], np.uint64), dtype=np.uint64) for r in rows])
+        own = np.concatenate([_unplanes(r["own"], r["n"], np.uint32) for r in rows]).astype(np.int64)
+        by = np.argsort(keys, kind="stable")
+        keys = keys[by]
+        begin = _runs(keys)
+        total = np.empty(len(keys), np.int64)
+        total[by] = np.repeat(np.add.reduceat(own[by], begin), np.diff(np.append(begin, len(keys))))
+        types = int(((keys[begin] & np.uint64(3)) == 1).sum())
+        edge = np.cumsum([0, *(r["n"] for r in rows)])
+        return pa.table({"chunk": [r["chunk"] for r in rows], "part": pa.array([r["part"] for r in rows], pa.int32()), "n": pa.array([r["n"] for r in rows], pa.int64()), "counts": pa.array([_planes(total[a:b]) for a, b in zip(edge[:-1], edge[1:])], pa.binary()), "types": pa.array([types, *[0] * (len(rows) - 1)], pa.int64())})
+
+    sent = chunks.where("n_tokens > 0").mapInArrow(send, "chunk string, part int, n long, keys binary, own binary")
+    return cut(sent.groupBy("part").applyInArrow(merge, "chunk string, part int, n long, counts binary, types long"))
+
+
+def word_scores(docs: DataFrame, order: int = 3, strength: float = 4.0) -> DataFrame:
+    """(text_key, word_nll) of each text of `docs(text, text_key)` that has words: the mean negative log probability of a word after the `order` - 1 words before it.
+
+    Counts are of all documents but the one at hand, so a text isn't foretold by
+    itself: c - own, for every gram of 1 to `order` words.  A gram's probability
+    is (c + strength * shorter) / (context + strength), shorter being that of
+    the gram without its first word; a word's own is (c + 0.5) / (N + 0.5 * (V + 1)).
+    Grams don't go over a document's ends.
+    """
+    if not 1 <= order <= 3:
+        raise ValueError("order must be 1, 2 or 3")
+    chunks = word_chunks(docs)
+    counts = count_words(chunks, order, 4 * max(1, docs.rdd.getNumPartitions()))
+    whole = chunks.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
+    types = counts.agg(F.coalesce(F.sum("types"), F.lit(0))).first()[0]
+
+    def answer(left: pa.Table, right: pa.Table) -> pa.Table:
+        out_key, out_nll = [np.zeros(0, np.int64)], [np.zeros(0)]
+        for row in left.to_pylist():
+            doc, first, h = _unpack(row)
+            rest = right.sort_by("part").to_pylist()
+            known = np.concatenate([_unplanes(r["counts"], r["n"], np.int64) for r in rest])
+            at, keys = zip(*(word_keys(h, first, k) for k in range(1, order + 1)))
+            every = np.concatenate(keys)
+            place = np.concatenate(at)
+            doc_of = T.row_of(first)
+            by = np.argsort(every, kind="stable")
+            keys_by, row_by = every[by], doc_of[place[by]]
+            new = np.append(True, keys_by[1:] != keys_by[:-1])
+            if new.sum() != len(known):
+                raise RuntimeError("counts and grams of a chunk differ")
+            # A gram's places are in row order, so each document's are a run.
+            begin = np.flatnonzero(new | np.append(True, row_by[1:] != row_by[:-1]))
+            mine = np.repeat(np.diff(np.append(begin, len(by))), np.diff(np.append(begin, len(by))))
+            others = np.empty(len(by))
+            others[by] = known[np.cumsum(new) - 1] - mine
+            edge = np.cumsum([0, *map(len, keys)])
+            size = np.diff(first)
+            p = (others[: edge[1]] + 0.5) / (whole - size[doc_of] + 0.5 * (types + 1))
+            context = others[: edge[1]]
+            for k in range(2, order + 1):
+                c = np.zeros(len(h))
+                c[at[k - 1]] = others[edge[k - 1] : edge[k]]
+                p[at[k - 1]] = (c[at[k - 1]] + strength * p[at[k - 1]]) / (context[at[k - 1] - 1] + strength)
+                context = c
+            nll = T.sums(-np.log(p), first, np.float64) / np.maximum(size, 1)
+            out_key.append(doc[size > 0])
+            out_nll.append(nll[size > 0])
+        return pa.table({"text_key": np.concatenate(out_key), "word_nll": np.concatenate(out_nll)})
+
+    found = chunks.where("n_tokens > 0").groupBy("chunk").cogroup(counts.groupBy("chunk")).applyInArrow(answer, "text_key long, word_nll double")
+    return found.groupBy("text_key").agg(F.min("word_nll").alias("word_nll"))
+
+
+def bands(scored: DataFrame, value: str = "nll") -> DataFrame:
+    """(band, centre, spread): median and scaled median deviation of `value` for each band language, exact to 0.001; a row for each language kept and "*"."""
+    rounded = scored.where(F.col(value).isNotNull()).select("band", F.round(value, 3).alias("x"))
     centre = rounded.groupBy("band").agg(F.percentile("x", 0.5).alias("centre"))
     spread = rounded.join(F.broadcast(centre), "band").groupBy("band").agg(F.first("centre").alias("centre"), (1.4826 * F.percentile(F.round(F.abs(F.col("x") - F.col("centre")), 3), 0.5)).alias("spread"))
     return spread.select("band", "centre", F.greatest("spread", F.lit(0.01)).alias("spread"))
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = 4, window: int = 5, least_words: int = 10, most_repeat: int = 20, lower: float = 4.5, upper: float = 4.5, short: float = 50.0) -> DataFrame:
-    """One row for every row of `docs`: doc_id, text_key, base metrics, base_failed, kept, nll, perplexity, band_low, band_high.
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = 4, window: int = 5, least_words: int = 10, most_repeat: int = 20, lower: float = 4.5, upper: float = 4.5, short: float = 50.0, word_order: int = 3) -> DataFrame:
+    """One row for every row of `docs`: doc_id, text_key, base metrics, base_failed, kept, nll, perplexity, band_low, band_high, word_nll, word_perplexity, word_band_high.
 
     base_failed: fewer than `least_words` words, or over `most_repeat` percent
     of them in repeated windows.  A null or blank text has no words, so it
     fails; a null or rare lang uses the bands of "*".  Repeated rows are judged
     each, alike.  A document of n scored words has a band wider by
-    sqrt(1 + short / n).  An empty table gives an empty result.
+    sqrt(1 + short / n).  kept also wants word_nll, of grams of `word_order` words
+(word_scores), not to be over its language's median by more than `upper` such
+spreads; it has no lower bound, because copies foretell each other and are the
+deduplication's matter.  An empty table gives an empty result.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(text_col), F.col(lang_col)).alias("text_key"))
-    scored = cut(score(rows, fit(rows, order), window))
-    joined = scored.join(F.broadcast(bands(scored)), "band", "left")
+    words = word_scores(rows, word_order)
+    scored = cut(score(rows, fit(rows, order), window).join(words, "text_key", "left"))
+    word_bands = bands(scored, "word_nll").select("band", F.col("centre").alias("word_centre"), F.col("spread").alias("word_spread"))
+    joined = scored.join(F.broadcast(bands(scored)), "band", "left").join(F.broadcast(word_bands), "band", "left")
     wide = F.col("spread") * F.sqrt(1 + F.lit(short) / F.greatest("n_scored", F.lit(1)))
     failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > most_repeat * F.col("n_words"))
     low, high = F.col("centre") - lower * wide, F.col("centre") + upper * wide
-    return joined.select("doc_id", "text_key", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & F.coalesce(F.col("nll").between(low, high), F.lit(False))).alias("kept"), "nll", F.exp("nll").alias("perplexity"), low.alias("band_low"), high.alias("band_high"))
+    word_high = F.col("word_centre") + upper * F.col("word_spread") * F.sqrt(1 + F.lit(short) / F.greatest("n_words", F.lit(1)))
+    inside = F.col("nll").between(low, high) & (F.col("word_nll") <= word_high)
+    return joined.select("doc_id", "text_key", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & F.coalesce(inside, F.lit(False))).alias("kept"), "nll", F.exp("nll").alias("perplexity"), low.alias("band_low"), high.alias("band_high"), "word_nll", F.exp("word_nll").alias("word_perplexity"), word_high.alias("word_band_high"))
 
 
 def keep_good(docs: DataFrame, **how) -> DataFrame:

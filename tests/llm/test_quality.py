@@ -150,3 +150,50 @@ def test_empty_and_repeated_rows(spark):
     assert quality.judge(empty).count() == 0
     rows = [(1, "alpha beta gamma delta epsilon zeta eta theta iota kappa", "en")] * 3 + [(None, None, None)]
     assert quality.judge(spark.createDataFrame(rows, empty.schema)).count() == 4
+
+
+def test_word_scores_equal_brute_force(spark):
+    rows = [t for t in texts() if t is not None] + ["a b c d a b c d", "a b c d a b c d", "b a d c"]
+    df = spark.createDataFrame([(t, i) for i, t in enumerate(rows)], "text string, text_key long").repartition(3)
+    got = {r["text_key"]: r["word_nll"] for r in quality.word_scores(df).collect()}
+    grams = [[Counter(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) for k in (1, 2, 3)] for w in map(WORD.findall, rows)]
+    total = [sum((g[k] for g in grams), Counter()) for k in range(3)]
+    n, types = sum(total[0].values()), len(total[0])
+    for i, t in enumerate(rows):
+        w = WORD.findall(t)
+        if not w:
+            assert i not in got
+            continue
+        c = lambda g: total[len(g) - 1][g] - grams[i][len(g) - 1][g]
+        nll = 0.0
+        for j in range(len(w)):
+            p = (c((w[j],)) + 0.5) / (n - len(w) + 0.5 * (types + 1))
+            for k in range(1, min(2, j) + 1):
+                p = (c(tuple(w[j - k : j + 1])) + 4 * p) / (c(tuple(w[j - k : j])) + 4)
+            nll -= math.log(p)
+        assert abs(got[i] - nll / len(w)) < 1e-9 * max(1, nll)
+
+
+def test_shuffled_words_are_rejected(spark):
+    rnd = random.Random(6)
+    vocab = ["".join(rnd.choice(["the", "an", "er", "ing", "st", "ou", "re"]) for _ in range(rnd.randint(1, 4))) for _ in range(400)]
+    after = {w: rnd.sample(vocab, 4) for w in vocab}
+
+    def prose():
+        out = [rnd.choice(vocab)]
+        while len(out) < 150:
+            out.append(rnd.choice(after[out[-1]]))
+        return out
+
+    clean = [(i, " ".join(prose()), "en") for i in range(300)]
+    salad = []
+    for i in range(9):
+        w = prose()
+        rnd.shuffle(w)
+        salad.append((1000 + i, " ".join(w), "en"))
+    df = spark.createDataFrame(clean + salad, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r for r in quality.judge(df).collect()}
+    assert all(got[i]["kept"] != got[i]["base_failed"] for i, _, _ in clean)
+    for i, _, _ in salad:
+        assert not got[i]["base_failed"]
+        assert not got[i]["kept"] and got[i]["band_low"] <= got[i]["nll"] <= got[i]["band_high"]
