@@ -7,9 +7,9 @@ range, and each chunk of documents gets the counts of its own distinct grams
 
 The model of characters is a modified Kneser-Ney model over the characters of words (order
 `order`, padded at the word start, with a word-end mark), one for each language
-of enough data and one, "*", for all.  Spark counts it over every document.
+and one, "*", for all.  Spark counts it over every document.
 Continuation counts, discounts, back-off weights and interpolated
-probabilities are DataFrame aggregations; what is kept goes to sorted arrays of
+probabilities are DataFrame aggregations; all grams go to sorted arrays of
 64-bit hashes which tasks probe by binary search, once for each distinct word
 of a batch.  A word's probability mixes its language's model and "*", so a
 passage in another language isn't taken for noise.
@@ -174,18 +174,15 @@ def count_grams(docs: DataFrame, order: int = 4) -> DataFrame:
     return docs.select("text", "lang").mapInArrow(run, "lang string, gram string, c long").groupBy("lang", "gram").agg(F.sum("c").alias("c"))
 
 
-def fit(docs: DataFrame, order: int = 4, least_share: float = 1e-6, least_language: float = 1e-3) -> dict:
+def fit(docs: DataFrame, order: int = 4) -> dict:
     """The model of `docs(text, lang)`: {"languages": {name: number}, "order", "gram": {k: (keys, logp)}, "back": {k: (keys, log weight)}, "base"}.
 
-    Counts and discounts are of all documents.  Grams of less than
-    `least_share` of their order's total count aren't kept, so each sorted
-    array has at most 1 / least_share entries, whatever the corpus; languages of
-    less than `least_language` of the characters use the model "*".
+    Counts and discounts are of all documents, and every counted gram is kept,
+    at any size; every language that has words has its own model.
     """
     counted = cut(count_grams(docs, order))
-    size = counted.groupBy("lang").agg(F.sum("c").alias("n")).where(F.col("lang") != "")
     whole = counted.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
-    kept = [r[0] for r in size.where(F.col("n") >= F.lit(max(1.0, least_language * whole))).orderBy("lang").collect()]
+    kept = sorted(r[0] for r in counted.select("lang").where(~F.col("lang").isin("", "*")).distinct().collect())
     languages = {"*": 0} | {name: i + 1 for i, name in enumerate(kept)}
     own = counted.where(F.col("lang").isin(kept)) if kept else counted.where("false")
     table = own.unionByName(counted.groupBy("gram").agg(F.sum("c").alias("c")).withColumn("lang", F.lit("*")).select("lang", "gram", "c"))
@@ -198,8 +195,7 @@ def fit(docs: DataFrame, order: int = 4, least_share: float = 1e-6, least_langua
     lower = None
     for k in range(1, order + 1):
         t = tables[k]
-        stats = {r["lang"]: r for r in t.groupBy("lang").agg(*[F.sum(F.when(F.col("c") == i, 1).otherwise(0)).alias(f"n{i}") for i in (1, 2, 3, 4)], F.count("*").alias("types"), F.sum("c").alias("total")).collect()}
-        grand = sum(r["total"] for r in stats.values())
+        stats = {r["lang"]: r for r in t.groupBy("lang").agg(*[F.sum(F.when(F.col("c") == i, 1).otherwise(0)).alias(f"n{i}") for i in (1, 2, 3, 4)], F.count("*").alias("types")).collect()}
         cases: dict[int, object] = {}
         for i in (1, 2, 3):
             expr = F.lit(0.0)
@@ -222,15 +218,14 @@ def fit(docs: DataFrame, order: int = 4, least_share: float = 1e-6, least_langua
         else:
             t = t.withColumn("suffix", F.expr(f"substring(gram, 2, {k - 1})")).join(lower.select("lang", F.col("gram").alias("suffix"), F.col("p").alias("low")), ["lang", "suffix"])
         lower = cut(t.select("lang", "gram", "c", "ctx", "cc", "gamma", ((F.col("c") - F.col("d")) / F.col("cc") + F.col("gamma") * F.col("low")).alias("p")))
-        least = F.lit(max(1.0, least_share * grand))
-        model["gram"][k] = _arrays(lower.where(F.col("c") >= least).select("lang", "gram", F.log("p").cast("float").alias("v")), languages, k)
+        model["gram"][k] = _arrays(lower.select("lang", "gram", F.log("p").cast("float").alias("v")), languages, k)
         if k > 1:
-            model["back"][k - 1] = _arrays(lower.where(F.col("cc") >= least).select("lang", F.col("ctx").alias("gram"), F.log("gamma").cast("float").alias("v")).distinct(), languages, k - 1)
+            model["back"][k - 1] = _arrays(lower.select("lang", F.col("ctx").alias("gram"), F.log("gamma").cast("float").alias("v")).distinct(), languages, k - 1)
     return model
 
 
 def _arrays(rows: DataFrame, languages: dict[str, int], k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted gram hashes and their values; the rows are bounded by `least_share`."""
+    """Sorted gram hashes and their values."""
     got = rows.toArrow()
     if not got.num_rows:
         return np.zeros(0, np.uint64), np.zeros(0, np.float32)
@@ -486,7 +481,7 @@ def word_scores(docs: DataFrame, order: int = 3, strength: float = 4.0) -> DataF
 
 
 def bands(scored: DataFrame, value: str = "nll") -> DataFrame:
-    """(band, centre, spread): median and scaled median deviation of `value` for each band language, exact to 0.001; a row for each language kept and "*"."""
+    """(band, centre, spread): median and scaled median deviation of `value` for each band language, exact to 0.001; a row for each language and "*"."""
     rounded = scored.where(F.col(value).isNotNull()).select("band", F.round(value, 3).alias("x"))
     centre = rounded.groupBy("band").agg(F.percentile("x", 0.5).alias("centre"))
     spread = rounded.join(F.broadcast(centre), "band").groupBy("band").agg(F.first("centre").alias("centre"), (1.4826 * F.percentile(F.round(F.abs(F.col("x") - F.col("centre")), 3), 0.5)).alias("spread"))
@@ -498,12 +493,12 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
     base_failed: fewer than `least_words` words, or over `most_repeat` percent
     of them in repeated windows.  A null or blank text has no words, so it
-    fails; a null or rare lang uses the bands of "*".  Repeated rows are judged
+    fails; a null lang uses the bands of "*".  Repeated rows are judged
     each, alike.  A document of n scored words has a band wider by
     sqrt(1 + short / n).  kept also wants word_nll, of grams of `word_order` words
-(word_scores), not to be over its language's median by more than `upper` such
-spreads; it has no lower bound, because copies foretell each other and are the
-deduplication's matter.  An empty table gives an empty result.
+    (word_scores), not to be over its language's median by more than `upper` such
+    spreads; it has no lower bound, because copies foretell each other and are the
+    deduplication's matter.  An empty table gives an empty result.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(text_col), F.col(lang_col)).alias("text_key"))
     words = word_scores(rows, word_order)

@@ -197,3 +197,15 @@ def test_shuffled_words_are_rejected(spark):
     for i, _, _ in salad:
         assert not got[i]["base_failed"]
         assert not got[i]["kept"] and got[i]["band_low"] <= got[i]["nll"] <= got[i]["band_high"]
+
+
+def test_rare_language_keeps_its_grams_and_bands(spark):
+    common = [("abcd efgh " * 100_000, "en")] * 3
+    rare = [("zażółć gęślą jaźń kot pies", "pl"), ("kot pies żółw wąż", "pl")]
+    model = quality.fit(spark.createDataFrame(common + rare, "text string, lang string"))
+    assert set(model["languages"]) == {"*", "en", "pl"}
+    padded = ["\x02" * 3 + w + "\x03" for t, _ in rare for w in t.split()]
+    grams = sorted({w[i : i + 4] for w in padded for i in range(len(w) - 3)})
+    cp = [np.array([ord(g[q]) for g in grams], np.uint32) for q in range(4)]
+    for lang in ("pl", "*"):
+        assert T.lookup(model["gram"][4][0], quality.gram_key(cp, model["languages"][lang]))[1].all()
