@@ -310,7 +310,9 @@ def score(docs: DataFrame, model: dict, window: int = 5, own_share: float = 0.8)
 
 
 #: Text a chunk of documents holds; a document is never split.
-_CHUNK = 1 << 24
+_CHUNK = 1 << 22
+#: Grams that a range of hashes is made for.
+_PART = 1 << 22
 
 
 def _planes(values: np.ndarray) -> bytes:
@@ -394,7 +396,7 @@ def count_words(chunks: DataFrame, order: int, parts: int) -> DataFrame:
     them and answers each chunk.  types: the distinct words of a range, in one
     of its rows.
     """
-    width = np.uint64((1 << 64) // parts + 1)
+    width = np.uint64(min((1 << 64) // parts + 1, (1 << 64) - 1))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -438,8 +440,8 @@ def word_scores(docs: DataFrame, order: int = 3, strength: float = 4.0) -> DataF
     if not 1 <= order <= 3:
         raise ValueError("order must be 1, 2 or 3")
     chunks = word_chunks(docs)
-    counts = count_words(chunks, order, 4 * max(1, docs.rdd.getNumPartitions()))
     whole = chunks.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
+    counts = count_words(chunks, order, order * whole // _PART + 1)
     types = counts.agg(F.coalesce(F.sum("types"), F.lit(0))).first()[0]
 
     def answer(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -501,7 +503,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     deduplication's matter.  An empty table gives an empty result.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(text_col), F.col(lang_col)).alias("text_key"))
-    words = word_scores(rows, word_order)
+    words = cut(word_scores(rows, word_order))
     scored = cut(score(rows, fit(rows, order), window).join(words, "text_key", "left"))
     word_bands = bands(scored, "word_nll").select("band", F.col("centre").alias("word_centre"), F.col("spread").alias("word_spread"))
     joined = scored.join(F.broadcast(bands(scored)), "band", "left").join(F.broadcast(word_bands), "band", "left")

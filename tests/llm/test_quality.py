@@ -152,7 +152,8 @@ def test_empty_and_repeated_rows(spark):
     assert quality.judge(spark.createDataFrame(rows, empty.schema)).count() == 4
 
 
-def test_word_scores_equal_brute_force(spark):
+def test_word_scores_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(quality, "_PART", 500)
     rows = [t for t in texts() if t is not None] + ["a b c d a b c d", "a b c d a b c d", "b a d c"]
     df = spark.createDataFrame([(t, i) for i, t in enumerate(rows)], "text string, text_key long").repartition(3)
     got = {r["text_key"]: r["word_nll"] for r in quality.word_scores(df).collect()}
