@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -267,13 +268,13 @@ def _ascii(spark: SparkSession, sf_dir: str) -> sp.Engine:
 
 
 @query(_one_tier(["thingre"], 3))
-def t3_fuzzy_single(spark, sf_dir):
-    return _results(_ascii(spark, sf_dir).tier("thingre", 3, LIMIT))
+def t3_fuzzy_single(spark, sf_dir, engine=_ascii):
+    return _results(engine(spark, sf_dir).tier("thingre", 3, LIMIT))
 
 
 @query(_one_tier(["thingre", "eringt"], 3))
-def t3_fuzzy_multi(spark, sf_dir):
-    return _results(_ascii(spark, sf_dir).tier("thingre eringt", 3, LIMIT))
+def t3_fuzzy_multi(spark, sf_dir, engine=_ascii):
+    return _results(engine(spark, sf_dir).tier("thingre eringt", 3, LIMIT))
 
 
 def _tiered_sql(terms: list[str]) -> str:
@@ -287,20 +288,20 @@ _FINAL = "row_number() OVER (ORDER BY match_type, score DESC, title, doc_id)"
 
 
 @query(f"{_tiered_sql(['thing'])} SELECT {_OUT.replace('rk AS', 'r AS').replace('CAST(rk', 'CAST(r')}, tier FROM (SELECT *, {_FINAL} AS r FROM every) WHERE r <= {LIMIT}")
-def tiered_search(spark, sf_dir):
-    found = _ascii(spark, sf_dir).search("thing", LIMIT)
+def tiered_search(spark, sf_dir, engine=_ascii):
+    found = engine(spark, sf_dir).search("thing", LIMIT)
     return _results(found).join(found.select("doc_id", "tier"), "doc_id")
 
 
 @query(f"{_tiered_sql(['ing', 'tion'])} SELECT {_OUT.replace('CAST(rk', 'CAST(r')}, tier FROM (SELECT *, {_FINAL} AS r FROM every) WHERE r <= {LIMIT}")
-def tiered_search_multi(spark, sf_dir):
-    found = _ascii(spark, sf_dir).search("ing tion", LIMIT)
+def tiered_search_multi(spark, sf_dir, engine=_ascii):
+    found = engine(spark, sf_dir).search("ing tion", LIMIT)
     return _results(found).join(found.select("doc_id", "tier"), "doc_id")
 
 
 @query(f"{_tiered_sql(['thing'])} SELECT tier, count(*) AS hits FROM every GROUP BY tier")
-def tier_counts(spark, sf_dir):
-    one, two, three = _ascii(spark, sf_dir).tiers("thing", LIMIT)
+def tier_counts(spark, sf_dir, engine=_ascii):
+    one, two, three = engine(spark, sf_dir).tiers("thing", LIMIT)
     return rank.tier_counts(one.unionByName(two).unionByName(three)).select("tier", "hits")
 
 
@@ -310,16 +311,16 @@ best AS (SELECT * EXCLUDE (rk) FROM every QUALIFY row_number() OVER (PARTITION B
 
 
 @query(f"{_merged('match_type, score DESC, title, doc_id, tier, section_idx', 10)} SELECT {_OUT.replace('CAST(rk', 'CAST(r')}, tier FROM (SELECT *, {_FINAL} AS r FROM best) WHERE r <= {LIMIT}")
-def progressive_t1_t2_t3(spark, sf_dir):
+def progressive_t1_t2_t3(spark, sf_dir, engine=_ascii):
     last = None
-    for _, last in sp.progressive(_ascii(spark, sf_dir), "thing", LIMIT):
+    for _, last in sp.progressive(engine(spark, sf_dir), "thing", LIMIT):
         pass
     return _results(last).join(last.select("doc_id", "tier"), "doc_id")
 
 
 @query(f"{_merged('score DESC, tier, match_type, section_idx', 10)} SELECT doc_id, round(score, 6) AS score, tier FROM best")
-def streaming_dedup_best(spark, sf_dir):
-    e = _ascii(spark, sf_dir)
+def streaming_dedup_best(spark, sf_dir, engine=_ascii):
+    e = engine(spark, sf_dir)
     every = e.tier("thing", 1, 100).unionByName(e.tier("thing", 2, 100)).unionByName(e.tier("thing", 3, 100))
     return rank.stream_best(every).select("doc_id", _r("score"), "tier")
 
@@ -347,8 +348,8 @@ def docs_all_terms_intersect(spark, sf_dir):
 
 
 @query(f"WITH {_POST} SELECT qt, term, levenshtein(term, qt) AS distance FROM (SELECT DISTINCT term FROM post WHERE term ~ '^[a-z0-9]+$') v, (VALUES ('thingre'), ('eringt'), ('ouhand'), ('st')) q(qt) WHERE levenshtein(term, qt) <= 2")
-def fuzzy_candidates_join(spark, sf_dir):
-    vocab = _ascii(spark, sf_dir).index.vocab
+def fuzzy_candidates_join(spark, sf_dir, engine=_ascii):
+    vocab = engine(spark, sf_dir).index.vocab
     queries = spark.createDataFrame([("thingre",), ("eringt",), ("ouhand",), ("st",)], "qt string")
     return fuzzy_join(vocab, queries).select("qt", "term", F.col("distance").cast("long").alias("distance"))
 
@@ -382,24 +383,32 @@ def _library(df: DataFrame) -> DataFrame:
 
 
 @query(_library_sql(["tion", "ing"], [_EXACT]))
-def hybrid_exact(spark, sf_dir):
-    return _library(_ascii(spark, sf_dir).search_exact("Tion ing"))
+def hybrid_exact(spark, sf_dir, engine=_ascii):
+    return _library(engine(spark, sf_dir).search_exact("Tion ing"))
 
 
 @query(_library_sql(["edble"], [_SUB], "WHERE p.doc_id NOT IN (1, 3, 5)"))
-def hybrid_expanded(spark, sf_dir):
+def hybrid_expanded(spark, sf_dir, engine=_ascii):
     out = spark.createDataFrame([(0, 1), (0, 3), (0, 5)], "query_id int, doc_id long")
-    return _library(_ascii(spark, sf_dir).search_expanded("edble", out))
+    return _library(engine(spark, sf_dir).search_expanded("edble", out))
 
 
 @query(_library_sql(["thingre", "rewhh"], [_FUZZY]))
-def hybrid_fuzzy(spark, sf_dir):
-    return _library(_ascii(spark, sf_dir).search_fuzzy("thingre rewhh"))
+def hybrid_fuzzy(spark, sf_dir, engine=_ascii):
+    return _library(engine(spark, sf_dir).search_fuzzy("thingre rewhh"))
 
 
 @query(_library_sql(["ing", "edbl", "thingrx", "zzzzqqqq"], [_EXACT, _SUB, _FUZZY]))
-def hybrid_first_tier(spark, sf_dir):
-    return _library(_ascii(spark, sf_dir).search_hybrid("ing edbl thingrx zzzzqqqq"))
+def hybrid_first_tier(spark, sf_dir, engine=_ascii):
+    return _library(engine(spark, sf_dir).search_hybrid("ing edbl thingrx zzzzqqqq"))
+
+
+#: The same over the index's whole vocabulary, without SQL: its distance counts bytes, these count characters.
+for _f in (
+    t3_fuzzy_single, t3_fuzzy_multi, tiered_search, tiered_search_multi, tier_counts, progressive_t1_t2_t3,
+    streaming_dedup_best, fuzzy_candidates_join, hybrid_exact, hybrid_expanded, hybrid_fuzzy, hybrid_first_tier,
+):
+    QUERIES[f"{_f.__name__}_whole"] = partial(_f, engine=_engine)
 
 
 def _suffix_sql(term: str) -> str:
