@@ -210,6 +210,13 @@ def posting_ranks(spark, sf_dir):
     return post.select("term", "doc_id", "offset", "score", F.row_number().over(Window.partitionBy("term").orderBy(*ix.posting_order())).alias("place"))
 
 
+@query()
+def posting_ranks_whole(spark, sf_dir):
+    """The rank of every posting in its term's list."""
+    post = _engine(spark, sf_dir).index.postings
+    return post.select("term", "doc_id", "offset", "score", F.row_number().over(Window.partitionBy("term").orderBy(*ix.posting_order())).alias("place"))
+
+
 @query(f"WITH {_POST} SELECT (SELECT count(*) FROM docs) AS docs, count(DISTINCT term) AS terms, (SELECT CAST(sum(text_len) AS BIGINT) FROM docs) AS text_bytes FROM post")
 def corpus_totals(spark, sf_dir):
     return _engine(spark, sf_dir).index.totals()
@@ -556,6 +563,13 @@ def custom_scoring_udf(spark, sf_dir):
     return own.select("term", "doc_id", "offset", "score")
 
 
+@query()
+def custom_scoring_udf_whole(spark, sf_dir):
+    """Every posting scored by the user's function."""
+    e = _engine(spark, sf_dir)
+    return scoring.custom_scores(e.index.postings, e.index.docs, _own_score).select("term", "doc_id", "offset", "score")
+
+
 def _own_score(context: dict) -> float:
     m = context["match"]
     return 1000 * (m["fieldType"] == "title") + m["textLength"] % 7 + 3.9
