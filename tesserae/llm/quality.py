@@ -1,23 +1,17 @@
-"""Quality rules with two n-gram perplexity models, of characters and of words.
-
-The model of words counts every gram of one to three words over every document.
-Its table is never in one place: tasks exchange sorted arrays of hashes by hash
-range, and each chunk of documents gets the counts of its own distinct grams
-(word_scores).  It's what tells prose from the same words in another order.
-
-The model of characters is a modified Kneser-Ney model over the characters of words (order
-`order`, padded at the word start, with a word-end mark), one for each language
-and one, "*", for all.  Spark counts it over every document.
-Continuation counts, discounts, back-off weights and interpolated
-probabilities are DataFrame aggregations; all grams go to sorted arrays of
-64-bit hashes which tasks probe by binary search, once for each distinct word
-of a batch.  A word's probability mixes its language's model and "*", so a
-passage in another language isn't taken for noise.
-
-Documents whose mean negative log probability a word leaves the band
-[median - lower * s, median + upper * s] of their language are rejected; s is
-the scaled median absolute deviation, widened for short documents.  The word
-model's value has the upper bound alone.
+"""Quality rules with an n-gram perplexity model of words.
+
+The model is interpolated modified Kneser-Ney of order 2 over the words of all
+documents, each document beginning with a start mark.  Nothing is pruned, and
+no table of it is ever in one place: documents are held as chunks of numbered
+words (word_chunks), chunks send sorted arrays of gram hashes to ranges of
+hashes, and the task that has a range counts them and answers every chunk in
+the order of its keys (count_grams, count_words).  A document is scored without
+its own counts at every level (score_chunk), so a text doesn't foretell itself.
+
+Each language has a band of its own, [median - lower * s, median + upper * s], s
+being the scaled median absolute deviation, widened for short documents.  The
+bigram perplexity has the upper bound; the perplexity under the model's
+continuation unigrams, which copies of a text leave as it is, has both.
 """
 
 from __future__ import annotations
@@ -31,15 +25,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textops as T
-from .sparkops import cut
+from .sparkops import bounded, bucketed, cut, keep_rows
 
-START, END, OTHER = 2, 3, 1
-_SAFE = np.arange(256, dtype=np.uint8)
-_SAFE[[0, START, END]] = OTHER
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
-_ALNUM = np.zeros(256, bool)
-_ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 _M = np.uint64(0x9FB21C651E98DF25)
 
 
@@ -92,227 +81,13 @@ def base_metrics(data: np.ndarray, off: np.ndarray, window: int = 5) -> dict[str
     return {"n_words": count, "word_chars": word_chars, "n_symbols": n_symbols, "n_dup_lines": n_dup, "n_repeat_words": n_repeat, "starts": starts, "ends": ends, "first": first, "hash": h}
 
 
-def _unique_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, keys: np.ndarray):
-    """Distinct words by key: index of one occurrence each, inverse and counts."""
-    _, at, inverse, counts = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
-    return at, inverse, counts
-
-
-def _padded(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """Code points of the words, each after order - 1 start marks and before an end mark, and the word of each."""
-    body, off = T.gather(data, starts, ends)
-    pad = order - 1
-    size = ends - starts
-    out = np.full(len(body) + len(size) * (pad + 1), START, np.uint8)
-    place = np.arange(len(body)) + np.repeat((np.arange(len(size)) * (pad + 1)) + pad, size)
-    out[place] = _SAFE[body]
-    stop = off[1:] + np.arange(len(size)) * (pad + 1) + pad
-    out[stop] = END
-    cp = T.code_points(out)
-    ends_at = np.flatnonzero(cp == END)
-    word = np.searchsorted(ends_at, np.arange(len(cp)))
-    return cp, word
-
-
-def _grams(cp: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions that are predicted (all but start marks) and the packed order-grams that end there."""
-    at = np.flatnonzero(cp != START)
-    with np.errstate(over="ignore"):
-        h = np.zeros(len(at), np.uint64)
-        for k in range(order - 1, -1, -1):
-            h = h * _M + cp[at - k].astype(np.uint64)
-    return at, h
-
-
-def gram_key(cp: list[np.ndarray] | np.ndarray, language: int) -> np.ndarray:
-    """Hash of grams given by their code points, oldest first, for one language's model."""
-    with np.errstate(over="ignore"):
-        h = np.zeros(len(cp[0]), np.uint64)
-        for c in cp:
-            h = h * _M + c.astype(np.uint64)
-        return T.mix(h * np.uint64(8) + np.uint64(len(cp)) + np.uint64(language) * np.uint64(0x9E3779B97F4A7C15))
-
-
-def count_grams(docs: DataFrame, order: int = 4) -> DataFrame:
-    """(lang, gram, c): the padded words' character grams of `docs(text, lang)`, over whole texts.
-
-    A task counts distinct words, then the grams of those; only distinct grams
-    leave it.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[tuple[str, str], int] = {}
-        for batch in batches:
-            langs = np.array(["" if x is None else x for x in batch.column("lang").to_pylist()], object)
-            data, off = T.column(batch.column("text"))
-            names, code = np.unique(langs.astype(str), return_inverse=True) if len(langs) else ([], np.zeros(0, np.int64))
-            for i, j, d, o in T.slices(data, off, 1 << 22):
-                starts, ends, first = T.words(d, o)
-                if not len(starts):
-                    continue
-                h = T.hash_slices(T.running(d), starts, ends)
-                row = T.row_of(first)
-                for k in np.unique(code[i:j]):
-                    mine = np.flatnonzero(code[i:j][row] == k)
-                    if not len(mine):
-                        continue
-                    at, _, n = _unique_words(d, starts, ends, h[mine])
-                    at = mine[at]
-                    cp, word = _padded(d, starts[at], ends[at], order)
-                    where, g = _grams(cp, order)
-                    _, one, inv = np.unique(g, return_index=True, return_inverse=True)
-                    c = np.bincount(inv, weights=n[word[where]])
-                    chars = np.stack([cp[where[one] - q] for q in range(order - 1, -1, -1)], axis=1)
-                    texts = np.ascontiguousarray(chars).view(f"<U{order}").ravel().tolist()
-                    name = str(names[k])
-                    for t, x in zip(texts, c.tolist()):
-                        total[name, t] = total.get((name, t), 0) + int(x)
-        if total:
-            keys = list(total)
-            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in keys]), pa.array([b for _, b in keys]), pa.array(list(total.values()), pa.int64())], ["lang", "gram", "c"])
-
-    return docs.select("text", "lang").mapInArrow(run, "lang string, gram string, c long").groupBy("lang", "gram").agg(F.sum("c").alias("c"))
-
-
-def fit(docs: DataFrame, order: int = 4) -> dict:
-    """The model of `docs(text, lang)`: {"languages": {name: number}, "order", "gram": {k: (keys, logp)}, "back": {k: (keys, log weight)}, "base"}.
-
-    Counts and discounts are of all documents, and every counted gram is kept,
-    at any size; every language that has words has its own model.
-    """
-    counted = cut(count_grams(docs, order))
-    whole = counted.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
-    kept = sorted(r[0] for r in counted.select("lang").where(~F.col("lang").isin("", "*")).distinct().collect())
-    languages = {"*": 0} | {name: i + 1 for i, name in enumerate(kept)}
-    own = counted.where(F.col("lang").isin(kept)) if kept else counted.where("false")
-    table = own.unionByName(counted.groupBy("gram").agg(F.sum("c").alias("c")).withColumn("lang", F.lit("*")).select("lang", "gram", "c"))
-    tables = {order: cut(table)}
-    for k in range(order - 1, 0, -1):
-        tables[k] = cut(tables[k + 1].groupBy("lang", F.expr(f"substring(gram, 2, {k})").alias("gram")).agg(F.count("*").alias("c")))
-    model: dict = {"languages": languages, "order": order, "gram": {}, "back": {}, "base": {}}
-    if not whole:
-        return model
-    lower = None
-    for k in range(1, order + 1):
-        t = tables[k]
-        stats = {r["lang"]: r for r in t.groupBy("lang").agg(*[F.sum(F.when(F.col("c") == i, 1).otherwise(0)).alias(f"n{i}") for i in (1, 2, 3, 4)], F.count("*").alias("types")).collect()}
-        cases: dict[int, object] = {}
-        for i in (1, 2, 3):
-            expr = F.lit(0.0)
-            for lang, r in stats.items():
-                n = [r["n1"], r["n2"], r["n3"], r["n4"]]
-                y = n[0] / (n[0] + 2 * n[1]) if n[0] and n[1] else 0.5
-                d = i - (i + 1) * y * n[i] / n[i - 1] if n[i - 1] and n[i] else 0.5 * i
-                expr = F.when(F.col("lang") == lang, F.lit(float(min(max(d, 0.05 * i), 0.95 * i)))).otherwise(expr)
-            cases[i] = expr
-        t = t.withColumn("ctx", F.expr(f"substring(gram, 1, {k - 1})")).withColumn("d", F.when(F.col("c") == 1, cases[1]).when(F.col("c") == 2, cases[2]).otherwise(cases[3]))
-        ctx = t.groupBy("lang", "ctx").agg(F.sum("c").alias("cc"), (F.sum("d") / F.sum("c")).alias("gamma"))
-        t = t.join(ctx, ["lang", "ctx"])
-        if k == 1:
-            base = {lang: 1.0 / (r["types"] + 1) for lang, r in stats.items()}
-            model["base"] = {languages[x]: float(np.log(v * 0.5)) for x, v in base.items()}
-            low = F.lit(0.0)
-            for lang, v in base.items():
-                low = F.when(F.col("lang") == lang, F.lit(v)).otherwise(low)
-            t = t.withColumn("low", low)
-        else:
-            t = t.withColumn("suffix", F.expr(f"substring(gram, 2, {k - 1})")).join(lower.select("lang", F.col("gram").alias("suffix"), F.col("p").alias("low")), ["lang", "suffix"])
-        lower = cut(t.select("lang", "gram", "c", "ctx", "cc", "gamma", ((F.col("c") - F.col("d")) / F.col("cc") + F.col("gamma") * F.col("low")).alias("p")))
-        model["gram"][k] = _arrays(lower.select("lang", "gram", F.log("p").cast("float").alias("v")), languages, k)
-        if k > 1:
-            model["back"][k - 1] = _arrays(lower.select("lang", F.col("ctx").alias("gram"), F.log("gamma").cast("float").alias("v")).distinct(), languages, k - 1)
-    return model
-
-
-def _arrays(rows: DataFrame, languages: dict[str, int], k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted gram hashes and their values."""
-    got = rows.toArrow()
-    if not got.num_rows:
-        return np.zeros(0, np.uint64), np.zeros(0, np.float32)
-    texts = np.array(got.column("gram").to_pylist(), dtype=f"<U{k}")
-    chars = np.ascontiguousarray(texts).view(np.uint32).reshape(-1, k)
-    lang = np.array([languages[x] for x in got.column("lang").to_pylist()], np.int64)
-    keys = np.zeros(len(texts), np.uint64)
-    for code in np.unique(lang):
-        mine = lang == code
-        keys[mine] = gram_key([chars[mine, q] for q in range(k)], int(code))
-    order = np.argsort(keys)
-    return keys[order], got.column("v").to_numpy().astype(np.float32)[order]
-
-
-def word_nll(model: dict, cp: np.ndarray, word: np.ndarray, n_words: int, language: int) -> np.ndarray:
-    """Negative log probability of each padded word under one language's model."""
-    order = model["order"]
-    at = np.flatnonzero(cp != START)
-    logp = np.zeros(len(at))
-    todo = np.arange(len(at))
-    for k in range(order, 0, -1):
-        chars = [cp[at[todo] - q] for q in range(k - 1, -1, -1)]
-        keys, values = model["gram"].get(k, (np.zeros(0, np.uint64), np.zeros(0, np.float32)))
-        i, found = T.lookup(keys, gram_key(chars, language))
-        logp[todo[found]] += values[i[found]]
-        todo = todo[~found]
-        if not len(todo):
-            break
-        if k == 1:
-            logp[todo] += model["base"].get(language, np.log(1e-4))
-        else:
-            chars = [cp[at[todo] - q] for q in range(k - 1, 0, -1)]
-            keys, values = model["back"].get(k - 1, (np.zeros(0, np.uint64), np.zeros(0, np.float32)))
-            i, found = T.lookup(keys, gram_key(chars, language))
-            logp[todo[found]] += values[i[found]]
-    return -np.bincount(word[at], weights=logp, minlength=n_words)
-
-
-def score(docs: DataFrame, model: dict, window: int = 5, own_share: float = 0.8) -> DataFrame:
-    """For each row of `docs(doc_id, text, lang, text_key)`: the base metrics, band language and nll (mean a word that has a letter or digit; null without words)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        languages, order = m["languages"], m["order"]
-        for batch in batches:
-            data, off = T.column(batch.column("text"))
-            lang = [x if x in languages and x != "*" else "*" for x in batch.column("lang").to_pylist()]
-            code = np.array([languages[x] for x in lang], np.int64)
-            got: dict[str, list[np.ndarray]] = {x: [] for x in [*names, "nll", "n_scored"]}
-            for i, j, d, o in T.slices(data, off, 1 << 22):
-                b = base_metrics(d, o, window)
-                for x in names:
-                    got[x].append(b[x].astype(np.int64))
-                starts, ends, first = b["starts"], b["ends"], b["first"]
-                row = T.row_of(first)
-                nll = np.zeros(len(starts))
-                for k in np.unique(code[i:j]):
-                    mine = np.flatnonzero(code[i:j][row] == k)
-                    if not len(mine):
-                        continue
-                    at, inv, _ = _unique_words(d, starts, ends, b["hash"][mine])
-                    cp, word = _padded(d, starts[mine[at]], ends[mine[at]], order)
-                    every = word_nll(m, cp, word, len(at), 0)
-                    if k:
-                        own = word_nll(m, cp, word, len(at), int(k))
-                        every = -np.logaddexp(np.log(own_share) - own, np.log(1 - own_share) - every)
-                    nll[mine] = every[inv]
-                alnum = np.zeros(len(d) + 1, np.int64)
-                np.cumsum(_ALNUM[d], out=alnum[1:])
-                scored = T.sums(alnum[ends] > alnum[starts], first)
-                got["n_scored"].append(scored)
-                got["nll"].append(np.where(b["n_words"] > 0, T.sums(nll, first, np.float64) / np.maximum(scored, 1), np.nan))
-            flat = {x: np.concatenate(v) if v else np.zeros(0, np.int64) for x, v in got.items()}
-            arrays = [batch.column("doc_id"), batch.column("text_key"), pa.array(lang, pa.string())] + [pa.array(flat[x], pa.int64()) for x in [*names, "n_scored"]] + [pa.array(flat["nll"].astype(np.float64), from_pandas=True)]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "text_key", "band", *names, "n_scored", "nll"])
-
-    schema = f"doc_id {kind}, text_key long, band string, " + ", ".join(f"{x} long" for x in [*names, "n_scored"]) + ", nll double"
-    return docs.select("doc_id", "text", "lang", "text_key").mapInArrow(run, schema)
-
-
 #: Text a chunk of documents holds; a document is never split.
-_CHUNK = 1 << 22
-#: Grams that a range of hashes is made for.
+_CHUNK = 1 << 24
+#: Keys that a range of hashes is made for.
 _PART = 1 << 22
+#: The start mark's hash, of any width.
+_BEGIN = np.uint64(0x2545F4914F6CDD1D)
+METRICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 def _planes(values: np.ndarray) -> bytes:
@@ -320,7 +95,7 @@ def _planes(values: np.ndarray) -> bytes:
     return pa.compress(np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes(), codec="zstd", asbytes=True) if len(values) else b""
 
 
-def _unplanes(data: bytes, n: int, kind) -> np.ndarray:
+def _unplanes(data: bytes, n: int, kind=np.int64) -> np.ndarray:
     if not n:
         return np.zeros(0, kind)
     width = np.dtype(kind).itemsize
@@ -328,196 +103,314 @@ def _unplanes(data: bytes, n: int, kind) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, n).T).view(kind).ravel()
 
 
+def _steps(keys: np.ndarray) -> bytes:
+    """Keys by their differences."""
+    return _planes(np.diff(keys, prepend=np.uint64(0)))
+
+
+def _unsteps(data: bytes, n: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return np.cumsum(_unplanes(data, n, np.uint64), dtype=np.uint64)
+
+
 def _runs(ordered: np.ndarray) -> np.ndarray:
     """Where each run of equal values begins."""
     return np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])) if len(ordered) else np.zeros(0, np.int64)
 
 
-def word_keys(h: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The last positions of the `k`-grams of words that lie in one row, and their keys; a key's lowest two bits are k."""
-    at = np.arange(len(h))
-    at = at[at - np.repeat(first[:-1], np.diff(first)) >= k - 1]
-    with np.errstate(over="ignore"):
-        g = np.zeros(len(at), np.uint64)
-        for q in range(k - 1, -1, -1):
-            g = g * _M + h[at - q]
-    return at, (T.mix(g) & ~np.uint64(3)) | np.uint64(k)
+def hash_bits(text_bytes: int) -> int:
+    """Bits of a hash for so much text: at any size, an unseen gram is taken for a seen one once in 4096 times or less."""
+    return min(62, max(40, int(text_bytes // 4).bit_length() + 12))
+
 
+def _shift(bits: int) -> np.uint64:
+    return np.uint64(64 - bits)
 
-def word_chunks(docs: DataFrame) -> DataFrame:
-    """(chunk, n_docs, n_tokens, n_words, docs, sizes, words, tokens): `docs(text, text_key)` as chunks of hashed words, written to the shared folder."""
+
+def word_chunks(docs: DataFrame, bits: int) -> DataFrame:
+    """Chunks of `docs(doc_id, text, lang, text_key)`: the documents' ids, languages, keys and base metrics, the chunk's words (hashes of `bits` bits, commonest first) and the numbers of its tokens."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        size = 0
+        from pyspark import TaskContext
+
+        held: list[tuple] = []
+        size, number = 0, TaskContext.get().partitionId() << 24
 
         def pack() -> pa.RecordBatch:
-            keys, counts, h = (np.concatenate([x[i] for x in held]) for i in range(3))
-            order = np.argsort(h, kind="stable")
-            begin = _runs(h[order])
-            ids = np.empty(len(h), np.uint32)
-            ids[order] = np.repeat(np.arange(len(begin), dtype=np.uint32), np.diff(np.append(begin, len(h))))
-            words = h[order[begin]]
-            row = [uuid.uuid4().hex, len(keys), len(h), len(words), _planes(keys), _planes(counts), _planes(np.diff(words, prepend=np.uint64(0))), _planes(ids)]
+            nonlocal number
+            ids, langs, keys = (pa.concat_arrays([x[i] for x in held]) for i in range(3))
+            metrics, h = np.concatenate([x[3] for x in held], axis=1), np.concatenate([x[4] for x in held])
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array([x]) for x in row], ["chunk", "n_docs", "n_tokens", "n_words", "docs", "sizes", "words", "tokens"])
+            number += 1
+            words, inverse, count = np.unique(h, return_inverse=True, return_counts=True)
+            order = np.argsort(-count, kind="stable")
+            place = np.empty(len(words), np.uint32)
+            place[order] = np.arange(len(words), dtype=np.uint32)
+            n = len(ids)
+            off = pa.array([0, n], pa.int32())
+            row = [pa.array([number]), pa.array([n]), pa.array([len(h)]), pa.array([len(words)]), pa.ListArray.from_arrays(off, ids), pa.ListArray.from_arrays(off, langs), pa.array([_planes(keys.to_numpy(zero_copy_only=False).astype(np.int64))]), pa.array([_planes(metrics.ravel())]), pa.array([_steps(words[order])]), pa.array([_planes(place[inverse])])]
+            return pa.RecordBatch.from_arrays(row, ["chunk", "n_docs", "n_tokens", "n_words", "ids", "langs", "keys", "metrics", "words", "tokens"])
 
         for batch in batches:
             data, off = T.column(batch.column("text"))
-            keys = batch.column("text_key").to_numpy(zero_copy_only=False).astype(np.int64)
             for i, j, d, o in T.slices(data, off, 1 << 22):
                 if size and size + len(d) > _CHUNK:
                     yield pack()
                     size = 0
-                starts, ends, first = T.words(d, o)
-                held.append((keys[i:j], np.diff(first), T.hash_slices(T.running(d), starts, ends)))
+                b = base_metrics(d, o)
+                held.append((*(batch.column(x)[i:j] for x in ("doc_id", "lang", "text_key")), np.stack([b[x].astype(np.int64) for x in METRICS]), b["hash"] >> _shift(bits)))
                 size += max(1, len(d))
         if held:
             yield pack()
 
-    schema = "chunk string, n_docs long, n_tokens long, n_words long, docs binary, sizes binary, words binary, tokens binary"
-    return cut(docs.select("text", "text_key").mapInArrow(run, schema))
+    schema = f"chunk long, n_docs long, n_tokens long, n_words long, ids array<{kind}>, langs array<string>, keys binary, metrics binary, words binary, tokens binary"
+    return docs.select("doc_id", "text", "lang", "text_key").mapInArrow(run, schema)
 
 
-def _unpack(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of a chunk: the documents' keys, each one's first word (and the end), the words' hashes."""
-    first = np.zeros(row["n_docs"] + 1, np.int64)
-    np.cumsum(_unplanes(row["sizes"], row["n_docs"], np.int64), out=first[1:])
-    with np.errstate(over="ignore"):
-        words = np.cumsum(_unplanes(row["words"], row["n_words"], np.uint64), dtype=np.uint64)
-    return _unplanes(row["docs"], row["n_docs"], np.int64), first, words[_unplanes(row["tokens"], row["n_tokens"], np.uint32)]
+class Chunk:
+    """A chunk's documents, words and bigrams.
+
+    The word after the last is the start mark.  `left`, `right` and `doc` are of
+    the tokens, `first` each document's first token; `keys` are the distinct
+    bigrams' and `gram` is each token's.
+    """
+
+    def __init__(self, row: dict, bits: int) -> None:
+        n, self.n_words = row["n_docs"], row["n_words"]
+        self.metrics = _unplanes(row["metrics"], n * len(METRICS)).reshape(len(METRICS), n)
+        self.words = np.append(_unsteps(row["words"], row["n_words"]), _BEGIN >> _shift(bits))
+        self.right = _unplanes(row["tokens"], row["n_tokens"], np.uint32)
+        self.first = np.zeros(n + 1, np.int64)
+        np.cumsum(self.metrics[0], out=self.first[1:])
+        self.doc = T.row_of(self.first)
+        self.left = np.empty_like(self.right)
+        self.left[1:] = self.right[:-1]
+        self.left[self.first[:-1][np.diff(self.first) > 0]] = self.n_words
+        with np.errstate(over="ignore"):
+            h = T.mix(self.words[self.left] * _M + self.words[self.right]) >> _shift(bits)
+        by = np.argsort(h, kind="stable")
+        begin = _runs(h[by])
+        self.keys = h[by[begin]]
+        self.counts = np.diff(np.append(begin, len(by)))
+        self.gram = np.empty(len(h), np.uint32)
+        self.gram[by] = np.repeat(np.arange(len(begin), dtype=np.uint32), self.counts)
+        self.gram_left, self.gram_right = self.left[by[begin]], self.right[by[begin]]
 
 
-def count_words(chunks: DataFrame, order: int, parts: int) -> DataFrame:
-    """(chunk, part, n, counts, types): for each chunk and range of hashes, how often each of the chunk's distinct grams occurs in all documents, in the order of their keys.
+def _send(chunk: int, keys: np.ndarray, values: np.ndarray, parts: int, bits: int) -> pa.RecordBatch:
+    """A chunk's sorted keys and their values (rows x keys), cut at the ranges' edges."""
+    width = np.uint64(-(-(1 << bits) // parts))
+    part = keys // width
+    edge = np.append(_runs(part), len(keys))
+    spans = list(zip(edge[:-1].tolist(), edge[1:].tolist()))
+    return pa.RecordBatch.from_arrays(
+        [pa.array([chunk] * len(spans), pa.int64()), pa.array([int(part[a]) for a, _ in spans], pa.int64()), pa.array([b - a for a, b in spans], pa.int64()), pa.array([_steps(keys[a:b]) for a, b in spans], pa.binary()), pa.array([_planes(np.ascontiguousarray(values[:, a:b]).ravel()) for a, b in spans], pa.binary())],
+        ["chunk", "part", "n", "keys", "own"],
+    )
 
-    Every gram of 1 to `order` words is counted.  A chunk sends its sorted
-    distinct keys to `parts` ranges of hashes; the task that has a range merges
-    them and answers each chunk.  types: the distinct words of a range, in one
-    of its rows.
+
+_SENT = "chunk long, part long, n long, keys binary, own binary"
+_ANSWER = "chunk long, step int, part long, n long, counts binary, owner binary, n1 long, n2 long, n3 long, n4 long, total long, types long"
+
+
+def _merge(step: int, rows: int, number) -> object:
+    """The task of a range: sums the values of equal keys over all chunks and answers each chunk's keys, with the range's counts in one of the rows.
+
+    number: of the sums, the count that discounts come from.  owner: a bit for
+    each key, set in one chunk of those that sent it.
     """
-    width = np.uint64(min((1 << 64) // parts + 1, (1 << 64) - 1))
+
+    def merge(table: pa.Table) -> pa.Table:
+        got = table.sort_by("chunk").to_pylist()
+        sizes = [r["n"] for r in got]
+        keys = np.concatenate([_unsteps(r["keys"], r["n"]) for r in got])
+        own = np.concatenate([_unplanes(r["own"], r["n"] * rows).reshape(rows, -1) for r in got], axis=1)
+        by = np.argsort(keys, kind="stable")
+        begin = _runs(keys[by])
+        many = np.diff(np.append(begin, len(keys)))
+        sums = np.add.reduceat(own[:, by], begin, axis=1)
+        owner = np.zeros(len(keys), bool)
+        owner[by[begin]] = True
+        every = np.empty_like(own)
+        every[:, by] = np.repeat(sums, many, axis=1)
+        c = number(sums)
+        stats = [int((c == i).sum()) for i in (1, 2, 3, 4)] + [int(c.sum()), int((c > 0).sum())]
+        edge = np.cumsum([0, *sizes])
+        spans = list(zip(edge[:-1], edge[1:]))
+        columns = {"chunk": [r["chunk"] for r in got], "step": pa.array([step] * len(got), pa.int32()), "part": [r["part"] for r in got], "n": sizes, "counts": pa.array([_planes(np.ascontiguousarray(every[:, a:b]).ravel()) for a, b in spans], pa.binary()), "owner": pa.array([np.packbits(owner[a:b]).tobytes() for a, b in spans], pa.binary())}
+        return pa.table(columns | {x: pa.array([v] + [0] * (len(got) - 1), pa.int64()) for x, v in zip(("n1", "n2", "n3", "n4", "total", "types"), stats)})
+
+    return merge
+
+
+def _unpack(answers: list[dict], rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sums (rows x keys) and owner marks of a chunk's keys, in their order."""
+    answers = sorted(answers, key=lambda r: r["part"])
+    sums = [_unplanes(r["counts"], r["n"] * rows).reshape(rows, -1) for r in answers]
+    owner = [np.unpackbits(np.frombuffer(r["owner"], np.uint8), count=r["n"]).astype(bool) for r in answers]
+    return (np.concatenate(sums, axis=1), np.concatenate(owner)) if answers else (np.zeros((rows, 0), np.int64), np.zeros(0, bool))
+
+
+def count_grams(chunks: DataFrame, bits: int, parts: int) -> DataFrame:
+    """Answers to all chunks: how often each of their distinct bigrams occurs in all documents, from `parts` ranges of hashes."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                _, first, h = _unpack(row)
-                keys = np.sort(np.concatenate([word_keys(h, first, k)[1] for k in range(1, order + 1)]))
-                begin = _runs(keys)
-                n = np.diff(np.append(begin, len(keys))).astype(np.uint32)
-                keys = keys[begin]
-                edge = np.append(_runs(keys // width), len(keys))
-                for a, b in zip(edge[:-1], edge[1:]):
-                    yield pa.RecordBatch.from_arrays([pa.array([row["chunk"]]), pa.array([int(keys[a] // width)], pa.int32()), pa.array([int(b - a)], pa.int64()), pa.array([_planes(np.diff(keys[a:b], prepend=np.uint64(0)))]), pa.array([_planes(n[a:b])])], ["chunk", "part", "n", "keys", "own"])
+                c = Chunk(row, bits)
+                yield _send(row["chunk"], c.keys, c.counts[None, :], parts, bits)
 
-    def merge(table: pa.Table) -> pa.Table:
-        rows = table.sort_by("chunk").to_pylist()
-        with np.errstate(over="ignore"):
-            keys = np.concatenate([np.cumsum(_unplanes(r["keys"], r["n"], np.uint64), dtype=np.uint64) for r in rows])
-        own = np.concatenate([_unplanes(r["own"], r["n"], np.uint32) for r in rows]).astype(np.int64)
-        by = np.argsort(keys, kind="stable")
-        keys = keys[by]
-        begin = _runs(keys)
-        total = np.empty(len(keys), np.int64)
-        total[by] = np.repeat(np.add.reduceat(own[by], begin), np.diff(np.append(begin, len(keys))))
-        types = int(((keys[begin] & np.uint64(3)) == 1).sum())
-        edge = np.cumsum([0, *(r["n"] for r in rows)])
-        return pa.table({"chunk": [r["chunk"] for r in rows], "part": pa.array([r["part"] for r in rows], pa.int32()), "n": pa.array([r["n"] for r in rows], pa.int64()), "counts": pa.array([_planes(total[a:b]) for a, b in zip(edge[:-1], edge[1:])], pa.binary()), "types": pa.array([types, *[0] * (len(rows) - 1)], pa.int64())})
-
-    sent = chunks.where("n_tokens > 0").mapInArrow(send, "chunk string, part int, n long, keys binary, own binary")
-    return cut(sent.groupBy("part").applyInArrow(merge, "chunk string, part int, n long, counts binary, types long"))
-
-
-def word_scores(docs: DataFrame, order: int = 3, strength: float = 4.0) -> DataFrame:
-    """(text_key, word_nll) of each text of `docs(text, text_key)` that has words: the mean negative log probability of a word after the `order` - 1 words before it.
-
-    Counts are of all documents but the one at hand, so a text isn't foretold by
-    itself: c - own, for every gram of 1 to `order` words.  A gram's probability
-    is (c + strength * shorter) / (context + strength), shorter being that of
-    the gram without its first word; a word's own is (c + 0.5) / (N + 0.5 * (V + 1)).
-    Grams don't go over a document's ends.
+    sent = chunks.where("n_tokens > 0").drop("ids", "langs", "keys").mapInArrow(send, _SENT)
+    return cut(sent.groupBy("part").applyInArrow(_merge(1, 1, lambda s: s[0]), _ANSWER))
+
+
+def count_words(chunks: DataFrame, grams: DataFrame, bits: int, parts: int) -> DataFrame:
+    """Answers to all chunks: for each of their words, and the start mark, its count as a left word, the numbers of bigrams that it begins occurring once, twice and more often, and the number of different words before it."""
+
+    def send(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = []
+        for row in left.to_pylist():
+            c = Chunk(row, bits)
+            (total,), owner = _unpack(right.to_pylist(), 1)
+            size = len(c.words)
+            mine, level = c.gram_left[owner], np.minimum(total[owner], 3)
+            values = np.stack([np.bincount(c.left, minlength=size), *(np.bincount(mine[level == i], minlength=size) for i in (1, 2, 3)), np.bincount(c.gram_right[owner], minlength=size)])
+            order = np.argsort(c.words, kind="stable")
+            out.append(_send(row["chunk"], c.words[order], values[:, order], parts, bits))
+        return pa.Table.from_batches(out)
+
+    sent = chunks.where("n_tokens > 0").drop("ids", "langs", "keys").groupBy("chunk").cogroup(grams.groupBy("chunk")).applyInArrow(send, _SENT)
+    return cut(sent.groupBy("part").applyInArrow(_merge(2, 5, lambda s: s[4]), _ANSWER))
+
+
+def discounts(n: list[int]) -> tuple[float, float, float]:
+    """The three discounts, from the numbers of grams seen once to four times."""
+    y = n[0] / (n[0] + 2 * n[1]) if n[0] and n[1] else 0.5
+    d = [i - (i + 1) * y * n[i] / n[i - 1] if n[i - 1] and n[i] else 0.5 * i for i in (1, 2, 3)]
+    return tuple(min(max(x, 0.05 * i), 0.95 * i) for i, x in enumerate(d, 1))
+
+
+def score_chunk(c: Chunk, gram_counts: np.ndarray, word_counts: np.ndarray, model: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Mean negative log probability of a word of each document, by bigrams and by continuation unigrams alone (nan without words).
+
+    Counts are those of all other documents: a bigram's is less by the
+    document's own, a context's follower counts and a word's number of left
+    neighbours by what these leave.  Only the discounts, the mass that they free
+    for unseen words and the number of words are of all documents.
     """
-    if not 1 <= order <= 3:
-        raise ValueError("order must be 1, 2 or 3")
-    chunks = word_chunks(docs)
-    whole = chunks.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
-    counts = count_words(chunks, order, order * whole // _PART + 1)
-    types = counts.agg(F.coalesce(F.sum("types"), F.lit(0))).first()[0]
+    before, once, twice, more, lefts = word_counts
+    d2, d1 = np.array([0.0, *model["d2"]]), np.array([0.0, *model["d1"]])
+    both = (c.doc.astype(np.int64) << 32) | c.gram
+    both.sort()
+    begin = _runs(both)
+    own = np.diff(np.append(begin, len(both)))
+    doc, gram = both[begin] >> 32, both[begin] & 0xFFFFFFFF
+    left, right = c.gram_left[gram].astype(np.int64), c.gram_right[gram].astype(np.int64)
+    total = gram_counts[gram]
+    rest = total - own
+    was, now = np.minimum(total, 3), np.minimum(rest, 3)
+    contexts, at = np.unique((doc << 32) | left, return_inverse=True)
+    word = contexts & 0xFFFFFFFF
+    context = before[word] - np.bincount(at, weights=own, minlength=len(word))
+    mass = np.zeros(len(word))
+    for i, n in ((1, once), (2, twice), (3, more)):
+        mass += d2[i] * (n[word] + np.bincount(at, weights=(now == i) * 1.0 - (was == i), minlength=len(word)))
+    gone = rest == 0
+    pairs, to = np.unique((doc << 32) | right, return_inverse=True)
+    seen = np.maximum(lefts[pairs & 0xFFFFFFFF] - np.bincount(to, weights=gone, minlength=len(pairs)), 0)
+    every = np.maximum(model["total"] - np.bincount(doc, weights=gone, minlength=len(c.first) - 1), 1)[pairs >> 32]
+    p1 = ((seen - d1[np.minimum(seen, 3).astype(np.int64)]) / every + model["free"] / (model["types"] + 1))[to]
+    # Only grams of one hash can break what these two lines see to.
+    context, mass = np.maximum(context[at], rest), np.maximum(mass[at], d2[1])
+    p2 = np.where(context > 0, (rest - d2[now] + mass * p1) / np.maximum(context, 1), p1)
+    n_docs = len(c.first) - 1
+    with np.errstate(invalid="ignore"):
+        return tuple(np.bincount(doc, weights=-np.log(p) * own, minlength=n_docs) / np.where(c.metrics[0] > 0, c.metrics[0], np.nan) for p in (p2, p1))
+
+
+def score(docs: DataFrame) -> DataFrame:
+    """doc_id, text_key, band (the language or "*"), base metrics, nll and unigram_nll of each row of `docs(doc_id, text, lang, text_key)`; the values are null without words."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    bits = hash_bits(size)
+    chunks, drop = bucketed(word_chunks(docs, bits), "chunk", size // _CHUNK + 1)
+    n = chunks.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("tokens"), F.coalesce(F.sum("n_words"), F.lit(0)).alias("words")).first()
+    grams = count_grams(chunks, bits, n["tokens"] // _PART + 1)
+    words = count_words(chunks, grams, bits, n["words"] // _PART + 1)
+
+    def stats(answers: DataFrame) -> list[int]:
+        return [x or 0 for x in answers.agg(*[F.sum(x) for x in ("n1", "n2", "n3", "n4", "total", "types")]).first()]
+
+    g, w = stats(grams), stats(words)
+    d1 = discounts(w[:4])
+    free = (d1[0] * w[0] + d1[1] * w[1] + d1[2] * (w[5] - w[0] - w[1])) / max(1, w[4])
+    model = {"d2": discounts(g[:4]), "d1": d1, "total": w[4], "types": w[5], "free": free}
 
     def answer(left: pa.Table, right: pa.Table) -> pa.Table:
-        out_key, out_nll = [np.zeros(0, np.int64)], [np.zeros(0)]
+        out = []
         for row in left.to_pylist():
-            doc, first, h = _unpack(row)
-            rest = right.sort_by("part").to_pylist()
-            known = np.concatenate([_unplanes(r["counts"], r["n"], np.int64) for r in rest])
-            at, keys = zip(*(word_keys(h, first, k) for k in range(1, order + 1)))
-            every = np.concatenate(keys)
-            place = np.concatenate(at)
-            doc_of = T.row_of(first)
-            by = np.argsort(every, kind="stable")
-            keys_by, row_by = every[by], doc_of[place[by]]
-            new = np.append(True, keys_by[1:] != keys_by[:-1])
-            if new.sum() != len(known):
-                raise RuntimeError("counts and grams of a chunk differ")
-            # A gram's places are in row order, so each document's are a run.
-            begin = np.flatnonzero(new | np.append(True, row_by[1:] != row_by[:-1]))
-            mine = np.repeat(np.diff(np.append(begin, len(by))), np.diff(np.append(begin, len(by))))
-            others = np.empty(len(by))
-            others[by] = known[np.cumsum(new) - 1] - mine
-            edge = np.cumsum([0, *map(len, keys)])
-            size = np.diff(first)
-            p = (others[: edge[1]] + 0.5) / (whole - size[doc_of] + 0.5 * (types + 1))
-            context = others[: edge[1]]
-            for k in range(2, order + 1):
-                c = np.zeros(len(h))
-                c[at[k - 1]] = others[edge[k - 1] : edge[k]]
-                p[at[k - 1]] = (c[at[k - 1]] + strength * p[at[k - 1]]) / (context[at[k - 1] - 1] + strength)
-                context = c
-            nll = T.sums(-np.log(p), first, np.float64) / np.maximum(size, 1)
-            out_key.append(doc[size > 0])
-            out_nll.append(nll[size > 0])
-        return pa.table({"text_key": np.concatenate(out_key), "word_nll": np.concatenate(out_nll)})
-
-    found = chunks.where("n_tokens > 0").groupBy("chunk").cogroup(counts.groupBy("chunk")).applyInArrow(answer, "text_key long, word_nll double")
-    return found.groupBy("text_key").agg(F.min("word_nll").alias("word_nll"))
+            c = Chunk(row, bits)
+            got = right.to_pylist()
+            (gram_counts,), _ = _unpack([r for r in got if r["step"] == 1], 1)
+            sums, _ = _unpack([r for r in got if r["step"] == 2], 5)
+            word_counts = np.zeros((5, len(c.words)), np.int64)
+            if len(gram_counts) != len(c.keys) or sums.shape[1] != (len(c.words) if len(c.keys) else 0):
+                raise RuntimeError("answers don't fit their chunk")
+            if len(c.keys):
+                word_counts[:, np.argsort(c.words, kind="stable")] = sums
+            nll, low = score_chunk(c, gram_counts, word_counts, model)
+            ids = left.column("ids").combine_chunks().flatten() if left.num_rows == 1 else pa.array(row["ids"], left.schema.field("ids").type.value_type)
+            columns = {"doc_id": ids, "text_key": _unplanes(row["keys"], row["n_docs"]), "band": pa.array([x if x is not None else "*" for x in row["langs"]], pa.string())}
+            columns |= {x: v for x, v in zip(METRICS, c.metrics)}
+            out.append(pa.table(columns | {"nll": pa.array(nll, from_pandas=True), "unigram_nll": pa.array(low, from_pandas=True)}))
+        return pa.concat_tables(out)
+
+    schema = f"doc_id {kind}, text_key long, band string, " + ", ".join(f"{x} long" for x in METRICS) + ", nll double, unigram_nll double"
+    scored = cut(chunks.groupBy("chunk").cogroup(grams.unionByName(words).groupBy("chunk")).applyInArrow(answer, schema))
+    drop()
+    return scored
 
 
 def bands(scored: DataFrame, value: str = "nll") -> DataFrame:
     """(band, centre, spread): median and scaled median deviation of `value` for each band language, exact to 0.001; a row for each language and "*"."""
     rounded = scored.where(F.col(value).isNotNull()).select("band", F.round(value, 3).alias("x"))
-    centre = rounded.groupBy("band").agg(F.percentile("x", 0.5).alias("centre"))
-    spread = rounded.join(F.broadcast(centre), "band").groupBy("band").agg(F.first("centre").alias("centre"), (1.4826 * F.percentile(F.round(F.abs(F.col("x") - F.col("centre")), 3), 0.5)).alias("spread"))
+    centre = bounded(cut(rounded.groupBy("band").agg(F.percentile("x", 0.5).alias("centre"))))
+    spread = rounded.join(centre, "band").groupBy("band").agg(F.first("centre").alias("centre"), (1.4826 * F.percentile(F.round(F.abs(F.col("x") - F.col("centre")), 3), 0.5)).alias("spread"))
     return spread.select("band", "centre", F.greatest("spread", F.lit(0.01)).alias("spread"))
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = 4, window: int = 5, least_words: int = 10, most_repeat: int = 20, lower: float = 4.5, upper: float = 4.5, short: float = 50.0, word_order: int = 3) -> DataFrame:
-    """One row for every row of `docs`: doc_id, text_key, base metrics, base_failed, kept, nll, perplexity, band_low, band_high, word_nll, word_perplexity, word_band_high.
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least_words: int = 10, most_repeat: int = 20, lower: float = 4.5, upper: float = 4.5, short: float = 50.0) -> DataFrame:
+    """One row for every row of `docs`: doc_id, text_key, base metrics, base_failed, kept, nll, perplexity, band_high, unigram_nll, unigram_low, unigram_high.
 
     base_failed: fewer than `least_words` words, or over `most_repeat` percent
     of them in repeated windows.  A null or blank text has no words, so it
-    fails; a null lang uses the bands of "*".  Repeated rows are judged
-    each, alike.  A document of n scored words has a band wider by
-    sqrt(1 + short / n).  kept also wants word_nll, of grams of `word_order` words
-    (word_scores), not to be over its language's median by more than `upper` such
-    spreads; it has no lower bound, because copies foretell each other and are the
-    deduplication's matter.  An empty table gives an empty result.
+    fails; a null lang uses the band of "*".  Repeated rows are judged each,
+    alike: a row's own counts are taken off, its copies' stay.  kept: not
+    base_failed, nll at most band_high and unigram_nll within its two bounds.  A
+    document of n words has a band wider by sqrt(1 + short / n).  Values at a
+    bound are inside.  An empty table gives an empty result; other columns of
+    `docs` play no part.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(text_col), F.col(lang_col)).alias("text_key"))
-    words = cut(word_scores(rows, word_order))
-    scored = cut(score(rows, fit(rows, order), window).join(words, "text_key", "left"))
-    word_bands = bands(scored, "word_nll").select("band", F.col("centre").alias("word_centre"), F.col("spread").alias("word_spread"))
-    joined = scored.join(F.broadcast(bands(scored)), "band", "left").join(F.broadcast(word_bands), "band", "left")
-    wide = F.col("spread") * F.sqrt(1 + F.lit(short) / F.greatest("n_scored", F.lit(1)))
+    scored = score(rows)
+    high = bands(scored).select("band", F.col("centre").alias("c2"), F.col("spread").alias("s2"))
+    both = bands(scored, "unigram_nll").select("band", F.col("centre").alias("c1"), F.col("spread").alias("s1"))
+    joined = scored.join(bounded(cut(high.join(both, "band"))), "band", "left")
+    wide = F.sqrt(1 + F.lit(short) / F.greatest("n_words", F.lit(1)))
     failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > most_repeat * F.col("n_words"))
-    low, high = F.col("centre") - lower * wide, F.col("centre") + upper * wide
-    word_high = F.col("word_centre") + upper * F.col("word_spread") * F.sqrt(1 + F.lit(short) / F.greatest("n_words", F.lit(1)))
-    inside = F.col("nll").between(low, high) & (F.col("word_nll") <= word_high)
-    return joined.select("doc_id", "text_key", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & F.coalesce(inside, F.lit(False))).alias("kept"), "nll", F.exp("nll").alias("perplexity"), low.alias("band_low"), high.alias("band_high"), "word_nll", F.exp("word_nll").alias("word_perplexity"), word_high.alias("word_band_high"))
+    top = F.col("c2") + upper * F.col("s2") * wide
+    low, up = F.col("c1") - lower * F.col("s1") * wide, F.col("c1") + upper * F.col("s1") * wide
+    inside = (F.col("nll") <= top) & F.col("unigram_nll").between(low, up)
+    return joined.select("doc_id", "text_key", *METRICS, failed.alias("base_failed"), (~failed & F.coalesce(inside, F.lit(False))).alias("kept"), "nll", F.exp("nll").alias("perplexity"), top.alias("band_high"), "unigram_nll", low.alias("unigram_low"), up.alias("unigram_high"))
 
 
 def keep_good(docs: DataFrame, **how) -> DataFrame:
-    """The rows of `docs` that judge() keeps, with all their columns."""
-    good = judge(docs, **how).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
+    """The rows of `docs` that judge() keeps, with all their columns, whatever their names.
+
+    Repeated rows stay or go together; rows of null or blank text go; an empty
+    table gives an empty one.
+    """
+    good = judge(docs, **how).where("kept").select("doc_id", "text_key")
     id_col, text_col, lang_col = how.get("id_col", "doc_id"), how.get("text_col", "text"), how.get("lang_col", "lang")
-    key = F.xxhash64(F.col(text_col), F.col(lang_col))
-    return docs.withColumn("_text_key", key).join(good, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key")), "left_semi").drop("_text_key")
+    return keep_rows(docs, id_col, F.xxhash64(F.col(text_col), F.col(lang_col)), good)

@@ -2,12 +2,46 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut, shared_folder, ship, spread
+from ..session import cut, freed_shuffles, remove, shared_folder, ship, spread
+
+__all__ = ["bounded", "bucketed", "cut", "held_out", "keep_rows", "shared_folder", "ship", "spread", "with_info"]
+
+
+def bounded(df: DataFrame, most: int = 50_000) -> DataFrame:
+    """`df`, a table that is cheap to count, marked for broadcast if it has at most `most` rows; a join with more shuffles."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def bucketed(df: DataFrame, by: str, buckets: int) -> tuple[DataFrame, Callable[[], None]]:
+    """`df` written to the shared folder in buckets of `by`, and a function that deletes it.
+
+    Grouping by `by` or joining on it then moves only the other side.  It is
+    written without a shuffle.
+    """
+    spark = df.sparkSession
+    name = f"bucketed_{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}"
+    with freed_shuffles(spark):
+        df.write.bucketBy(min(int(buckets), 50_000), by).option("path", path).saveAsTable(name)
+
+    def drop() -> None:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        remove(spark, path)
+
+    return spark.table(name), drop
+
 
-__all__ = ["cut", "held_out", "shared_folder", "ship", "spread", "with_info"]
+def keep_rows(docs: DataFrame, id_col: str, key: Column, kept: DataFrame) -> DataFrame:
+    """The rows of `docs` whose id and `key` are a row of `kept` (two columns); no column name of `docs` can clash."""
+    k, left, right = (f"_{uuid.uuid4().hex}" for _ in range(3))
+    keyed = docs.withColumn(k, key)
+    return keyed.join(kept.toDF(left, right).distinct(), F.col(f"`{id_col}`").eqNullSafe(F.col(left)) & (F.col(k) == F.col(right)), "left_semi").drop(k)
 
 
 def with_info(rows: DataFrame, info: DataFrame, key: str, count: str, total: int, most: int = 1000) -> DataFrame:
