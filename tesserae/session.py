@@ -55,7 +55,8 @@ def cut(df: DataFrame) -> DataFrame:
     """Writes `df` to the shared folder and reads it from there: it is computed once, and a lost executor loses nothing of it."""
     shared_folder(df.sparkSession)
     with freed_shuffles(df.sparkSession):
-        return df.checkpoint(eager=True)
+        # A query takes the setting as it is when the query is made.
+        return df.select("*").checkpoint(eager=True)
 
 
 def remove(spark: SparkSession, path: str) -> None:
