@@ -82,9 +82,9 @@ def base_metrics(data: np.ndarray, off: np.ndarray, window: int = 5) -> dict[str
 
 
 #: Text a chunk of documents holds; a document is never split.
-_CHUNK = 1 << 24
+_CHUNK = 1 << 22
 #: Keys that a range of hashes is made for.
-_PART = 1 << 22
+_PART = 1 << 21
 #: The start mark's hash, of any width.
 _BEGIN = np.uint64(0x2545F4914F6CDD1D)
 METRICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -334,7 +334,7 @@ def score(docs: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     bits = hash_bits(size)
-    chunks, drop = bucketed(word_chunks(docs, bits), "chunk", size // _CHUNK + 1)
+    chunks, drop = bucketed(word_chunks(docs, bits), "chunk", size // (4 * _CHUNK) + 1)
     n = chunks.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("tokens"), F.coalesce(F.sum("n_words"), F.lit(0)).alias("words")).first()
     grams = count_grams(chunks, bits, n["tokens"] // _PART + 1)
     words = count_words(chunks, grams, bits, n["words"] // _PART + 1)
