@@ -82,7 +82,9 @@ def base_metrics(data: np.ndarray, off: np.ndarray, window: int = 5) -> dict[str
 
 
 #: Text a chunk of documents holds; a document is never split.
-_CHUNK = 1 << 22
+_CHUNK = 12 << 20
+#: Tokens of a chunk scored at once.
+_SCORED = 1 << 19
 #: Keys that a range of hashes is made for.
 _PART = 1 << 21
 #: The start mark's hash, of any width.
@@ -171,9 +173,9 @@ def word_chunks(docs: DataFrame, bits: int) -> DataFrame:
 class Chunk:
     """A chunk's documents, words and bigrams.
 
-    The word after the last is the start mark.  `left`, `right` and `doc` are of
-    the tokens, `first` each document's first token; `keys` are the distinct
-    bigrams' and `gram` is each token's.
+    The word after the last is the start mark.  `left` and `right` are of the
+    tokens, `first` each document's first token; `keys` are the distinct bigrams'
+    and `gram` is each token's.
     """
 
     def __init__(self, row: dict, bits: int) -> None:
@@ -183,7 +185,6 @@ class Chunk:
         self.right = _unplanes(row["tokens"], row["n_tokens"], np.uint32)
         self.first = np.zeros(n + 1, np.int64)
         np.cumsum(self.metrics[0], out=self.first[1:])
-        self.doc = T.row_of(self.first)
         self.left = np.empty_like(self.right)
         self.left[1:] = self.right[:-1]
         self.left[self.first[:-1][np.diff(self.first) > 0]] = self.n_words
@@ -193,7 +194,8 @@ class Chunk:
         begin = _runs(h[by])
         self.keys = h[by[begin]]
         self.counts = np.diff(np.append(begin, len(by)))
-        self.gram = np.empty(len(h), np.uint32)
+        del h
+        self.gram = np.empty(len(by), np.uint32)
         self.gram[by] = np.repeat(np.arange(len(begin), dtype=np.uint32), self.counts)
         self.gram_left, self.gram_right = self.left[by[begin]], self.right[by[begin]]
 
@@ -244,12 +246,16 @@ def _merge(step: int, rows: int, number) -> object:
     return merge
 
 
-def _unpack(answers: list[dict], rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """The sums (rows x keys) and owner marks of a chunk's keys, in their order."""
-    answers = sorted(answers, key=lambda r: r["part"])
-    sums = [_unplanes(r["counts"], r["n"] * rows).reshape(rows, -1) for r in answers]
-    owner = [np.unpackbits(np.frombuffer(r["owner"], np.uint8), count=r["n"]).astype(bool) for r in answers]
-    return (np.concatenate(sums, axis=1), np.concatenate(owner)) if answers else (np.zeros((rows, 0), np.int64), np.zeros(0, bool))
+def _sums(answers: list[dict], rows: int) -> np.ndarray:
+    """The sums (rows x keys) of a chunk's keys, in their order."""
+    parts = [_unplanes(r["counts"], r["n"] * rows).reshape(rows, -1) for r in sorted(answers, key=lambda r: r["part"])]
+    return np.concatenate(parts, axis=1) if parts else np.zeros((rows, 0), np.int64)
+
+
+def _owned(answers: list[dict]) -> np.ndarray:
+    """Which of a chunk's keys are its own to count."""
+    parts = [np.unpackbits(np.frombuffer(r["owner"], np.uint8), count=r["n"]).astype(bool) for r in sorted(answers, key=lambda r: r["part"])]
+    return np.concatenate(parts) if parts else np.zeros(0, bool)
 
 
 def count_grams(chunks: DataFrame, bits: int, parts: int) -> DataFrame:
@@ -272,7 +278,8 @@ def count_words(chunks: DataFrame, grams: DataFrame, bits: int, parts: int) -> D
         out = []
         for row in left.to_pylist():
             c = Chunk(row, bits)
-            (total,), owner = _unpack(right.to_pylist(), 1)
+            answers = right.to_pylist()
+            (total,), owner = _sums(answers, 1), _owned(answers)
             size = len(c.words)
             mine, level = c.gram_left[owner], np.minimum(total[owner], 3)
             values = np.stack([np.bincount(c.left, minlength=size), *(np.bincount(mine[level == i], minlength=size) for i in (1, 2, 3)), np.bincount(c.gram_right[owner], minlength=size)])
@@ -280,7 +287,7 @@ def count_words(chunks: DataFrame, grams: DataFrame, bits: int, parts: int) -> D
             out.append(_send(row["chunk"], c.words[order], values[:, order], parts, bits))
         return pa.Table.from_batches(out)
 
-    sent = chunks.where("n_tokens > 0").drop("ids", "langs", "keys").groupBy("chunk").cogroup(grams.groupBy("chunk")).applyInArrow(send, _SENT)
+    sent = chunks.where("n_tokens > 0").drop("ids", "langs", "keys").groupBy("chunk").cogroup(grams.select("chunk", "part", "n", "counts", "owner").groupBy("chunk")).applyInArrow(send, _SENT)
     return cut(sent.groupBy("part").applyInArrow(_merge(2, 5, lambda s: s[4]), _ANSWER))
 
 
@@ -299,9 +306,23 @@ def score_chunk(c: Chunk, gram_counts: np.ndarray, word_counts: np.ndarray, mode
     neighbours by what these leave.  Only the discounts, the mass that they free
     for unseen words and the number of words are of all documents.
     """
+    n_docs = len(c.first) - 1
+    out = np.zeros((2, n_docs))
+    at = 0
+    while at < n_docs:
+        end = min(max(at + 1, int(np.searchsorted(c.first, c.first[at] + _SCORED, "right")) - 1), n_docs)
+        out[:, at:end] = _score_some(c, at, end, gram_counts, word_counts, model)
+        at = end
+    with np.errstate(invalid="ignore"):
+        return tuple(out / np.where(c.metrics[0] > 0, c.metrics[0], np.nan))
+
+
+def _score_some(c: Chunk, first: int, last: int, gram_counts: np.ndarray, word_counts: np.ndarray, model: dict) -> np.ndarray:
+    """Sums of negative log probabilities, by both, of the documents `first` to `last`."""
     before, once, twice, more, lefts = word_counts
     d2, d1 = np.array([0.0, *model["d2"]]), np.array([0.0, *model["d1"]])
-    both = (c.doc.astype(np.int64) << 32) | c.gram
+    n_docs = last - first
+    both = (T.row_of(c.first[first : last + 1]) << 32) | c.gram[c.first[first] : c.first[last]]
     both.sort()
     begin = _runs(both)
     own = np.diff(np.append(begin, len(both)))
@@ -319,14 +340,12 @@ def score_chunk(c: Chunk, gram_counts: np.ndarray, word_counts: np.ndarray, mode
     gone = rest == 0
     pairs, to = np.unique((doc << 32) | right, return_inverse=True)
     seen = np.maximum(lefts[pairs & 0xFFFFFFFF] - np.bincount(to, weights=gone, minlength=len(pairs)), 0)
-    every = np.maximum(model["total"] - np.bincount(doc, weights=gone, minlength=len(c.first) - 1), 1)[pairs >> 32]
+    every = np.maximum(model["total"] - np.bincount(doc, weights=gone, minlength=n_docs), 1)[pairs >> 32]
     p1 = ((seen - d1[np.minimum(seen, 3).astype(np.int64)]) / every + model["free"] / (model["types"] + 1))[to]
     # Only grams of one hash can break what these two lines see to.
     context, mass = np.maximum(context[at], rest), np.maximum(mass[at], d2[1])
     p2 = np.where(context > 0, (rest - d2[now] + mass * p1) / np.maximum(context, 1), p1)
-    n_docs = len(c.first) - 1
-    with np.errstate(invalid="ignore"):
-        return tuple(np.bincount(doc, weights=-np.log(p) * own, minlength=n_docs) / np.where(c.metrics[0] > 0, c.metrics[0], np.nan) for p in (p2, p1))
+    return np.stack([np.bincount(doc, weights=-np.log(p) * own, minlength=n_docs) for p in (p2, p1)])
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -334,7 +353,7 @@ def score(docs: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     bits = hash_bits(size)
-    chunks, drop = bucketed(word_chunks(docs, bits), "chunk", size // (4 * _CHUNK) + 1)
+    chunks, drop = bucketed(word_chunks(docs, bits), "chunk", size // _CHUNK + 1)
     n = chunks.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("tokens"), F.coalesce(F.sum("n_words"), F.lit(0)).alias("words")).first()
     grams = count_grams(chunks, bits, n["tokens"] // _PART + 1)
     words = count_words(chunks, grams, bits, n["words"] // _PART + 1)
@@ -352,8 +371,8 @@ def score(docs: DataFrame) -> DataFrame:
         for row in left.to_pylist():
             c = Chunk(row, bits)
             got = right.to_pylist()
-            (gram_counts,), _ = _unpack([r for r in got if r["step"] == 1], 1)
-            sums, _ = _unpack([r for r in got if r["step"] == 2], 5)
+            (gram_counts,) = _sums([r for r in got if r["step"] == 1], 1)
+            sums = _sums([r for r in got if r["step"] == 2], 5)
             word_counts = np.zeros((5, len(c.words)), np.int64)
             if len(gram_counts) != len(c.keys) or sums.shape[1] != (len(c.words) if len(c.keys) else 0):
                 raise RuntimeError("answers don't fit their chunk")
@@ -367,7 +386,7 @@ def score(docs: DataFrame) -> DataFrame:
         return pa.concat_tables(out)
 
     schema = f"doc_id {kind}, text_key long, band string, " + ", ".join(f"{x} long" for x in METRICS) + ", nll double, unigram_nll double"
-    scored = cut(chunks.groupBy("chunk").cogroup(grams.unionByName(words).groupBy("chunk")).applyInArrow(answer, schema))
+    scored = cut(chunks.groupBy("chunk").cogroup(grams.unionByName(words).select("chunk", "step", "part", "n", "counts").groupBy("chunk")).applyInArrow(answer, schema))
     drop()
     return scored
 
