@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textops as T
-from .sparkops import held_out
+from .sparkops import cut, held_out, keep_rows
 
 _M = np.uint64(0x9FB21C651E98DF25)
 _FOLD: list[np.ndarray] = []
@@ -35,6 +35,7 @@ def _fold() -> np.ndarray:
                 low = x.lower()
                 table[c] = ord(low) if len(low) == 1 else c
         _FOLD.append(table)
+        _FOLD.append(np.array([chr(c).isalpha() for c in range(0x110000)]))
     return _FOLD[0]
 
 
@@ -58,6 +59,11 @@ class _Letters:
             last = (at[1:] - 1)[at[1:] > at[:-1]]
             end[last] = ink[last]
         self.starts, self.ends = np.flatnonzero(start), np.flatnonzero(end) + 1
+        # Marks alone, without a letter, are no word.
+        letters = np.zeros(n + 1, np.int64)
+        np.cumsum(_FOLD[1][np.minimum(cp, sys.maxunicode)], out=letters[1:])
+        real = letters[self.ends] > letters[self.starts]
+        self.starts, self.ends = self.starts[real], self.ends[real]
         self.first = np.searchsorted(self.starts, at)
         with np.errstate(over="ignore"):
             self.run = np.zeros(n + 1, np.uint64)
@@ -85,12 +91,11 @@ def _edged(cp: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.nda
     return out, off
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most_docs: int = 20_000, longest: int = 5, least_share: float = 1e-6) -> dict:
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most_docs: int = 20_000, longest: int = 5) -> dict:
     """Model of languages from the whole texts of at most `most_docs` labelled documents, chosen by a hash of the id.
 
-    Only rows that aren't held out and have a lang are learned from.  Words and
-    grams of under `least_share` of all counted ones are left out, so tables
-    have at most 1 / least_share keys each.
+    Only rows that aren't held out and have a lang are learned from.  Every
+    word and gram of these is kept; the sample bounds their tables.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
@@ -127,19 +132,10 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
                         yield pa.RecordBatch.from_arrays([pa.array([str(names[k])] * m), pa.array(np.full(m, g, np.int32)), pa.array(keys.view(np.int64)), pa.array(c.astype(np.int64))], ["lang", "n", "key", "c"])
 
     counted = sample.mapInArrow(count, "lang string, n int, key long, c long").groupBy("lang", "n", "key").agg(F.sum("c").alias("c"))
-    from .sparkops import cut
-
     counted = cut(counted)
     totals = {(r["lang"], r["n"]): r["t"] for r in counted.groupBy("lang", "n").agg(F.sum("c").alias("t")).collect()}
     languages = sorted({lang for lang, _ in totals})
-    grand: dict[int, int] = {}
-    for (_, n), t in totals.items():
-        grand[n] = grand.get(n, 0) + t
-    least = F.lit(1.0)
-    for n, t in grand.items():
-        least = F.when(F.col("n") == n, F.lit(max(2.0, least_share * t) if t > 10_000 else 1.0)).otherwise(least)
-    keep = counted.groupBy("n", "key").agg(F.sum("c").alias("all")).where(F.col("all") >= least)
-    got = counted.join(keep, ["n", "key"]).select("lang", "n", "key", "c").toArrow()
+    got = counted.select("lang", "n", "key", "c").toArrow()
     lang = np.array([languages.index(x) for x in got.column("lang").to_pylist()], np.int64)
     n_of, key, c = (got.column(x).to_numpy() for x in ("n", "key", "c"))
     tables = {}
@@ -220,8 +216,14 @@ def identify(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
 
 
 def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least_score: float = 0.5) -> DataFrame:
-    """The rows of `docs` whose language is found with at least `least_score`, with all their columns; the others go."""
-    keyed = docs.withColumn("_text_key", F.xxhash64(F.col(text_col)))
-    found = identify(keyed, fit(docs, id_col, text_col, lang_col), id_col, text_col, ["_text_key"])
-    good = found.where((F.col("lang_pred") != "und") & (F.col("score") >= least_score)).select(F.col("doc_id").alias("_id"), F.col("_text_key").alias("_key")).distinct()
-    return keyed.join(good, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key")), "left_semi").drop("_text_key")
+    """The rows of `docs` whose language is found with at least `least_score`, with all their columns, whatever their names; the others go.
+
+    Null texts and texts without letters go, and all rows where there is nothing
+    to learn from; repeated rows stay or go together; an empty table gives an
+    empty one.
+    """
+    key = F.xxhash64(F.col(text_col))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), key.alias("text_key"))
+    found = identify(rows, fit(rows), key_cols=["text_key"])
+    good = found.where((F.col("lang_pred") != "und") & (F.col("score") >= least_score)).select("doc_id", "text_key")
+    return keep_rows(docs, id_col, key, good)

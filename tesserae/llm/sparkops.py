@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut, freed_shuffles, remove, shared_folder, ship, spread
 
-__all__ = ["bounded", "bucketed", "cut", "held_out", "keep_rows", "shared_folder", "ship", "spread", "with_info"]
+__all__ = ["bounded", "bucketed", "cut", "held_out", "keep_rows", "shared_folder", "ship", "spread", "with_info", "written"]
 
 
 def bounded(df: DataFrame, most: int = 50_000) -> DataFrame:
@@ -37,6 +37,15 @@ def bucketed(df: DataFrame, by: str, buckets: int) -> tuple[DataFrame, Callable[
     return spark.table(name), drop
 
 
+def written(df: DataFrame) -> DataFrame:
+    """`df` as a Parquet table in the shared folder, read from there."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/written_{uuid.uuid4().hex}"
+    with freed_shuffles(spark):
+        df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def keep_rows(docs: DataFrame, id_col: str, key: Column, kept: DataFrame) -> DataFrame:
     """The rows of `docs` whose id and `key` are a row of `kept` (two columns); no column name of `docs` can clash."""
     k, left, right = (f"_{uuid.uuid4().hex}" for _ in range(3))
