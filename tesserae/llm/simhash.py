@@ -7,13 +7,16 @@ distance never exceeds the Hamming distance.  Coordinates are dealt into
 `groups` grid blocks; two points within `radius` differ in at most `radius` of
 these, so they share the grid cell made of the other `groups - radius` blocks.
 Joining on those cells gives the candidates, which are then verified exactly.
-Cells of more than `cell_rows` fingerprints (families of near copies) are
-joined on single bits instead (segments of one bit), the same argument at a
-finer grid: a cell then leaves only `radius` of `groups` blocks free.
+Cells of more than `cell_rows` fingerprints (families of near copies) pass to a
+finer grid, of segments of one bit; there a cell leaves only `radius` of
+`groups` + 2 blocks of bits free.  Cells that are crowded even so aren't joined
+with themselves: each of their fingerprints looks up its neighbours in the free
+bits, 137 for radius 2, so that no group's pairs are ever all formed.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -23,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textops as T
-from .sparkops import cut, with_info
+from .sparkops import cut, keep_rows, with_info
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -93,11 +96,11 @@ def embedding(fp: Column, segments: int) -> list[Column]:
 
 
 def _cells(points: DataFrame, segments: int, groups: int, radius: int) -> DataFrame:
-    """One row for each point and choice of groups - radius blocks: (cell long, fp)."""
+    """One row for each point and choice of groups - radius blocks: (choice, cell long, fp)."""
     coords = embedding(F.col("fp"), segments)
     blocks = [coords[i::groups] for i in range(groups)]
     keys = [F.xxhash64(F.lit(n), *[c for g in chosen for c in blocks[g]]) for n, chosen in enumerate(combinations(range(groups), groups - radius))]
-    return points.select("fp", F.explode(F.array(*keys)).alias("cell"))
+    return points.select("fp", F.posexplode(F.array(*keys)).alias("choice", "cell"))
 
 
 def _close(cells: DataFrame, radius: int) -> DataFrame:
@@ -106,18 +109,38 @@ def _close(cells: DataFrame, radius: int) -> DataFrame:
     return a.join(b, "cell").where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)).select("a", "b")
 
 
+def _masks(groups: int, radius: int) -> list[tuple[int, int]]:
+    """(choice, mask): for each choice of blocks of the finest grid, the up to `radius` bits, not none, that two points of one of its cells may differ in."""
+    out = []
+    for n, chosen in enumerate(combinations(range(groups), groups - radius)):
+        free = [bit for bit in range(64) if bit % groups not in chosen]
+        out += [(n, sum(1 << b for b in bits)) for k in range(1, radius + 1) for bits in combinations(free, k)]
+    return [(n, m - (1 << 64) if m >> 63 else m) for n, m in out]
+
+
+def _crowded(cells: DataFrame, most: int) -> DataFrame:
+    return cut(cells.groupBy("cell").count().where(F.col("count") > most).select("cell"))
+
+
 def links(points: DataFrame, radius: int = 2, segments: int = 32, groups: int = 6, cell_rows: int = 512) -> DataFrame:
     """Every pair (a < b) of the distinct fingerprints `points(fp)` within `radius` bits, once.
 
     An empty table gives no pairs.  No cell is capped: those of over `cell_rows`
-    points pass to the finer grid, whose pairs are verified and kept as well.
+    points pass to the finer grid, and those crowded there to its free bits'
+    neighbours; all pairs are verified and kept.
     """
     cells = cut(_cells(points, segments, groups, radius))
-    crowded = cut(cells.groupBy("cell").count().where(F.col("count") > cell_rows).select("cell"))
+    crowded = _crowded(cells, cell_rows)
     pairs = _close(cells.join(crowded, "cell", "left_anti"), radius)
     if not crowded.isEmpty():
-        deep = cells.join(crowded, "cell", "left_semi").select("fp").distinct()
-        pairs = pairs.unionByName(_close(_cells(deep, 64, groups + 2, radius), radius))
+        fine = cut(_cells(cells.join(crowded, "cell", "left_semi").select("fp").distinct(), 64, groups + 2, radius))
+        full = _crowded(fine, cell_rows)
+        pairs = pairs.unionByName(_close(fine.join(full, "cell", "left_anti"), radius))
+        if not full.isEmpty():
+            deep = fine.join(full, "cell", "left_semi")
+            masks = points.sparkSession.createDataFrame(_masks(groups + 2, radius), "choice int, mask long")
+            other = deep.join(F.broadcast(masks), "choice").select(F.col("fp").alias("a"), F.col("fp").bitwiseXOR(F.col("mask")).alias("b")).where("a < b").distinct()
+            pairs = pairs.unionByName(other.join(points.select(F.col("fp").alias("b")), "b", "left_semi").select("a", "b"))
     return pairs.distinct()
 
 
@@ -171,9 +194,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def dedupe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """`docs` with one row of each near-duplicate component, that of the smallest id (nulls last; of repeated rows one), and all its columns."""
+    """`docs` with one row of each near-duplicate component, that of the smallest id (nulls last; of its texts that of the least hash), and all its columns, whatever their names.
+
+    Of rows with one id and one text any stays.  Empty and null texts are one
+    component; an empty table gives an empty one.
+    """
     found = near_duplicates(docs, id_col, text_col, **how)
-    keep = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("k")).select(F.col("k.doc_id").alias("_id"), F.col("k.text_key").alias("_key"))
-    names = docs.columns
-    keyed = docs.withColumn("_text_key", F.xxhash64(F.col(text_col)))
-    return keyed.join(keep, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key")), "left_semi").dropDuplicates([id_col, "_text_key"]).select(*[f"`{c}`" for c in names])
+    each = found.groupBy("root", "doc_id", "text_key").agg(F.count("*").alias("n"))
+    keep = cut(each.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key", "n")).alias("k")).select("k.doc_id", "k.text_key", "k.n"))
+    key = F.xxhash64(F.col(text_col))
+    if keep.where("n > 1").isEmpty():
+        return keep_rows(docs, id_col, key, keep.drop("n"))
+    name = f"_{uuid.uuid4().hex}"
+    kept = keep_rows(docs.withColumn(name, key), id_col, F.col(name), keep.drop("n"))
+    return kept.dropDuplicates([id_col, name]).drop(name)

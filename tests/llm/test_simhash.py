@@ -106,3 +106,22 @@ def test_empty_table_and_dedupe(spark):
     assert kept.columns == docs.columns
     want = Counter(k[3] for k in {(r[3],): r for r in brute(rows)}.values())
     assert Counter(r["doc_id"] for r in kept.collect()) == want
+
+
+def test_dedupe_with_clashing_columns(spark):
+    rows = [(1, "a b c d", 1, 2, 3), (2, "a b c d", 1, 2, 3), (2, "a b c d", 1, 2, 3), (3, None, 1, 2, 3), (4, "", 1, 2, 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _id int, _key int, _text_key int")
+    kept = simhash.dedupe(df)
+    assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 3]
+    twice = simhash.dedupe(df.where("doc_id = 2"))
+    assert [r["doc_id"] for r in twice.collect()] == [2]
+
+
+def test_a_family_crowded_in_the_finest_grid(spark):
+    rnd = random.Random(11)
+    base = rnd.getrandbits(63)
+    points = {base ^ sum(1 << b for b in rnd.sample(range(63), rnd.randint(0, 3))) for _ in range(500)}
+    want = {(min(a, b), max(a, b)) for a in points for b in points if a != b and bin(a ^ b).count("1") <= 2}
+    df = spark.createDataFrame([(p,) for p in points], "fp long")
+    got = [tuple(r) for r in simhash.links(df, cell_rows=8).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 1000
