@@ -130,9 +130,9 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     null or empty text is `end_id` alone.  Only documents of over `capacity`
     tokens are cut, the remainder being the first piece.  Repeated rows are
     packed each; an empty table gives no row; other columns are ignored.
-    Merging ends when one task holds what is left or, above `task_rows` bins,
-    when a round joins fewer than one in a thousand of them: no task ever
-    holds more than `fan_in` others' leftovers or `task_rows` bins.
+    Merging ends when one task held all that was left, or when a round, dealt
+    anew, joined nothing, at any size: no task ever holds more than `fan_in`
+    others' leftovers or, on the mean, `task_rows` bins.
     """
     if json_path is None:
         json_path, ranks_path = default_paths()
@@ -187,15 +187,15 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     result = bins.where("done")
     left = bins.where("not done")
     tasks, many, level = max(1, bins.rdd.getNumPartitions()), left.count(), 1
-    while many > 1 and level < 30:
+    while many > 1 and level < 31:
         tasks = max(1, -(-tasks // fan_in), -(-many // task_rows))
         packed = cut(left.select("bin", "fill", "members").repartition(tasks, "bin").mapInArrow(again(level), schema))
         result = result.unionByName(packed.where("done"))
         left = packed.where("not done")
-        now = left.count()
-        if tasks == 1 or (many > task_rows and now + packed.where("done").count() > 0.999 * many):
+        made = packed.count()
+        if tasks == 1 or made == many:
             break
-        many, level = now, level + 1
+        many, level = left.count(), level + 1
     result = result.unionByName(left)
     names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
     return result.select(F.col("bin").alias("sequence_id"), F.explode("members").alias("m")).select(*[F.col("m")[c].alias(c) for c in names], "sequence_id", F.col("m")["offset"].cast("long").alias("offset"))
