@@ -24,30 +24,99 @@ from pyspark.sql import functions as F
 from . import textops as T
 
 PATH, WORDS, FIGURES, HIDDEN = 96, 64, 10, 24
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?P<raw>script|style|noscript|template|textarea|select|svg|math|iframe|object|canvas|audio|video|title)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S | re.I)
+_TAG_REST = re.compile(r"[^>=]*+(?:=\s*+(?:\"[^\"]*+\"|'[^']*+'|(?![\"']))[^>=]*+)*+>")
+#: Elements whose content is characters up to their end tag, none of it the page's text.
+_RAW = frozenset("script style title textarea xmp iframe noembed noframes".split())
+#: Elements whose content isn't shown; one that is never closed hides nothing.
+_HIDDEN = frozenset("noscript template select datalist svg canvas audio video object".split())
 _ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+_INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr math mi mn mo ms mtext mrow mfrac msqrt mroot msub msup msubsup munder mover munderover mspace mstyle mpadded mphantom menclose semantics annotation".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _CLOSES = {"p": ("p",), "li": ("li", "p"), "dt": ("dt", "dd", "p"), "dd": ("dt", "dd", "p"), "tr": ("tr", "td", "th", "p"), "td": ("td", "th", "p"), "th": ("td", "th", "p"), "option": ("option",)}
 _CLOSES |= dict.fromkeys("address article aside blockquote details div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol pre section table ul".split(), ("p",))
 _SPLIT = re.compile(r"[^a-z]+")
 
 
-def blocks(page: str | None) -> tuple[list[str], list[tuple[str, ...]], list[float]]:
+class Node:
+    """An open element: its parent, its marks (name, classes, id, role) and the sum of its path's hashed marks."""
+
+    __slots__ = ("parent", "marks", "kids", "total", "leaf")
+    made = 0
+
+    def __init__(self, parent: Node | None, marks: tuple[str, ...]) -> None:
+        self.parent, self.marks = parent, marks
+        self.kids: dict[tuple[str, ...], Node] = {}
+        self.total = np.zeros(PATH, np.int32) if parent is None else None
+        self.leaf: np.ndarray | None = None
+        Node.made += 1
+
+    def child(self, marks: tuple[str, ...]) -> Node:
+        node = self.kids.get(marks)
+        if node is None:
+            node = self.kids[marks] = Node(self, marks)
+        return node
+
+    def path(self) -> tuple[str, ...]:
+        """The marks of all open elements, outermost first."""
+        chain, node = [], self
+        while node is not None:
+            chain.append(node.marks)
+            node = node.parent
+        return tuple(m for marks in reversed(chain) for m in marks)
+
+    def vector(self) -> np.ndarray:
+        """Hashed marks of the whole path, and of its last two once more."""
+        if self.leaf is None:
+            chain, node = [], self
+            while node.total is None:
+                chain.append(node)
+                node = node.parent
+            for node in reversed(chain):
+                node.total = _hashed(node.parent.total.copy(), node.marks, b"")
+            last = self.marks if len(self.marks) > 1 or self.parent is None else self.parent.marks + self.marks
+            self.leaf = np.clip(_hashed(self.total.copy(), last[-2:], b"leaf "), -3, 3).astype(np.float32)
+        return self.leaf
+
+
+def _hashed(v: np.ndarray, marks: tuple[str, ...], salt: bytes) -> np.ndarray:
+    for m in marks:
+        h = zlib.crc32(salt + m.encode())
+        v[h % PATH] += 1 if h & 0x80000000 else -1
+    return v
+
+
+_ROOT: list[Node] = []
+
+
+def _root() -> Node:
+    """The root of the paths, shared by pages until it has grown large."""
+    if not _ROOT or Node.made > 50_000:
+        _ROOT[:] = [Node(None, ())]
+        Node.made = 0
+    return _ROOT[0]
+
+
+def blocks(page: str | None) -> tuple[list[str], list[Node], list[float]]:
     """Texts, tag paths and shares of link text of a page's leaf blocks, in page order.
 
     Character references are decoded and white space is single spaces; scripts,
-    styles, comments and other raw elements give no block.  Unclosed and stray
-    tags are borne; a null or empty page has no blocks.
+    styles, comments and what isn't shown give no block; formulas are text.
+    Unclosed and stray tags are borne, an unclosed quotation mark ends at its tag's
+    `>`, and where no `>` follows the rest is text.  Time is in proportion to the
+    page, whatever its markup.  A null or empty page has no blocks.
     """
     texts: list[str] = []
-    paths: list[tuple[str, ...]] = []
+    paths: list[Node] = []
     links: list[float] = []
     if not page:
         return texts, paths, links
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    node = _root()
+    stack: list[tuple[str, Node]] = []
+    opened: dict[str, int] = {}
+    closers: dict[str, int] = {}
     parts: list[str] = []
-    linked, in_link, at = 0, 0, 0
+    linked, in_link, hidden, loose = 0, 0, 0, False
+    at, end = 0, len(page)
 
     def flush() -> None:
         nonlocal linked
@@ -56,76 +125,124 @@ def blocks(page: str | None) -> tuple[list[str], list[tuple[str, ...]], list[flo
             text = " ".join((_html.unescape(raw) if "&" in raw else raw).split())
             if text:
                 texts.append(text)
-                paths.append(tuple(x for _, marks in stack for x in marks))
+                paths.append(node)
                 links.append(min(1.0, linked / len(text)))
             parts.clear()
             linked = 0
 
-    for m in _TOKEN.finditer(page):
-        if m.start() > at:
-            parts.append(page[at : m.start()])
+    def pop() -> None:
+        nonlocal node, hidden
+        name, node = stack.pop()
+        opened[name] -= 1
+        hidden -= name in _HIDDEN
+
+    def last_close(name: str) -> int:
+        """Where the last end tag of `name` begins."""
+        if name not in closers:
+            closers[name] = max((m.start() for m in re.finditer(rf"</{re.escape(name)}(?=[\s/>])", page, re.I)), default=-1)
+        return closers[name]
+
+    def words(a: int, b: int) -> None:
+        nonlocal linked
+        if b > a and not hidden:
+            parts.append(page[a:b])
             if in_link:
-                linked += m.start() - at
-        at = m.end()
-        name = m["name"]
-        if name is None:
-            if m["raw"]:
+                linked += b - a
+
+    while True:
+        lt = page.find("<", at)
+        if lt < 0 or lt + 1 >= end:
+            words(at, end)
+            break
+        c = page[lt + 1]
+        close = c == "/"
+        first = page[lt + 2 : lt + 3] if close else c
+        if not (first.isascii() and first.isalpha()):
+            if close or c in "!?":
+                words(at, lt)
+                mark = "-->" if page.startswith("<!--", lt) else "]]>" if page.startswith("<![CDATA[", lt) else ">"
+                stop = page.find(mark, lt + 2)
+                at = end if stop < 0 else stop + len(mark)
+                if stop < 0 and mark == ">":
+                    words(lt, end)
+                    break
+            else:
+                words(at, lt + 1)
+                at = lt + 1
+            continue
+        words(at, lt)
+        name_end = lt + 2 + close
+        while name_end < end and page[name_end] not in " \t\n\r\f/>":
+            name_end += 1
+        found = None if loose else _TAG_REST.match(page, name_end)
+        if found is None:
+            loose = True
+            gt = page.find(">", name_end)
+            if gt < 0:
+                words(lt, end)
+                break
+            at = gt + 1
+        else:
+            at = found.end()
+        name = page[lt + 1 + close : name_end].lower()
+        if name in _RAW:
+            if not close:
+                stop = re.compile(rf"</{name}(?=[\s/>])", re.I).search(page, at)
+                gt = page.find(">", stop.end()) if stop else -1
+                at = end if gt < 0 else gt + 1
                 parts.append(" ")
             continue
-        name = name.lower()
         if name in _INLINE:
             if name == "br":
                 parts.append(" ")
             elif name == "a":
-                in_link = 0 if m["close"] else 1
+                in_link = 0 if close else 1
+            continue
+        if name in _HIDDEN:
+            if not close and page[at - 2] != "/" and last_close(name) >= at:
+                stack.append((name, node))
+                opened[name] = opened.get(name, 0) + 1
+                hidden += 1
+                parts.append(" ")
+            elif close and opened.get(name):
+                while stack[-1][0] != name:
+                    pop()
+                pop()
+            continue
+        if hidden and (not close or stack[-1][0] == name):
+            # What a hidden element holds has no blocks, but must be opened so that it is closed.
+            if close:
+                pop()
+            elif name not in _VOID and page[at - 2] != "/":
+                stack.append((name, node))
+                opened[name] = opened.get(name, 0) + 1
             continue
         flush()
-        if m["close"]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
-                    break
+        if close:
+            if opened.get(name):
+                while stack[-1][0] != name:
+                    pop()
+                pop()
             in_link = 0
             continue
         if name in _VOID:
             continue
         shut = _CLOSES.get(name)
         while shut and stack and stack[-1][0] in shut:
-            stack.pop()
-        attrs = m["attrs"]
+            pop()
+        attrs = page[name_end : at - 1]
         marks = [name]
-        if attrs and "=" in attrs:
-            for kind, a, b, c in _ATTR.findall(attrs):
-                marks += [f"{kind[0].lower()}:{x}" for x in _SPLIT.split((a or b or c).lower()) if x]
-        stack.append((name, tuple(marks)))
-        if len(stack) > 200:
-            del stack[100]
-    if at < len(page):
-        parts.append(page[at:])
+        if "=" in attrs:
+            for kind, x, y, z in _ATTR.findall(attrs):
+                marks += [f"{kind[0].lower()}:{w}" for w in _SPLIT.split((x or y or z).lower()) if w]
+        stack.append((name, node))
+        opened[name] = opened.get(name, 0) + 1
+        node = node.child(tuple(marks))
     flush()
     return texts, paths, links
 
 
-_PATHS: dict[tuple[str, ...], np.ndarray] = {}
-
-
-def _path_vector(path: tuple[str, ...]) -> np.ndarray:
-    v = _PATHS.get(path)
-    if v is None:
-        v = np.zeros(PATH, np.float32)
-        for depth, mark in enumerate(path[-24:]):
-            h = zlib.crc32(mark.encode())
-            v[h % PATH] += 1 if h & 0x80000000 else -1
-            if depth >= len(path[-24:]) - 2:
-                h = zlib.crc32(b"leaf " + mark.encode())
-                v[h % PATH] += 1 if h & 0x80000000 else -1
-        v = np.clip(v, -3, 3)
-        if len(_PATHS) < 50_000:
-            _PATHS[path] = v
-    return v
-
-
-def features(texts: list[str], paths: list[tuple[str, ...]], links: list[float], index: np.ndarray, size: np.ndarray) -> np.ndarray:
+def features(texts: list[str], paths: list[Node], links: list[float], index: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Input vectors of blocks; `index` is a block's place in its page and `size` the page's number of blocks."""
     n = len(texts)
     data, off = T.column(pa.array(texts, pa.large_string()))
@@ -143,7 +260,7 @@ def features(texts: list[str], paths: list[tuple[str, ...]], links: list[float],
     digits = T.sums((data >= 48) & (data <= 57), off)
     link = np.array(links)
     figures = np.stack([np.log1p(count) / 4, np.log1p(chars) / 6, link, stops / np.maximum(count, 1), digits / chars, T.sums(upper, off) / chars, index / np.maximum(size, 1), 1.0 * (index == 0), 1.0 * (index == size - 1), np.log1p(size) / 4], axis=1)
-    return np.concatenate([np.array([_path_vector(p) for p in paths], np.float32).reshape(n, PATH), words, figures], axis=1).astype(np.float32)
+    return np.concatenate([np.array([p.vector() for p in paths], np.float32).reshape(n, PATH), words, figures], axis=1).astype(np.float32)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -257,14 +374,19 @@ _CHROME = "home about contact login sign in register subscribe newsletter privac
 
 
 def _prose(r: random.Random, low: int, high: int) -> str:
+    """Invented words, plain or with one of many kinds of decoration."""
     style = r.random()
     words = ["".join(r.choice("aeiouéäöüñ" if k % 2 else "bcdfghlmnprstvwz") for k in range(r.randint(1, 10))) for _ in range(r.randint(low, high))]
-    if style < 0.08:
-        words = [w + r.choice(["***", "$$$", "%%%", "###", "&amp;&amp;&amp;"]) for w in words]
-    elif style < 0.12:
-        words = [w.upper() + "!!" for w in words]
-    elif style < 0.16:
-        words = [x for w in words for x in (w, "|")]
+    if style < 0.1:
+        tails = ["".join(r.choice(["!", "?", "#", "$", "%", "*", "+", "=", "~", "^", "_", "@", "&amp;", "&lt;"]) for _ in range(r.randint(1, 4))) for _ in range(r.randint(1, 6))]
+        words = [w + r.choice(tails) for w in words]
+    elif style < 0.14:
+        words = [w.upper() + r.choice(["", "!", "!!", "?"]) for w in words]
+    elif style < 0.18:
+        between = r.choice(["|", "/", "-", ";", "&middot;", "&ndash;"])
+        words = [x for w in words for x in (w, between)]
+    elif style < 0.22:
+        words = [r.choice([w, str(r.randint(0, 10 ** r.randint(1, 9)))]) for w in words]
     else:
         words = [w + r.choice(["", "", "", "", "", ",", ".", ""]) for w in words]
     return " ".join(words).capitalize() + r.choice([".", ".", "", "?"])
@@ -275,6 +397,10 @@ def _chrome(r: random.Random, low: int, high: int) -> str:
     return " ".join(r.choice(_CHROME) if own else _prose(r, 1, 1).strip(".?") for _ in range(r.randint(low, high)))
 
 
+def _head(r: random.Random) -> str:
+    return "".join(r.choice([f"<style>.{_prose(r, 1, 1)} {{ width: {r.randint(1, 99)}px }}</style>", f"<script>var x = '<p>{_prose(r, 1, 5)}</p>';</script>", f'<meta name=description content="{_prose(r, 1, 9)}">', "<link rel=stylesheet href=a.css>"]) for _ in range(r.randint(0, 3)))
+
+
 def generated_page(r: random.Random) -> tuple[str, list[str]]:
     """A page of a random layout and the texts of its main blocks."""
     main: list[str] = []
@@ -310,8 +436,8 @@ def generated_page(r: random.Random) -> tuple[str, list[str]]:
         if kind < 0.72:
             body.append(f"<p>{add(_prose(r, 1, r.choice([3, 20, 60, 150])))}" + r.choice(["</p>", "</p>", "</p>", ""]))
         elif kind < 0.8:
-            t = _prose(r, 1, 30)
-            body.append(f"<p><b>{add(t)}<br>")
+            t, tag = _prose(r, 1, 30), r.choice(["b", "i", "em", "strong", "span", "code"])
+            body.append(r.choice(["<p>", "<div>", "<p class=lead>"]) + f"<{tag}>{add(t)}" + r.choice(["<br>", "<br/>", f"</{tag}>", ""]))
         elif kind < 0.87:
             level = r.randint(2, 4)
             body.append(f"<h{level}>{add(_prose(r, 1, 8))}</h{level}>")
@@ -337,7 +463,7 @@ def generated_page(r: random.Random) -> tuple[str, list[str]]:
         out.append(r.choice([lambda: boiler("footer", "", 2, 20), lambda: f"<footer>&copy; {_chrome(r, 1, 3)} &middot; {_prose(r, 2, 12)}</footer>", lambda: menu("footer", ""), lambda: boiler("div", mark("footer", "site-footer", "copyright", "bottom"), 2, 20)])())
     if r.random() < 0.1:
         out.insert(0, "<div class='wrapper'>")
-    page = f"<!DOCTYPE html><html><head><meta charset=utf-8><title>{_prose(r, 2, 6)}</title><style>p{{margin:0}}</style></head><body>{''.join(out)}</body></html>"
+    page = f"<!DOCTYPE html><html><head><meta charset=utf-8><title>{_prose(r, 2, 6)}</title>{_head(r)}</head><body>{''.join(out)}</body></html>"
     return page, main
 
 
@@ -366,7 +492,7 @@ def trained(pages: int = 1000, seed: int = 11) -> Labeller:
     return _TRAINED[pages, seed]
 
 
-def label(model: Labeller, pages: list[tuple[list[str], list[tuple[str, ...]], list[float]]], most_cells: int = 200_000) -> list[np.ndarray]:
+def label(model: Labeller, pages: list[tuple[list[str], list[Node], list[float]]], most_cells: int = 200_000) -> list[np.ndarray]:
     """Probability that a block is main text, for each block of each page; pages of like length run together."""
     size = np.array([len(p[0]) for p in pages], np.int64)
     out: list[np.ndarray] = [np.zeros(0)] * len(pages)
