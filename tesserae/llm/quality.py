@@ -353,7 +353,7 @@ def score(docs: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     bits = hash_bits(size)
-    chunks, drop = bucketed(word_chunks(docs, bits), "chunk", size // _CHUNK + 1)
+    chunks, drop = bucketed(word_chunks(docs, bits), "chunk", 4 * size // _CHUNK + 1)
     n = chunks.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("tokens"), F.coalesce(F.sum("n_words"), F.lit(0)).alias("words")).first()
     grams = count_grams(chunks, bits, n["tokens"] // _PART + 1)
     words = count_words(chunks, grams, bits, n["words"] // _PART + 1)

@@ -1,8 +1,7 @@
-"""Terms of a given document share, found exactly without shuffling the vocabulary.
+"""Document frequencies of terms, counted by Spark over all documents.
 
-A term that is in a share s of all documents is in that share of the documents
-of at least one task.  So a first pass names each task's own frequent terms and
-a second counts just these over all documents.
+Tasks count the terms of their own documents and Spark adds the counts up; no
+term is left out, and nothing goes to the driver.
 """
 
 from __future__ import annotations
@@ -71,15 +70,15 @@ class Counter:
             keys, counts = tally(np.concatenate(self.keys[k]), np.concatenate(self.counts[k]))
             self.keys[k], self.counts[k], self.size[k] = [keys], [counts], len(keys)
 
-    def frequent(self, least: float) -> tuple[np.ndarray, np.ndarray]:
-        """The keys, once each in no order, of at least `least`, and their counts."""
+    def taken(self) -> tuple[np.ndarray, np.ndarray]:
+        """The keys, once each in no order, and their counts; the counter is empty then."""
         keys, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)]
         for k in range(self.PARTS):
             self._merge(k)
             for x, c in zip(self.keys[k], self.counts[k]):
-                keys.append(x[c >= least])
-                counts.append(c[c >= least])
-            self.keys[k], self.counts[k] = [], []
+                keys.append(x)
+                counts.append(c)
+            self.keys[k], self.counts[k], self.size[k] = [], [], 0
         return np.concatenate(keys), np.concatenate(counts)
 
 
@@ -94,45 +93,21 @@ def sized(keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts.astype(np.int64))], ["key", "df"])
 
 
-def local_frequent(docs: DataFrame, least_share: float, hashes: Callable = word_hashes) -> np.ndarray:
-    """Keys of the terms of `docs(text)` that have `least_share` in some task; each task names at most its mean distinct terms a document / least_share."""
+#: Keys that a task's counter may hold before it hands them on.
+_HELD = 1 << 22
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, n = Counter(), 0
-        for batch in batches:
-            data, off = T.column(batch.column("text"))
-            n += batch.num_rows
-            for _, _, d, o in T.slices(data, off, 1_000_000, ROWS):
-                found.add(*key_counts(distinct_in_rows(*hashes(d, o))))
-        yield sized(*found.frequent(least_share * n))
 
-    got = docs.select("text").mapInArrow(run, "key long, df long").select("key").distinct().toArrow()
-    return np.sort(got.column("key").to_numpy().view(np.uint64))
-
-
-def document_counts(docs: DataFrame, keys: np.ndarray, hashes: Callable = word_hashes) -> tuple[np.ndarray, int]:
-    """The number of documents of `docs(text)` that have each of the sorted `keys`, and the number of documents."""
-    shared = docs.sparkSession.sparkContext.broadcast(keys)
+def document_frequencies(docs: DataFrame, hashes: Callable = word_hashes) -> DataFrame:
+    """(key, df): in how many rows of `docs(text)` each term occurs, by the key of its hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = shared.value
-        total, n = np.zeros(len(wanted), np.int64), 0
+        found = Counter()
         for batch in batches:
             data, off = T.column(batch.column("text"))
-            n += batch.num_rows
             for _, _, d, o in T.slices(data, off, 1_000_000, ROWS):
-                h, first = hashes(d, o)
-                row = T.row_of(first)
-                at, found = T.lookup(wanted, h & ~_LOW)
-                c = at[found] * ROWS + row[found]
-                c.sort()
-                c = c[np.append(True, c[1:] != c[:-1])] if len(c) else c
-                total += np.bincount(c >> ROW_BITS, minlength=len(wanted))
-        some = np.flatnonzero(total)
-        yield sized(np.append(some, -1).astype(np.int64).view(np.uint64), np.append(total[some], n))
-
-    rows = docs.select("text").mapInArrow(run, "key long, df long").groupBy("key").agg(F.sum("df").alias("df")).toArrow()
-    at, df = rows.column("key").to_numpy(), rows.column("df").to_numpy()
-    out = np.zeros(len(keys), np.int64)
-    out[at[at >= 0]] = df[at >= 0]
-    return out, int(df[at < 0].sum())
+                found.add(*key_counts(distinct_in_rows(*hashes(d, o))))
+                if sum(found.size) > _HELD:
+                    yield sized(*found.taken())
+        yield sized(*found.taken())
+
+    return docs.select("text").mapInArrow(run, "key long, df long").groupBy("key").agg(F.sum("df").alias("df"))

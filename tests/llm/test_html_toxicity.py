@@ -1,24 +1,61 @@
 import html
 import random
 import re
+import time
 import zlib
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tesserae.llm import html_blocks as hb
-from tesserae.llm import toxicity
+from tesserae.llm import terms, toxicity
+from tesserae.llm import textops as T
 
 
 def test_blocks_decode_and_survive_broken_markup():
     page = "<!DOCTYPE html><head><title>no</title></head><body>lead <b>bold<!-- x > y --> in</b>\n<p>one<br>two &amp;amp; &eacute;&nbsp;z<p>three<script>var t='</p>';</script> four<div class='a b' id=c>five</div></section>tail <a href='>'>link</a> <unclosed"
     texts, paths, links = hb.blocks(page)
     assert texts[:4] == ["lead bold in", "one two &amp; é z", "three four", "five"] and texts[4].startswith("tail link")
-    assert paths[3][-4:] == ("div", "c:a", "c:b", "i:c") and links[0] == 0 < links[4]
+    assert paths[3].path()[-4:] == ("div", "c:a", "c:b", "i:c") and links[0] == 0 < links[4]
     for bad in (None, "", "   ", "plain text", "<", "<p", "<script>never closed", "<!-- open", "<div " * 300, "&#0; &bogus; &#x110000;"):
         hb.blocks(bad)
 
 
+def test_only_what_is_not_shown_is_left_out():
+    page = "<article><p>a <svg/> b <math><mi>x</mi>=<mn>2</mn></math> c<svg><text>no</text></svg> d<video src=x>e<p>f <select><option>o</select> g <template><p>t</p></template>h</article>"
+    assert hb.blocks(page)[0] == ["a b x=2 c de", "f g h"]
+    deep = "<footer>" + "<div class='a b c'>" * 300 + "x" + "</div>" * 300 + "</footer><p>y"
+    texts, paths, _ = hb.blocks(deep)
+    assert texts == ["x", "y"] and len(paths[0].path()) == 1 + 4 * 300 and paths[0].path()[0] == "footer" and paths[1].path() == ("p",)
+
+
+@pytest.mark.parametrize("piece", ["<script ", '<a "', "<a '", "<div>", "<svg", "<", "<!--", "</", "<p class='", "&amp", "<video>", "<select>x", '<div x="<" ', "a=b <", "<td><tr>", "</div>", "<math><mi>", "<title>"])
+def test_malformed_pages_of_a_megabyte(piece):
+    began = time.process_time()
+    hb.blocks(piece * (1_000_000 // len(piece)))
+    hb.blocks("<div><p>" * 60_000 + piece * (500_000 // len(piece)))
+    assert time.process_time() - began < 10
+
+
+def test_hand_written_pages():
+    pages = [
+        ("""<html><body><div id="wrap"><div class="masthead"><a href="/">The Daily Example</a></div>
+<ul class="menu"><li><a href="/">Home</a></li><li><a href="/w">World</a></li><li><a href="/s">Sport</a></li></ul>
+<div class="story"><h1>Bridge reopens after repairs</h1><p>The old bridge over the river opened again on Monday after eight months of work.</p>
+<p>Engineers replaced the deck and most of the railings, the council said.</p></div>
+<div class="sidebar"><h3>Most read</h3><ul><li><a href="1">Ten ways to cook rice</a></li><li><a href="2">Weather for the week</a></li></ul></div>
+<div class="footer">Copyright The Daily Example. All rights reserved.</div></div></body></html>""",
+         "Bridge reopens after repairs The old bridge over the river opened again on Monday after eight months of work. Engineers replaced the deck and most of the railings, the council said."),
+        ("""<body><header><a href=/>My notes</a></header><nav><a href=/a>About</a> <a href=/b>Archive</a></nav><main>
+<h1>Growing beans</h1><p>Beans want warmth, so wait until the soil is warm before you sow them in rows.</p><ul><li>Water them well in dry weeks.</li><li>Pick them young and often.</li></ul></main>
+<section class="comments"><h2>Comments</h2><div class="comment"><p>Great post, thanks for sharing it with us all!</p></div></section><footer>&copy; 2020 My notes</footer></body>""",
+         "Growing beans Beans want warmth, so wait until the soil is warm before you sow them in rows. Water them well in dry weeks. Pick them young and often."),
+    ]
+    assert hb.main_texts(hb.trained(), [p for p, _ in pages]) == [t for _, t in pages]
+
+
 def test_gradients_are_right():
     r = np.random.default_rng(0)
     m = hb.Labeller(3, width=5, hidden=4)
@@ -109,22 +146,73 @@ def test_toxicity_without_toxic_labels_or_rows(spark, labels):
     assert toxicity.score(docs.limit(0), known).count() == 0
 
 
-def test_walk_and_graph(spark):
-    x = toxicity.walk(4, (np.array([0, 1]), np.array([1, 2]), np.array([1.0, 1.0])), np.array([0]))
-    assert abs(x.sum() - 1) < 1e-9 and x[0] > x[1] > x[2] > x[3] == 0
-    rows, _ = corpus()
-    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    from tesserae.llm import terms
-
-    keys = terms.local_frequent(df, 0.001, toxicity._letters)
-    counts, n = terms.document_counts(df, keys, toxicity._letters)
-    a, b, w = toxicity.word_graph(df, keys, counts, n, window=2, least_docs=3)
-    import collections
-
-    seen, single = collections.Counter(), collections.Counter()
-    for _, t in rows:
-        words = re.findall(r"[a-z]+", t.lower())
-        single.update(set(words))
-        seen.update({tuple(sorted((p, q))) for k in (1, 2) for p, q in zip(words, words[k:]) if p != q})
-    want = sorted(round(np.log(c * n / (single[p] * single[q])), 6) for (p, q), c in seen.items() if c >= 3 and c * n > single[p] * single[q])
-    assert sorted(round(x, 6) for x in w.tolist()) == want
+def keys_of(words):
+    data, off = T.column(pa.array(words))
+    return toxicity._letters(data, off)[0]
+
+
+def test_graph_walk_and_lexicon_equal_brute_force(spark, monkeypatch):
+    rows, labels = corpus()
+    rows, window = rows[:250], 3
+    df = spark.createDataFrame([*rows, (900, None), (901, "")], "doc_id long, text string").repartition(3)
+    words = [re.findall(r"[a-z]+", t.lower()) for _, t in rows]
+    single = Counter(w for x in words for w in set(x))
+    seeds = ["vile", "nasty", "rotten", *[w for w, _ in single.most_common(12) if w not in "vile nasty rotten crude foul rank mean grim"][-4:]]
+    key = dict(zip(single, keys_of(list(single)).tolist()))
+    order = np.argsort(np.array([key[s] for s in seeds], np.uint64))
+    names = [seeds[i] for i in order]
+    monkeypatch.setattr(terms, "_HELD", 3000)
+    edges = toxicity.seed_graph(df, np.array([key[s] for s in names], np.uint64), window, 2)
+    near = Counter()
+    for x in words:
+        near.update({(x[i + k], x[i]) for i in range(len(x)) for k in range(-window, window + 1) if k and 0 <= i + k < len(x) and x[i] in names and x[i + k] != x[i]})
+    n = len(rows) + 2
+    want = {(key[w], names.index(s)): (c, single[w], np.log(c * n / (single[w] * single[s]))) for (w, s), c in near.items() if c >= 2 and c * n > single[w] * single[s]}
+    got = {(r["word"] % 2**64, r["seed"]): (r["n"], r["df"], r["weight"]) for r in edges.collect()}
+    assert got.keys() == want.keys() and all(got[k][:2] == want[k][:2] and abs(got[k][2] - want[k][2]) < 1e-9 for k in want)
+
+    table = {w: i for i, w in enumerate(sorted({w for w, _ in want}))}
+    a = np.zeros((len(names), len(table)))
+    for (w, s), (_, _, v) in want.items():
+        a[s, table[w]] = v
+    to = a / np.maximum(a.sum(axis=1, keepdims=True), 1e-300)
+    back = (a / a.sum(axis=0)).T
+    starts = np.array([[1 / 3 if x in ("vile", "nasty", "rotten") else 0.0 for x in names], [0.0 if x in ("vile", "nasty", "rotten") else 1 / 4 for x in names]])
+    x = starts.copy()
+    for _ in range(12):
+        alone = np.where(a.sum(axis=1) > 0, 0.0, x)
+        x = 0.5 * (x @ to @ back + alone) + 0.5 * starts
+    walked, _ = toxicity.walk(edges.repartition(2, "word"), starts)
+    assert np.abs(walked - x).max() < 1e-12 and np.abs(walked.sum(axis=1) - 1).max() < 1e-9
+
+
+def test_rare_toxic_words_count(spark):
+    """Words in 4 of 3000 documents are seeds if these are labelled; an unlabelled word that always stands by one has a polarity."""
+    r = random.Random(3)
+    vocab = ["".join(r.choice("aeiou" if k % 2 else "bcdfgt") for k in range(5)) for _ in range(500)]
+    rows, labels = [], []
+    learned = [i for i in range(3000) if zlib.crc32(str(i).encode()) % 3 != 1]
+    bad, unlabelled = set(learned[:40:10]), set(learned[1:41:10])
+    for i in range(3000):
+        w = [r.choice(vocab) for _ in range(30)]
+        if i in bad or i in unlabelled:
+            w[10:12] = ["zzslur", "qqmate"]
+        if i not in unlabelled:
+            labels.append((i, 1, int(i in bad)))
+        rows.append((i, " ".join(w)))
+    rows.append((5000, "QQMATE ! and nothing else"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = {x["doc_id"]: x for x in toxicity.score(docs, known).collect()}
+    assert all(got[i]["predicted"] == 1 for i in bad | unlabelled) and got[5000]["score"] > 0.5
+    assert sum(x["predicted"] for x in got.values()) == len(bad | unlabelled)
+
+
+def test_lexicon_in_pieces_scores_alike(spark, monkeypatch):
+    rows, labels = corpus()
+    docs = spark.createDataFrame([*rows[:200], (700, "vile " * 100_000)], "doc_id long, text string")
+    known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    want = {r["doc_id"]: r["score"] for r in toxicity.score(docs, known).collect()}
+    monkeypatch.setattr(toxicity, "_PIECE", 3)
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, known).collect()}
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-9 for i in got)

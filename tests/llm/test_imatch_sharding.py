@@ -3,9 +3,12 @@ import random
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from tesserae.llm import imatch, sharding, terms
+from tesserae.llm import textops as T
 
 
 def corpus(n=120):
@@ -15,41 +18,87 @@ def corpus(n=120):
     return rows + [(1, None), (2, ""), (4, "ééé"), (5, rows[7][1]), (5, rows[7][1])]
 
 
-def test_terms_are_counted_exactly(spark):
+def test_terms_are_counted_exactly(spark, monkeypatch):
     rows = corpus()
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    keys = terms.local_frequent(df, 0.05)
-    got, n = terms.document_counts(df, keys)
     want = Counter(w for _, t in rows for w in set((t or "").split()))
-    assert n == len(rows)
-    least = 0.05 * n
-    assert sorted(c for c in want.values() if c >= least) == sorted(int(c) for c in got if c >= least)
+    for held in (1 << 22, 10):
+        monkeypatch.setattr(terms, "_HELD", held)
+        assert sorted(r["df"] for r in terms.document_frequencies(df).collect()) == sorted(want.values())
+    least, most = 0.02 * len(rows), 0.05 * len(rows)
+    got = imatch.lexicon(df, least_share=0.02, most_share=0.05)
+    data, off = T.column(pa.array([w for w, c in want.items() if max(2, least) <= c <= most]))
+    assert set(got.tolist()) == set((terms.word_hashes(data, off)[0] & ~np.uint64(terms.ROWS - 1)).tolist()) and len(got)
+
+
+def brute_mix(x):
+    m = (1 << 64) - 1
+    for _ in range(2):
+        x = (x ^ (x >> 32)) * 0xD6E8FEB86659FD93 & m
+    return x ^ (x >> 32)
+
+
+def brute_signature(keys):
+    """The signature of a set of term keys, one key and one subset at a time."""
+    m = (1 << 64) - 1
+    keys = [brute_mix(k | 1) for k in sorted(keys)]
+
+    def digest(some, salt):
+        return brute_mix((sum(brute_mix((k + salt * 0x9E3779B97F4A7C15) & m) for k in some) + len(some)) & m) if some else 0
+
+    parts = []
+    for level in range(12):
+        for j in range(8):
+            some = [k for k in keys if not any(brute_mix(k ^ ((j + 1) * 0xC2B2AE3D27D4EB4F & m)) >> q & 1 for q in range(level + 1))]
+            h = digest(some, 2 + level * 8 + j)
+            parts.append(h % 65535 + 1 if h else 0)
+    return digest(keys, 1), parts
+
+
+def brute_likeness(a, b):
+    if a == b and a[0]:
+        return 1.0
+    n, k = [0] * 12, [0] * 12
+    for i, (x, y) in enumerate(zip(a[1], b[1])):
+        n[i // 8] += x != 0 or y != 0
+        k[i // 8] += x == y != 0
+    full = [y / x for x, y in zip(n, k) if 2 * x >= 8]
+    return max(full) if full else sum(k) / max(1, sum(n))
 
 
 def test_edited_neighbours_equal_brute_force(spark):
     rows = corpus()
     df = spark.createDataFrame([(a, b, "q") for a, b in rows], "doc_id long, text string, fingerprint string").repartition(7)
-    band = imatch.lexicon(df)
-    got = imatch.edited_neighbours(df, keys=band).collect()
-    assert len(got) == len(rows)
-    prints = {r["doc_id"]: r["fingerprint"] for r in imatch.fingerprint(df, keys=band).collect()}
+    keys = imatch.lexicon(df)
+    got = imatch.edited_neighbours(df, keys=keys).collect()
+    prints = {r["doc_id"]: r["fingerprint"] for r in imatch.fingerprint(df, keys=keys).collect()}
+    known = set(keys.tolist())
+
+    def signature(t):
+        data, off = T.column(pa.array([t]))
+        return brute_signature({k for k in (terms.word_hashes(data, off)[0] & ~np.uint64(terms.ROWS - 1)).tolist() if k in known})
+
+    text = lambda s: f"{s[0]:016x}" + "".join(f"{x:04x}" for x in s[1])
     order = sorted(rows, key=lambda r: -r[0])
-    want = Counter()
+    want = []
     for (i, t), (_, u) in zip(order, order[1:] + order[:1]):
         t, u = t or "", u or ""
         k = len(t) // 3
-        want[i, len(t), hashlib.sha256((t[: len(t) - k] + u[:k]).encode()).hexdigest()] += 1
-    assert Counter((r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in got) == want
-    for r in got:
-        assert r["fingerprint"] == prints[r["doc_id"]] and 0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1
-        if r["fingerprint"] == r["edited_fingerprint"]:
-            assert r["near_edited"] == 1
-    by_text = defaultdict(set)
-    for i, t in rows:
-        by_text[t or ""].add(prints[i])
-    assert all(len(x) == 1 for x in by_text.values())
-    long = [r for r in got if r["n_chars"] > 500]
-    assert sum(r["near_edited"] for r in long) > 3 * sum(r["near_next"] for r in long)
+        e = t[: len(t) - k] + u[:k]
+        a, b, c = map(signature, (t, e, u))
+        assert prints[i] == text(a)
+        want.append((i, len(t), hashlib.sha256(e.encode()).hexdigest(), text(a), text(b), round(1.0 if e == t else brute_likeness(a, b), 9), round(1.0 if u == t else brute_likeness(a, c), 9)))
+    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint"]
+    assert Counter(tuple(r[n] for n in names) + (round(r["near_edited"], 9), round(r["near_next"], 9)) for r in got) == Counter(want)
+    assert sum(w[5] for w in want) > 3 * sum(w[6] for w in want)
+
+
+def test_long_texts(spark):
+    rows = [(1, "alpha beta gamma delta " * 60_000), (2, "alpha beta"), (3, "x" * 400_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in imatch.edited_neighbours(df).collect()}
+    assert [got[i]["n_chars"] for i in (1, 2, 3)] == [len(t) for _, t in rows]
+    assert {r["size"] for r in sharding.shard_documents(df).collect()} == {len(t) + 1 for _, t in rows}
 
 
 @pytest.mark.parametrize("rows", [[], [(1, "only one document here")], [(None, "a b"), (None, "a b"), (3, None)]])
