@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
-from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -21,6 +20,7 @@ from .plans import search as sp
 from .session import shared_folder, ship, spread
 from .sources import documents as src
 from .sources import html
+from .streaming import progressive
 
 #: The stop words of these queries, few so that the SQL can name them.
 STOP = frozenset("the of and to in is der die und le la de el que".split())
@@ -80,14 +80,18 @@ post AS (SELECT doc_id, term, off, text_len, CASE WHEN off < tl THEN 'title' ELS
   CASE WHEN off < tl THEN 1000 ELSE 10 END + CAST(floor(5 * ((text_len - off) / text_len)) AS INTEGER) AS score,
   CASE WHEN off < tl THEN 100.0 ELSE 1.0 END + 0.5 * (1.0 - off / text_len) AS base_score FROM tokens WHERE term <> '' AND term NOT IN ({_STOP_SQL}))"""
 
+#: `plain` is the term with each character of several bytes replaced by one byte that no term has, as SQL's distance counts bytes.
+_VOCAB = """plain_bytes AS (SELECT coalesce(string_agg(ch, '' ORDER BY ch), '') AS many FROM (SELECT DISTINCT unnest(string_split(term, '')) AS ch FROM (SELECT DISTINCT term FROM post)) WHERE strlen(ch) > 1),
+vocab AS (SELECT term, translate(term, many, substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ!"#$%&()*+,-./:;<=>?@[]^_`{|}~', 1, length(many))) AS plain FROM (SELECT DISTINCT term FROM post), plain_bytes)"""
+
 
 def _match(terms: list[str], tier: int) -> str:
     rows = ", ".join(f"({i}, '{t}')" for i, t in enumerate(terms))
-    test = {1: "v.term = q.qt", 2: "starts_with(v.term, q.qt)", 3: "v.term ~ '^[a-z0-9]+$' AND levenshtein(v.term, q.qt) BETWEEN 1 AND 2"}[tier]
-    score = {1: "CAST(p.score AS DOUBLE)", 2: "p.score * (strlen(q.qt) / greatest(strlen(p.term), 1))", 3: "p.score * (1.0 / (1.0 + levenshtein(p.term, q.qt)))"}[tier]
-    dist = "levenshtein(p.term, q.qt)" if tier == 3 else "0"
+    test = {1: "v.term = q.qt", 2: "starts_with(v.term, q.qt)", 3: "levenshtein(v.plain, q.qt) BETWEEN 1 AND 2"}[tier]
+    score = {1: "CAST(p.score AS DOUBLE)", 2: "p.score * (strlen(q.qt) / greatest(strlen(p.term), 1))", 3: "p.score * (1.0 / (1.0 + levenshtein(v.plain, q.qt)))"}[tier]
+    dist = "levenshtein(v.plain, q.qt)" if tier == 3 else "0"
     return f"""(SELECT q.pos AS term_pos, q.qt, p.* EXCLUDE (score), p.score AS raw_score, {score} AS score, {dist} AS distance FROM (VALUES {rows}) q(pos, qt)
-  JOIN (SELECT DISTINCT term FROM post) v ON {test} JOIN post p ON p.term = v.term)"""
+  JOIN vocab v ON {test} JOIN post p ON p.term = v.term)"""
 
 
 def _tier_sql(terms: list[str], tier: int, limit: int = LIMIT, exclude: str = "", dedup: bool = True) -> str:
@@ -122,7 +126,7 @@ def _results(df: DataFrame) -> DataFrame:
 
 
 def _one_tier(terms: list[str], tier: int, **how) -> str:
-    return f"WITH {_POST} SELECT {_OUT} FROM {_tier_sql(terms, tier, **how)}"
+    return f"WITH {_POST}, {_VOCAB} SELECT {_OUT} FROM {_tier_sql(terms, tier, **how)}"
 
 
 # Text functions
@@ -204,17 +208,10 @@ def match_type_buckets(spark, sf_dir):
     return levels.groupBy("level").agg(F.first(scoring.match_type(F.col("level"))).alias("bucket"), F.count("*").alias("n"))
 
 
-@query(f"WITH {_POST} SELECT term, doc_id, off AS \"offset\", score, CAST(row_number() OVER (PARTITION BY term ORDER BY score DESC, doc_id, base_score DESC, off) AS INTEGER) AS place FROM post WHERE term IN ('tion', 'rewh')")
+@query(f"WITH {_POST} SELECT term, doc_id, off AS \"offset\", score, CAST(row_number() OVER (PARTITION BY term ORDER BY score DESC, doc_id, base_score DESC, off) AS INTEGER) AS place FROM post")
 def posting_ranks(spark, sf_dir):
-    post = _engine(spark, sf_dir).index.postings.where(F.col("term").isin("tion", "rewh"))
-    return post.select("term", "doc_id", "offset", "score", F.row_number().over(Window.partitionBy("term").orderBy(*ix.posting_order())).alias("place"))
-
-
-@query()
-def posting_ranks_whole(spark, sf_dir):
     """The rank of every posting in its term's list."""
-    post = _engine(spark, sf_dir).index.postings
-    return post.select("term", "doc_id", "offset", "score", F.row_number().over(Window.partitionBy("term").orderBy(*ix.posting_order())).alias("place"))
+    return ix.posting_places(_engine(spark, sf_dir).index.postings).select("term", "doc_id", "offset", "score", "place")
 
 
 @query(f"WITH {_POST} SELECT (SELECT count(*) FROM docs) AS docs, count(DISTINCT term) AS terms, (SELECT CAST(sum(text_len) AS BIGINT) FROM docs) AS text_bytes FROM post")
@@ -267,27 +264,20 @@ def t2_prefix_multi(spark, sf_dir):
     return _results(_engine(spark, sf_dir).tier("thin rewh", 2, LIMIT))
 
 
-def _ascii(spark: SparkSession, sf_dir: str) -> sp.Engine:
-    """The engine over plain ASCII terms, where SQL's byte distance is the character distance."""
-    e = _engine(spark, sf_dir)
-    plain = F.col("term").rlike("^[a-z0-9]+$")
-    return sp.Engine(ix.Index(e.index.docs, e.index.boundaries, e.index.postings, e.index.vocab.where(plain), e.index.sections))
-
-
 @query(_one_tier(["thingre"], 3))
-def t3_fuzzy_single(spark, sf_dir, engine=_ascii):
-    return _results(engine(spark, sf_dir).tier("thingre", 3, LIMIT))
+def t3_fuzzy_single(spark, sf_dir):
+    return _results(_engine(spark, sf_dir).tier("thingre", 3, LIMIT))
 
 
 @query(_one_tier(["thingre", "eringt"], 3))
-def t3_fuzzy_multi(spark, sf_dir, engine=_ascii):
-    return _results(engine(spark, sf_dir).tier("thingre eringt", 3, LIMIT))
+def t3_fuzzy_multi(spark, sf_dir):
+    return _results(_engine(spark, sf_dir).tier("thingre eringt", 3, LIMIT))
 
 
 def _tiered_sql(terms: list[str]) -> str:
     no1 = "WHERE doc_id NOT IN (SELECT doc_id FROM t1)"
     no2 = "WHERE doc_id NOT IN (SELECT doc_id FROM t1) AND doc_id NOT IN (SELECT doc_id FROM t2)"
-    return f"""WITH {_POST}, t1 AS (SELECT *, 1 AS tier FROM {_tier_sql(terms, 1)}), t2 AS (SELECT *, 2 AS tier FROM {_tier_sql(terms, 2, exclude=no1)}), t3 AS (SELECT *, 3 AS tier FROM {_tier_sql(terms, 3, exclude=no2)}),
+    return f"""WITH {_POST}, {_VOCAB}, t1 AS (SELECT *, 1 AS tier FROM {_tier_sql(terms, 1)}), t2 AS (SELECT *, 2 AS tier FROM {_tier_sql(terms, 2, exclude=no1)}), t3 AS (SELECT *, 3 AS tier FROM {_tier_sql(terms, 3, exclude=no2)}),
 every AS (SELECT * FROM t1 UNION ALL SELECT * FROM t2 UNION ALL SELECT * FROM t3)"""
 
 
@@ -295,43 +285,58 @@ _FINAL = "row_number() OVER (ORDER BY match_type, score DESC, title, doc_id)"
 
 
 @query(f"{_tiered_sql(['thing'])} SELECT {_OUT.replace('rk AS', 'r AS').replace('CAST(rk', 'CAST(r')}, tier FROM (SELECT *, {_FINAL} AS r FROM every) WHERE r <= {LIMIT}")
-def tiered_search(spark, sf_dir, engine=_ascii):
-    found = engine(spark, sf_dir).search("thing", LIMIT)
+def tiered_search(spark, sf_dir):
+    found = _engine(spark, sf_dir).search("thing", LIMIT)
     return _results(found).join(found.select("doc_id", "tier"), "doc_id")
 
 
 @query(f"{_tiered_sql(['ing', 'tion'])} SELECT {_OUT.replace('CAST(rk', 'CAST(r')}, tier FROM (SELECT *, {_FINAL} AS r FROM every) WHERE r <= {LIMIT}")
-def tiered_search_multi(spark, sf_dir, engine=_ascii):
-    found = engine(spark, sf_dir).search("ing tion", LIMIT)
+def tiered_search_multi(spark, sf_dir):
+    found = _engine(spark, sf_dir).search("ing tion", LIMIT)
     return _results(found).join(found.select("doc_id", "tier"), "doc_id")
 
 
 @query(f"{_tiered_sql(['thing'])} SELECT tier, count(*) AS hits FROM every GROUP BY tier")
-def tier_counts(spark, sf_dir, engine=_ascii):
-    one, two, three = engine(spark, sf_dir).tiers("thing", LIMIT)
+def tier_counts(spark, sf_dir):
+    one, two, three = _engine(spark, sf_dir).tiers("thing", LIMIT)
     return rank.tier_counts(one.unionByName(two).unionByName(three)).select("tier", "hits")
 
 
 def _merged(order: str, limit: int) -> str:
-    return f"""WITH {_POST}, every AS (SELECT *, 1 AS tier FROM {_tier_sql(['thing'], 1, 100)} UNION ALL SELECT *, 2 FROM {_tier_sql(['thing'], 2, 100)} UNION ALL SELECT *, 3 FROM {_tier_sql(['thing'], 3, 100)}),
+    return f"""WITH {_POST}, {_VOCAB}, every AS (SELECT *, 1 AS tier FROM {_tier_sql(['thing'], 1, 100)} UNION ALL SELECT *, 2 FROM {_tier_sql(['thing'], 2, 100)} UNION ALL SELECT *, 3 FROM {_tier_sql(['thing'], 3, 100)}),
 best AS (SELECT * EXCLUDE (rk) FROM every QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY {order}) = 1)"""
 
 
 @query(f"{_merged('match_type, score DESC, title, doc_id, tier, section_idx', 10)} SELECT {_OUT.replace('CAST(rk', 'CAST(r')}, tier FROM (SELECT *, {_FINAL} AS r FROM best) WHERE r <= {LIMIT}")
-def progressive_t1_t2_t3(spark, sf_dir, engine=_ascii):
+def progressive_t1_t2_t3(spark, sf_dir):
     last = None
-    for _, last in sp.progressive(engine(spark, sf_dir), "thing", LIMIT):
+    for _, last in sp.progressive(_engine(spark, sf_dir), "thing", LIMIT):
         pass
     return _results(last).join(last.select("doc_id", "tier"), "doc_id")
 
 
 @query(f"{_merged('score DESC, tier, match_type, section_idx', 10)} SELECT doc_id, round(score, 6) AS score, tier FROM best")
-def streaming_dedup_best(spark, sf_dir, engine=_ascii):
-    e = engine(spark, sf_dir)
+def streaming_dedup_best(spark, sf_dir):
+    e = _engine(spark, sf_dir)
     every = e.tier("thing", 1, 100).unionByName(e.tier("thing", 2, 100)).unionByName(e.tier("thing", 3, 100))
     return rank.stream_best(every).select("doc_id", _r("score"), "tier")
 
 
+@query(f"{_merged('score DESC, tier, match_type, section_idx', 10).replace(', 100)', ', 10)')} SELECT doc_id, round(score, 6) AS score, tier, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (ORDER BY score DESC, tier, doc_id) AS r FROM best) WHERE r <= 10")
+def stream_search(spark, sf_dir):
+    """The finished result of a streamed search."""
+    last = None
+    for _, last in progressive.stream(_engine(spark, sf_dir), "thing", LIMIT):
+        pass
+    return last.select("doc_id", _r("score"), "tier", F.col("rank").cast("int").alias("rank"))
+
+
+@query(f"{_tiered_sql(['thing'])} SELECT {_OUT.replace('CAST(rk', 'CAST(r')}, tier FROM (SELECT *, {_FINAL} AS r FROM every) WHERE r <= {LIMIT}")
+def timed_search(spark, sf_dir):
+    found, _ = _engine(spark, sf_dir).search_timed("thing", LIMIT)
+    return _results(found).join(found.select("doc_id", "tier"), "doc_id")
+
+
 @query(
     f"WITH {_POST}, q(query_id, pos, qt) AS (VALUES (0, 0, 'tion'), (1, 0, 'ing'), (2, 0, 'rewh'), (3, 0, 'thing')), h AS (SELECT q.query_id, p.*, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY score DESC, base_score DESC, off) AS n FROM q JOIN post p ON p.term = q.qt)"
     f" SELECT query_id, doc_id, CAST(score AS DOUBLE) AS score, CAST(rk AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rk FROM h WHERE n = 1) WHERE rk <= {LIMIT}"
@@ -354,9 +359,9 @@ def docs_all_terms_intersect(spark, sf_dir):
 # Matching
 
 
-@query(f"WITH {_POST} SELECT qt, term, levenshtein(term, qt) AS distance FROM (SELECT DISTINCT term FROM post WHERE term ~ '^[a-z0-9]+$') v, (VALUES ('thingre'), ('eringt'), ('ouhand'), ('st')) q(qt) WHERE levenshtein(term, qt) <= 2")
-def fuzzy_candidates_join(spark, sf_dir, engine=_ascii):
-    vocab = engine(spark, sf_dir).index.vocab
+@query(f"WITH {_POST}, {_VOCAB} SELECT qt, term, levenshtein(plain, qt) AS distance FROM vocab v, (VALUES ('thingre'), ('eringt'), ('ouhand'), ('st')) q(qt) WHERE levenshtein(plain, qt) <= 2")
+def fuzzy_candidates_join(spark, sf_dir):
+    vocab = _engine(spark, sf_dir).index.vocab
     queries = spark.createDataFrame([("thingre",), ("eringt",), ("ouhand",), ("st",)], "qt string")
     return fuzzy_join(vocab, queries).select("qt", "term", F.col("distance").cast("long").alias("distance"))
 
@@ -373,7 +378,7 @@ def _library_sql(terms: list[str], tiers: list[str], exclude: str = "") -> str:
     """Library results; each tier is a test of v.term against q.qt, the first that hits counts for a term."""
     rows = ", ".join(f"({i}, '{t}')" for i, t in enumerate(terms))
     found = " UNION ALL ".join(f"SELECT q.pos, q.qt, v.term, {k} AS tier FROM q JOIN vocab v ON {test}" for k, test in enumerate(tiers, 1))
-    return f"""WITH {_POST}, q(pos, qt) AS (VALUES {rows}), vocab AS (SELECT DISTINCT term FROM post WHERE term ~ '^[a-z0-9]+$'), found AS ({found}),
+    return f"""WITH {_POST}, {_VOCAB}, q(pos, qt) AS (VALUES {rows}), found AS ({found}),
 chosen AS (SELECT * FROM found QUALIFY tier = min(tier) OVER (PARTITION BY pos)),
 best AS (SELECT c.pos, p.doc_id, max(p.base_score) AS s FROM chosen c JOIN post p USING (term) {exclude} GROUP BY c.pos, p.doc_id),
 total AS (SELECT doc_id, sum(s) AS score, count(*) AS hit FROM best GROUP BY doc_id),
@@ -382,7 +387,7 @@ SELECT doc_id, round(score, 6) AS score, CAST(rk AS INTEGER) AS rank FROM ranked
 
 
 _EXACT, _SUB = "v.term = q.qt", "contains(v.term, q.qt)"
-_FUZZY = "levenshtein(v.term, q.qt) <= CASE WHEN strlen(q.qt) > 5 THEN 2 ELSE 1 END"
+_FUZZY = "levenshtein(v.plain, q.qt) <= CASE WHEN strlen(q.qt) > 5 THEN 2 ELSE 1 END"
 
 
 def _library(df: DataFrame) -> DataFrame:
@@ -390,32 +395,24 @@ def _library(df: DataFrame) -> DataFrame:
 
 
 @query(_library_sql(["tion", "ing"], [_EXACT]))
-def hybrid_exact(spark, sf_dir, engine=_ascii):
-    return _library(engine(spark, sf_dir).search_exact("Tion ing"))
+def hybrid_exact(spark, sf_dir):
+    return _library(_engine(spark, sf_dir).search_exact("Tion ing"))
 
 
 @query(_library_sql(["edble"], [_SUB], "WHERE p.doc_id NOT IN (1, 3, 5)"))
-def hybrid_expanded(spark, sf_dir, engine=_ascii):
+def hybrid_expanded(spark, sf_dir):
     out = spark.createDataFrame([(0, 1), (0, 3), (0, 5)], "query_id int, doc_id long")
-    return _library(engine(spark, sf_dir).search_expanded("edble", out))
+    return _library(_engine(spark, sf_dir).search_expanded("edble", out))
 
 
 @query(_library_sql(["thingre", "rewhh"], [_FUZZY]))
-def hybrid_fuzzy(spark, sf_dir, engine=_ascii):
-    return _library(engine(spark, sf_dir).search_fuzzy("thingre rewhh"))
+def hybrid_fuzzy(spark, sf_dir):
+    return _library(_engine(spark, sf_dir).search_fuzzy("thingre rewhh"))
 
 
 @query(_library_sql(["ing", "edbl", "thingrx", "zzzzqqqq"], [_EXACT, _SUB, _FUZZY]))
-def hybrid_first_tier(spark, sf_dir, engine=_ascii):
-    return _library(engine(spark, sf_dir).search_hybrid("ing edbl thingrx zzzzqqqq"))
-
-
-#: The same over the index's whole vocabulary, without SQL: its distance counts bytes, these count characters.
-for _f in (
-    t3_fuzzy_single, t3_fuzzy_multi, tiered_search, tiered_search_multi, tier_counts, progressive_t1_t2_t3,
-    streaming_dedup_best, fuzzy_candidates_join, hybrid_exact, hybrid_expanded, hybrid_fuzzy, hybrid_first_tier,
-):
-    QUERIES[f"{_f.__name__}_whole"] = partial(_f, engine=_engine)
+def hybrid_first_tier(spark, sf_dir):
+    return _library(_engine(spark, sf_dir).search_hybrid("ing edbl thingrx zzzzqqqq"))
 
 
 def _suffix_sql(term: str) -> str:
@@ -449,12 +446,12 @@ def lcp_lag(spark, sf_dir):
 
 
 @query(
-    "WITH v AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS term FROM part), s AS (SELECT term, unnest(range(1, strlen(term) + 1)) AS i FROM v)"
+    f"WITH {_POST}, v AS (SELECT DISTINCT term FROM post), s AS (SELECT term, unnest(range(1, length(term) + 1)) AS i FROM v)"
     " SELECT term, CAST(i - 1 AS INTEGER) AS pos, CAST(row_number() OVER (ORDER BY substr(term, i), term, i) - 1 AS BIGINT) AS place FROM s"
 )
 def vocab_suffix_array(spark, sf_dir):
-    words = _t(spark, sf_dir, "part").select(F.explode(F.split("p_name", " ")).alias("term")).distinct()
-    return suffixes.vocabulary_suffix_array(words).select("term", F.col("offset").alias("pos"), "place")
+    """Every suffix of every index term."""
+    return suffixes.vocabulary_suffix_array(_engine(spark, sf_dir).index.vocab).select("term", F.col("offset").alias("pos"), "place")
 
 
 @query(_library_sql(["thing"], [_EXACT]))
@@ -465,9 +462,15 @@ def inverted_only(spark, sf_dir):
 
 @query(f"WITH {_suffix_sql('thingre')}")
 def unified_mode(spark, sf_dir):
-    e = _engine(spark, sf_dir)
     docs = src.document_corpus(_t(spark, sf_dir, "documents"), chars=True)
-    return sp.search_unified(e, docs, "thingre", "suffix").select("doc_id", _r("score"))
+    return sp.search_unified(_engine(spark, sf_dir), docs, "thingre", "suffix").select("doc_id", _r("score"))
+
+
+@query(f"WITH {_suffix_sql('ngrew')}")
+def unified_index(spark, sf_dir):
+    """A search of the index that the corpus's size asks for; it has no such term, so the whole text is searched."""
+    docs = src.document_corpus(_t(spark, sf_dir, "documents"), chars=True)
+    return sp.UnifiedIndex.build(docs, _corpus(spark, sf_dir), stop=STOP, built=_engine(spark, sf_dir)).search("ngrew").select("doc_id", _r("score"))
 
 
 # Union search
@@ -532,40 +535,65 @@ def fields_filter(spark, sf_dir):
 
 
 @query(
-    "WITH e AS (SELECT event_id, user_id, ts FROM events), s AS (SELECT user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),"
-    " h AS (SELECT user_id, ts AS mark FROM s WHERE k % 3 = 1) SELECT e.event_id, max(h.mark) AS section_start FROM e LEFT JOIN h ON h.user_id = e.user_id AND h.mark <= e.ts GROUP BY e.event_id"
+    f"WITH {_TOKENS}, b AS (SELECT doc_id, tl, text_len FROM (SELECT DISTINCT doc_id, tl, text_len FROM chunk_lists)), t AS (SELECT doc_id, off FROM tokens WHERE term <> '')"
+    " SELECT t.doc_id, t.off AS \"offset\", CASE WHEN t.off < b.tl - 3 THEN 'head' WHEN t.off >= b.tl + 1 AND t.off < (b.tl + 1 + b.text_len) // 2 THEN 'body' END AS section_id FROM t JOIN b USING (doc_id)"
 )
 def section_lookup_asof(spark, sf_dir):
-    events = _t(spark, sf_dir, "events").select("event_id", "user_id", "ts")
-    k = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    starts = events.withColumn("k", k).where("k % 3 = 1").select("user_id", F.col("ts").alias("start"))
-    return validate.asof(events, starts, "user_id", "ts", "start").select("event_id", F.col("start").alias("section_start"))
+    """The section of every token: the last that starts at or before it, if it reaches so far; sections here leave gaps."""
+    docs = _corpus(spark, sf_dir)
+    tl, size = F.octet_length("title"), F.octet_length("text")
+    head = docs.select("doc_id", F.lit(0).cast("long").alias("start"), (tl - 3).cast("long").alias("end"), F.lit("head").alias("section_id"))
+    body = docs.select("doc_id", (tl + 1).cast("long").alias("start"), F.expr("(octet_length(title) + 1 + octet_length(text)) div 2").alias("end"), F.lit("body").alias("section_id"))
+    tokens = text.tokenize(spread(docs), frozenset()).select("doc_id", "offset")
+    return validate.section_at(tokens, head.unionByName(body)).select("doc_id", "offset", "section_id")
 
 
 @query(
-    f"WITH {_TOKENS}, b AS (SELECT doc_id, 0 AS s, strlen(title) AS e FROM docs WHERE title <> '' UNION ALL SELECT doc_id, strlen(title) + 1, text_len FROM docs WHERE strlen(title) + 1 < text_len),"
-    " l AS (SELECT *, lag(e) OVER (PARTITION BY doc_id ORDER BY s) AS pe FROM b) SELECT 'gap' AS rule, doc_id, CAST(s AS BIGINT) AS at FROM l WHERE coalesce(pe, 0) < s UNION ALL SELECT 'overlap', doc_id, CAST(s AS BIGINT) FROM l WHERE pe > s"
+    f"WITH {_TOKENS}, b AS (SELECT doc_id, 0 AS s, strlen(title) + doc_id % 3 AS e, CASE WHEN doc_id % 4 = 0 THEN 'not an id' ELSE 'head' END AS id FROM docs UNION ALL SELECT doc_id, strlen(title) + 1, text_len - doc_id % 2, 'body' FROM docs),"
+    " l AS (SELECT *, lag(e) OVER (PARTITION BY doc_id ORDER BY s, e) AS pe FROM b) SELECT rule, doc_id, CAST(a AS BIGINT) AS \"at\" FROM (SELECT 'gap' AS rule, doc_id, s AS a FROM l WHERE coalesce(pe, 0) < s UNION ALL SELECT 'overlap', doc_id, s FROM l WHERE pe > s"
+    " UNION ALL SELECT 'malformed', doc_id, s FROM l WHERE s >= e UNION ALL SELECT 'bad_id', doc_id, s FROM l WHERE id = 'not an id' UNION ALL SELECT 'short', doc_id, max(e) FROM b JOIN docs USING (doc_id) GROUP BY doc_id, text_len HAVING max(e) < text_len)"
 )
 def section_validation(spark, sf_dir):
-    bounds = _engine(spark, sf_dir).index.boundaries.withColumn("section_id", F.coalesce("section_id", F.lit("head")))
-    return validate.sections(bounds).where(F.col("rule").isin("gap", "overlap")).select("rule", "doc_id", F.col("at").cast("long").alias("at"))
+    """The violations of sections that are broken in five ways."""
+    docs = _corpus(spark, sf_dir)
+    tl, size = F.octet_length("title"), F.octet_length("text")
+    head = docs.select("doc_id", F.lit(0).cast("long").alias("start"), (tl + F.col("doc_id") % 3).alias("end"), F.when(F.col("doc_id") % 4 == 0, F.lit("not an id")).otherwise(F.lit("head")).alias("section_id"))
+    body = docs.select("doc_id", (tl + 1).cast("long").alias("start"), (size - F.col("doc_id") % 2).alias("end"), F.lit("body").alias("section_id"))
+    found = validate.sections(head.unionByName(body), docs.select("doc_id", size.alias("text_len")))
+    return found.select("rule", "doc_id", F.col("at").cast("long").alias("at"))
 
 
-@query("SELECT 'none' AS rule, CAST(0 AS BIGINT) AS violations WHERE false")
+@query(
+    f"WITH {_POST}, broken AS (SELECT *, CASE WHEN doc_id % 5 = 0 THEN -1 - off ELSE off END AS o, CASE WHEN doc_id % 7 = 0 THEN 0 ELSE score END AS sc, CASE WHEN doc_id % 11 = 0 THEN 'margin' ELSE field_type END AS ft, CASE WHEN doc_id % 13 = 0 THEN 9 ELSE match_type END AS mt FROM post WHERE doc_id % 17 <> 0),"
+    " f AS (SELECT term, count(DISTINCT doc_id) AS n, count(DISTINCT doc_id) FILTER (WHERE doc_id % 17 <> 0) AS m FROM post GROUP BY term)"
+    " SELECT * FROM (SELECT 'offset_out_of_text' AS rule, count(*) AS violations FROM broken WHERE o < 0 UNION ALL SELECT 'score_not_positive', count(*) FROM broken WHERE sc <= 0 UNION ALL SELECT 'field_unknown', count(*) FROM broken WHERE ft = 'margin'"
+    " UNION ALL SELECT 'match_type_differs', count(*) FROM broken WHERE mt = 9 UNION ALL SELECT 'doc_freq_differs', count(*) FROM f WHERE n <> m UNION ALL SELECT 'document_unknown', count(*) FROM broken WHERE doc_id % 19 = 0) WHERE violations > 0"
+)
 def posting_invariants(spark, sf_dir):
-    return validate.index_violations(_engine(spark, sf_dir).index).groupBy("rule").agg(F.count("*").alias("violations"))
+    """The violations of an index that is broken in six ways, by rule."""
+    i = _engine(spark, sf_dir).index
+    hit = lambda k: F.col("doc_id") % k == 0
+    post = i.postings.where(~hit(17)).withColumns(
+        {
+            "offset": F.when(hit(5), -1 - F.col("offset")).otherwise(F.col("offset")),
+            "score": F.when(hit(7), F.lit(0)).otherwise(F.col("score")),
+            "field_type": F.when(hit(11), F.lit("margin")).otherwise(F.col("field_type")),
+            "match_type": F.when(hit(13), F.lit(9)).otherwise(F.col("match_type")),
+        }
+    )
+    broken = ix.Index(i.docs.where(~hit(19)), i.boundaries, post, i.vocab, i.sections)
+    return validate.index_violations(broken).groupBy("rule").agg(F.count("*").alias("violations"))
 
 
-@query(f"WITH {_POST} SELECT term, doc_id, off AS \"offset\", 1000 * CAST(field_type = 'title' AS INTEGER) + CAST(text_len % 7 AS INTEGER) + 3 AS score FROM post WHERE term = 'tion'")
-def custom_scoring_udf(spark, sf_dir):
-    e = _engine(spark, sf_dir)
-    own = scoring.custom_scores(e.index.postings.where("term = 'tion'"), e.index.docs, _own_score)
-    return own.select("term", "doc_id", "offset", "score")
+@query()
+def index_is_valid(spark, sf_dir):
+    """The rules that the index of the documents keeps, with no violation of any."""
+    return validate.report(_engine(spark, sf_dir).index)
 
 
-@query()
-def custom_scoring_udf_whole(spark, sf_dir):
-    """Every posting scored by the user's function."""
+@query(f"WITH {_POST} SELECT term, doc_id, off AS \"offset\", 1000 * CAST(field_type = 'title' AS INTEGER) + CAST(text_len % 7 AS INTEGER) + 3 AS score FROM post")
+def custom_scoring_udf(spark, sf_dir):
+    """Every posting scored by a user's function."""
     e = _engine(spark, sf_dir)
     return scoring.custom_scores(e.index.postings, e.index.docs, _own_score).select("term", "doc_id", "offset", "score")
 
@@ -608,7 +636,11 @@ def conversation_sections(spark, sf_dir):
     return corpus.select(F.col("doc_id").alias("conv_id"), F.size("boundaries").cast("long").alias("turns"), F.col("boundaries")[F.size("boundaries") - 1]["end"].alias("text_bytes"))
 
 
-@query("SELECT l_returnflag, count(*) AS n, round(avg(l_quantity), 6) AS mean, round(stddev_samp(l_quantity), 6) AS sd, round(avg(l_quantity) - 1.96 * stddev_samp(l_quantity) / sqrt(count(*)), 6) AS low, round(avg(l_quantity) + 1.96 * stddev_samp(l_quantity) / sqrt(count(*)), 6) AS high, 2 * 1.96 * stddev_samp(l_quantity) / sqrt(count(*)) < 0.1 * avg(l_quantity) AS stable FROM lineitem GROUP BY l_returnflag")
+@query("SELECT l_returnflag, CAST(confidence AS INTEGER) AS confidence, count(*) AS n, round(avg(l_quantity), 6) AS mean, round(stddev_samp(l_quantity), 6) AS sd, round(avg(l_quantity) - any_value(z) * stddev_samp(l_quantity) / sqrt(count(*)), 6) AS low, round(avg(l_quantity) + any_value(z) * stddev_samp(l_quantity) / sqrt(count(*)), 6) AS high, 2 * any_value(z) * stddev_samp(l_quantity) / sqrt(count(*)) < 0.1 * avg(l_quantity) AS stable FROM lineitem, (VALUES (90, 1.645), (95, 1.96), (99, 2.576)) q(confidence, z) GROUP BY l_returnflag, confidence")
 def bench_stats(spark, sf_dir):
-    s = rank.benchmark_statistics(_t(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_quantity")
-    return s.select("l_returnflag", "n", _r("mean"), _r("sd"), _r("low"), _r("high"), "stable")
+    out = None
+    for confidence in (90, 95, 99):
+        s = rank.benchmark_statistics(_t(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_quantity", confidence)
+        s = s.select("l_returnflag", F.lit(confidence).alias("confidence"), "n", _r("mean"), _r("sd"), _r("low"), _r("high"), "stable")
+        out = s if out is None else out.unionByName(s)
+    return out

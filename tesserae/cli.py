@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import runpy
 import time
 
 from pyspark.sql import SparkSession
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .functions.text import MATCH_LABELS, TIER_LABELS
 from .operators.index import Index, build_indexes
+from .operators.rank import CONFIDENCE, sample_until_stable
 from .plans.search import Engine
 from .sources.documents import as_corpus, load_documents, read_manifest
 
@@ -20,11 +22,13 @@ def index(spark: SparkSession, args) -> None:
     if docs.isEmpty():
         print("no documents: nothing is indexed")
         return
+    scorer = runpy.run_path(args.ranking)["score"] if args.ranking else None
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(args.ranking_batch_size))
     if args.definitions:
-        built = build_indexes(docs, {k: dict(v) for k, v in (manifest["indexes"] or {}).items()}, args.output)
+        built = build_indexes(docs, {k: dict(v) for k, v in (manifest["indexes"] or {}).items()}, args.output, scorer=scorer)
         print(f"{len(built)} indexes at {args.output}")
     else:
-        Index.build(docs).save(args.output)
+        Index.build(docs, scorer=scorer).save(args.output, check=True)
         print(f"an index of {docs.count()} documents at {args.output}")
 
 
@@ -40,10 +44,9 @@ def search(spark: SparkSession, args) -> None:
     tier = F.element_at(F.array(*[F.lit(TIER_LABELS[t]) for t in (1, 2, 3)]), F.col("tier"))
     found.select("rank", tier.alias("tier"), label.alias("match"), F.round("score", 2).alias("score"), "title", F.coalesce(F.concat(F.lit("#"), "section_id"), F.lit("")).alias("section")).show(args.limit, truncate=60)
     print(f"{1000 * (time.perf_counter() - began):.0f} ms")
-    for _ in range(args.bench):
-        began = time.perf_counter()
-        engine.search(args.query, args.limit).collect()
-        print(f"{1000 * (time.perf_counter() - began):.0f} ms")
+    if args.bench:
+        s = sample_until_stable(lambda: engine.search(args.query, args.limit).collect(), args.confidence, min(30, args.bench), args.bench)
+        print(f"{s['mean']:.1f} ms, {args.confidence} % of {s['low']:.1f} to {s['high']:.1f} over {s['n']} runs{'' if s['stable'] else ', not stable'}")
 
 
 def parser() -> argparse.ArgumentParser:
@@ -53,6 +56,8 @@ def parser() -> argparse.ArgumentParser:
     a.add_argument("input")
     a.add_argument("output")
     a.add_argument("--definitions", action="store_true", help="build the manifest's named indexes")
+    a.add_argument("--ranking", help="a Python file whose function score(context) scores postings")
+    a.add_argument("--ranking-batch-size", type=int, default=10_000, help="postings in a batch for it")
     a.set_defaults(run=index)
     a = sub.add_parser("inspect", help="show an index's tables")
     a.add_argument("path")
@@ -61,7 +66,8 @@ def parser() -> argparse.ArgumentParser:
     a.add_argument("path")
     a.add_argument("query")
     a.add_argument("--limit", type=int, default=10)
-    a.add_argument("--bench", type=int, default=0, help="further timed runs")
+    a.add_argument("--bench", type=int, default=0, help="at most so many further runs, until their mean is sure")
+    a.add_argument("--confidence", type=int, default=95, choices=sorted(CONFIDENCE))
     a.set_defaults(run=search)
     return p
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring, text
 from ..schema import FORMAT_VERSION
-from ..session import cut, ship, spread
+from ..session import cut, ship, shuffle_parts, spread
 
 TABLES = ("docs", "boundaries", "postings", "vocab", "sections")
 
@@ -54,6 +54,45 @@ def posting_order() -> list:
     return [F.desc("score"), F.asc("doc_id"), F.desc("base_score"), F.asc("offset")]
 
 
+def posting_places(post: DataFrame) -> DataFrame:
+    """`post` with `place`: each posting's rank in its term's list, from 1.
+
+    Postings are numbered along ranges of term and order, so the list of a
+    common term is dealt over many tasks.
+    """
+    rows = post.withColumns({"_down": -F.col("score"), "_base": -F.col("base_score")})
+    placed = dense_index(rows, ["term", "_down", "doc_id", "_base", "offset"], "_n")
+    first = placed.groupBy("term").agg(F.min("_n").alias("_first"))
+    return placed.join(first, "term").withColumn("place", (F.col("_n") - F.col("_first") + 1).cast("int")).drop("_n", "_first", "_down", "_base")
+
+
+def hot_terms(docs: DataFrame, parts: int, stop: frozenset[str] | None = None, one_in: int = 50) -> list[str]:
+    """The terms that fill half a part of `parts` or more, judged by one document in `one_in`: fewer than 2 * `parts`.
+
+    They only steer the layout; a term taken wrongly costs time, not results.
+    """
+    some = text.tokenize(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(one_in)) == 0), stop).groupBy("term").agg(F.count("*").alias("n"))
+    counted = cut(some)
+    total = counted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return [r["term"] for r in counted.where(F.col("n") * 2 * parts > F.lit(total)).collect()]
+
+
+def by_term(post: DataFrame, hot: list[str], parts: int) -> DataFrame:
+    """`post` in `parts` parts by term, sorted; the postings of the `hot` terms are dealt over all parts by document."""
+    spark = post.sparkSession
+    if hot:
+        names = spark.createDataFrame([(t, True) for t in hot], "term string, _hot boolean")
+        post = post.join(F.broadcast(names), "term", "left")
+        salt = F.when(F.col("_hot"), F.pmod(F.xxhash64("doc_id"), F.lit(parts))).otherwise(F.lit(0))
+        return post.withColumn("_salt", salt).repartition(parts, "term", "_salt").drop("_hot", "_salt").sortWithinPartitions("term", *posting_order())
+    return post.repartition(parts, "term").sortWithinPartitions("term", *posting_order())
+
+
+def checksum(df: DataFrame) -> int:
+    """A sum of the rows' CRC32s, whatever their order."""
+    return df.agg(F.coalesce(F.sum(F.crc32(F.to_json(F.struct(*sorted(df.columns))).cast("binary"))), F.lit(0))).first()[0]
+
+
 def vocabulary(post: DataFrame) -> DataFrame:
     """(term_idx, term, term_len, doc_freq) of all terms, numbered in byte order."""
     terms = cut(post.groupBy("term").agg(F.countDistinct("doc_id").alias("doc_freq")).withColumn("term_len", F.octet_length("term")))
@@ -103,6 +142,8 @@ class Index:
     postings: DataFrame
     stored_vocab: DataFrame | None
     sections: DataFrame
+    #: Terms whose postings save() deals over all parts.
+    hot: list[str] | None = None
 
     @property
     def vocab(self) -> DataFrame:
@@ -120,33 +161,44 @@ class Index:
             post = scoring.custom_scores(post, chosen, scorer)
         bounds = chosen.select("doc_id", F.explode("boundaries").alias("b")).select("doc_id", F.col("b.start").alias("start"), F.col("b.end").alias("end"), F.col("b.fieldType").alias("field_type"), F.col("b.sectionId").alias("section_id"), F.col("b.headingLevel").alias("heading_level"))
         meta = chosen.withColumn("text_len", F.octet_length(F.coalesce("text", F.lit("")))).drop("text", "boundaries")
-        return cls(meta, bounds, post, None, section_table(chosen))
+        return cls(meta, bounds, post, None, section_table(chosen), hot_terms(chosen, shuffle_parts(docs.sparkSession), stop))
 
-    def save(self, path: str) -> "Index":
-        """Writes the tables and their counts; returns the index as read back."""
+    def save(self, path: str, check: bool = False) -> "Index":
+        """Writes the tables, their counts and, if `check`, their checksums; returns the index as read back."""
         spark = self.docs.sparkSession
         # By hash, as range partitioning would tokenize twice; files sorted by term are skipped by row group as well.
-        self.postings.repartition("term").sortWithinPartitions("term", *posting_order()).write.mode("overwrite").parquet(f"{path}/postings")
+        by_term(self.postings, self.hot or [], shuffle_parts(spark)).write.mode("overwrite").parquet(f"{path}/postings")
         stored = spark.read.parquet(f"{path}/postings")
         vocabulary(stored).write.mode("overwrite").parquet(f"{path}/vocab")
         for name in ("docs", "boundaries", "sections"):
             getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
-        counts = {name: spark.read.parquet(f"{path}/{name}").count() for name in TABLES}
-        spark.createDataFrame([(FORMAT_VERSION, json.dumps(counts))], "version int, counts string").coalesce(1).write.mode("overwrite").json(f"{path}/meta")
+        tables = {name: spark.read.parquet(f"{path}/{name}") for name in TABLES}
+        counts = {name: t.count() for name, t in tables.items()}
+        sums = {name: checksum(t) for name, t in tables.items()} if check else None
+        spark.createDataFrame([(FORMAT_VERSION, json.dumps(counts), json.dumps(sums))], "version int, counts string, sums string").coalesce(1).write.mode("overwrite").json(f"{path}/meta")
         return Index.load(spark, path)
 
-    @classmethod
-    def load(cls, spark: SparkSession, path: str, check: bool = False) -> "Index":
-        """Reads an index; a version that isn't known, or, if `check`, counts that differ are errors."""
-        ship(spark)
-        meta = spark.read.schema("version int, counts string").json(f"{path}/meta").first()
+    @staticmethod
+    def header(spark: SparkSession, path: str) -> dict:
+        """An index's version, counts and checksums (none where it was saved without); a version that isn't known is an error."""
+        meta = spark.read.schema("version int, counts string, sums string").json(f"{path}/meta").first()
         if meta is None or meta["version"] != FORMAT_VERSION:
             raise ValueError(f"unknown index format at {path}")
-        index = cls(*[spark.read.parquet(f"{path}/{name}") for name in TABLES])
+        return {"version": meta["version"], "counts": json.loads(meta["counts"]), "sums": json.loads(meta["sums"] or "null") or {}}
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str, check: bool = False) -> "Index":
+        """Reads an index; a version that isn't known, or, if `check`, counts, checksums or contents that aren't right are errors."""
+        loader = IncrementalLoader(spark, path)
+        for name in TABLES:
+            loader.load(name, check)
+        index = loader.finalize()
         if check:
-            for name, n in json.loads(meta["counts"]).items():
-                if getattr(index, name).count() != n:
-                    raise ValueError(f"table {name} at {path} doesn't have {n} rows")
+            from .validate import index_violations
+
+            wrong = index_violations(index).limit(5).collect()
+            if wrong:
+                raise ValueError(f"the index at {path} isn't valid: {[tuple(r) for r in wrong]}")
         return index
 
     def inspect(self) -> DataFrame:
@@ -165,6 +217,45 @@ class Index:
         return docs.unionByName(terms).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("docs", "terms", "text_bytes")])
 
 
+class IncrementalLoader:
+    """Reads an index table by table, in any order; a search that needs few tables can begin before all are there."""
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        ship(spark)
+        self.spark, self.path = spark, path
+        self.header = Index.header(spark, path)
+        self.tables: dict[str, DataFrame] = {}
+
+    def load(self, name: str, check: bool = False) -> DataFrame:
+        """Reads a table; if `check`, a count or checksum that differs from the header's is an error."""
+        if name not in TABLES:
+            raise ValueError(f"an index has the tables {TABLES}")
+        df = self.spark.read.parquet(f"{self.path}/{name}")
+        if check:
+            if df.count() != self.header["counts"][name]:
+                raise ValueError(f"table {name} at {self.path} doesn't have {self.header['counts'][name]} rows")
+            if name in self.header["sums"] and checksum(df) != self.header["sums"][name]:
+                raise ValueError(f"table {name} at {self.path} doesn't have its checksum")
+        self.tables[name] = df
+        return df
+
+    @property
+    def pending(self) -> tuple[str, ...]:
+        return tuple(n for n in TABLES if n not in self.tables)
+
+    def pending_count(self) -> int:
+        return len(self.pending)
+
+    def is_complete(self) -> bool:
+        return not self.pending
+
+    def finalize(self) -> Index:
+        """The index; tables that weren't loaded are an error."""
+        if self.pending:
+            raise ValueError(f"not loaded yet: {', '.join(self.pending)}")
+        return Index(*[self.tables[n] for n in TABLES])
+
+
 def build_indexes(docs: DataFrame, definitions: dict[str, dict], path: str, **how) -> dict[str, Index]:
     """One saved index for each definition {name: {"include": ..., "fields": ...}}, each from the same documents."""
     return {name: Index.build(docs, d.get("include", "*"), d.get("fields"), **how).save(f"{path}/{name}") for name, d in definitions.items()}

@@ -5,10 +5,14 @@ Everything is grouped by query, so one plan ranks any number of queries.
 
 from __future__ import annotations
 
+import statistics
+import time
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import CUT_RESULTS, MOST_RESULTS
+from .index import dense_index
 
 
 def result_order() -> list[Column]:
@@ -22,6 +26,13 @@ def top(rows: DataFrame, order: list[Column], limit: int, by: list[str] = ["quer
     return ranked.where(F.col("rank") <= limit)
 
 
+def every(rows: DataFrame) -> DataFrame:
+    """All of rows(query_id, doc_id, score, ...) with their rank by score and document; the order is made by ranges, so no task holds a query's rows."""
+    placed = dense_index(rows.withColumn("_down", -F.col("score")), ["query_id", "_down", "doc_id"], "_place")
+    first = placed.groupBy("query_id").agg(F.min("_place").alias("_first"))
+    return placed.join(F.broadcast(first), "query_id").withColumn("rank", (F.col("_place") - F.col("_first") + 1).cast("int")).drop("_place", "_first", "_down")
+
+
 def accumulate(hits: DataFrame, n_terms: DataFrame, titles: DataFrame, limit: int, dedup_sections: bool = True) -> DataFrame:
     """Multi-term results from hits(query_id, term_pos, doc_id, section_id, match_type, score, term, seq).
 
@@ -101,8 +112,26 @@ def tier_counts(results: DataFrame) -> DataFrame:
     return results.groupBy("query_id", "tier").agg(F.count("*").alias("hits"))
 
 
-def benchmark_statistics(samples: DataFrame, by: list[str], value: str) -> DataFrame:
-    """Mean, sample deviation and 95 % confidence interval of timings; stable if the interval is under a tenth of the mean."""
+#: Half widths of normal confidence intervals, in standard errors.
+CONFIDENCE = {90: 1.645, 95: 1.96, 99: 2.576}
+
+
+def benchmark_statistics(samples: DataFrame, by: list[str], value: str, confidence: int = 95) -> DataFrame:
+    """Mean, sample deviation and confidence interval (90, 95 or 99 %) of timings; stable if the interval is under a tenth of the mean."""
     s = samples.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"))
-    half = 1.96 * F.col("sd") / F.sqrt("n")
+    half = CONFIDENCE[confidence] * F.col("sd") / F.sqrt("n")
     return s.select(*by, "n", "mean", "sd", (F.col("mean") - half).alias("low"), (F.col("mean") + half).alias("high"), (2 * half < 0.1 * F.col("mean")).alias("stable"))
+
+
+def sample_until_stable(run, confidence: int = 95, least: int = 30, most: int = 1000) -> dict[str, float]:
+    """Times `run` from `least` to `most` times, until the interval is under a tenth of the mean; figures in milliseconds."""
+    times: list[float] = []
+    while True:
+        began = time.perf_counter()
+        run()
+        times.append(1000 * (time.perf_counter() - began))
+        if len(times) >= max(2, least):
+            mean, sd = statistics.fmean(times), statistics.stdev(times)
+            half = CONFIDENCE[confidence] * sd / len(times) ** 0.5
+            if 2 * half < 0.1 * mean or len(times) >= most:
+                return {"n": len(times), "mean": mean, "sd": sd, "low": mean - half, "high": mean + half, "stable": 2 * half < 0.1 * mean}

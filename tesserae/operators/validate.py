@@ -63,11 +63,23 @@ def index_violations(index: Index) -> DataFrame:
     freq = post.groupBy("term").agg(F.countDistinct("doc_id").alias("_df"))
     parts.append(freq.join(vocab, "term", "full").where("_df is null or doc_freq is null or _df <> doc_freq").select(F.lit("doc_freq_differs").alias("rule"), F.col("term").alias("key")))
     parts.append(vocab.groupBy("term").count().where("count > 1").select(F.lit("term_repeats").alias("rule"), F.col("term").alias("key")))
+    ahead = vocab.select((F.col("term_idx") - 1).alias("term_idx"), F.col("term").alias("_next"))
+    parts.append(vocab.join(ahead, "term_idx").where("term >= _next").select(F.lit("vocabulary_unsorted").alias("rule"), F.col("term").alias("key")))
     for name, table in (("documents_empty", docs), ("vocabulary_empty", vocab)):
         parts.append(table.agg(F.count("*").alias("n")).where("n = 0").select(F.lit(name).alias("rule"), F.lit("").alias("key")))
     return reduce(DataFrame.unionByName, parts)
 
 
+RULES = ("offset_out_of_text", "empty_term", "field_unknown", "match_type_differs", "score_not_positive", "document_unknown", "doc_freq_differs", "term_repeats", "vocabulary_unsorted", "documents_empty", "vocabulary_empty")
+
+
+def report(index: Index) -> DataFrame:
+    """(rule, violations) of every rule of an index, 0 where it holds."""
+    rules = index.docs.sparkSession.createDataFrame([(r,) for r in RULES], "rule string")
+    found = index_violations(index).groupBy("rule").agg(F.count("*").alias("n"))
+    return rules.join(found, "rule", "left").select("rule", F.coalesce("n", F.lit(0)).alias("violations"))
+
+
 def suffix_violations(array: DataFrame, docs: DataFrame) -> DataFrame:
     """(rule, doc_id, offset) for a suffix array: order, completeness, offsets and common prefixes."""
     way = Window.partitionBy(F.left("suffix", F.lit(3))).orderBy("place")

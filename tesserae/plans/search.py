@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring, text
 from ..operators import rank
-from ..operators.index import Index
+from ..operators.index import Index, select_mode
 from ..operators.match import QueryTerm, match_terms
 from ..session import cut
 
@@ -193,7 +193,7 @@ def search_text(docs: DataFrame, queries: str | list[str]) -> DataFrame:
     every = parts[0]
     for x in parts[1:]:
         every = every.unionByName(x)
-    return rank.top(rank.merge_score_sets(every), [F.desc("score"), F.asc("doc_id")], 2**31 - 1).select("query_id", "rank", "doc_id", "score")
+    return rank.every(rank.merge_score_sets(every)).select("query_id", "rank", "doc_id", "score")
 
 
 def search_unified(engine: Engine, docs: DataFrame, queries: str | list[str], mode: str) -> DataFrame:
@@ -207,6 +207,26 @@ def search_unified(engine: Engine, docs: DataFrame, queries: str | list[str], mo
     return exact.unionByName(rest.join(exact.select("query_id").distinct(), "query_id", "left_anti"))
 
 
+class UnifiedIndex:
+    """What the search mode of a corpus requires: its texts for suffix, an inverted index for inverted, both for hybrid."""
+
+    def __init__(self, mode: str, docs: DataFrame, engine: Engine | None) -> None:
+        self.mode, self.docs, self.engine = mode, docs, engine
+
+    @classmethod
+    def build(cls, docs: DataFrame, corpus: DataFrame, prefix: bool = True, fuzzy: bool = True, stop: frozenset[str] | None = None, built: Engine | None = None) -> "UnifiedIndex":
+        """From one corpus with boundaries that count characters (`docs`) and bytes (`corpus`); the mode follows from its size and needs.
+
+        An engine that is `built` already is taken where the mode needs one.
+        """
+        size = docs.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()
+        mode = select_mode(size["n"], size["b"], prefix, fuzzy)
+        return cls(mode, docs, None if mode == "suffix" else built or Engine(Index.build(corpus, stop=stop)))
+
+    def search(self, queries: str | list[str]) -> DataFrame:
+        return search_text(self.docs, queries) if self.mode == "suffix" else search_unified(self.engine, self.docs, queries, self.mode)
+
+
 SOURCES = (("title", 100.0), ("heading", 10.0), ("content", 1.0))
 
 
@@ -232,7 +252,7 @@ def search_union(engines: dict[str, Engine], queries: str | list[str]) -> DataFr
             part = engines[name].search_hybrid(queries).select("query_id", "doc_id", F.lit(name).alias("source"), F.lit(score).alias("score"), F.lit(k).alias("_k"))
             every = part if every is None else every.unionByName(part)
     best = every.groupBy("query_id", "doc_id").agg(F.max("score").alias("score"), F.min_by("source", "_k").alias("source"))
-    return rank.top(best, [F.desc("score"), F.asc("doc_id")], 2**31 - 1).select("query_id", "rank", "doc_id", "source", "score")
+    return rank.every(best).select("query_id", "rank", "doc_id", "source", "score")
 
 
 def progressive(engine: Engine, query: str, limit: int = 10) -> Iterator[tuple[int, DataFrame]]:

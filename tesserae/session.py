@@ -76,6 +76,11 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if parts <= cores and _bytes(df) <= cores << 26 else df
 
 
+def shuffle_parts(spark: SparkSession) -> int:
+    """The session's number of shuffle partitions."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def _bytes(df: DataFrame) -> int:
     """The optimizer's estimate of a table's size."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.index import postings, posting_order
-from ..session import ship
+from ..operators.index import by_term, hot_terms, postings
+from ..session import ship, shuffle_parts
 
 
 def append_postings(documents: DataFrame, path: str, checkpoint: str, stop: frozenset[str] | None = None, **trigger) -> StreamingQuery:
@@ -19,8 +19,8 @@ def append_postings(documents: DataFrame, path: str, checkpoint: str, stop: froz
     ship(documents.sparkSession)
 
     def write(batch: DataFrame, number: int) -> None:
-        post = postings(batch, stop)
-        post.repartition("term").sortWithinPartitions("term", *posting_order()).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        parts = shuffle_parts(batch.sparkSession)
+        by_term(postings(batch, stop), hot_terms(batch, parts, stop), parts).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return documents.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
