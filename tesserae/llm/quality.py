@@ -84,9 +84,9 @@ def base_metrics(data: np.ndarray, off: np.ndarray, window: int = 5) -> dict[str
 #: Text a chunk of documents holds; a document is never split.
 _CHUNK = 12 << 20
 #: Tokens of a chunk scored at once.
-_SCORED = 1 << 19
+_SCORED = 1 << 18
 #: Keys that a range of hashes is made for.
-_PART = 1 << 21
+_PART = 1 << 20
 #: The start mark's hash, of any width.
 _BEGIN = np.uint64(0x2545F4914F6CDD1D)
 METRICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -156,7 +156,7 @@ def word_chunks(docs: DataFrame, bits: int) -> DataFrame:
 
         for batch in batches:
             data, off = T.column(batch.column("text"))
-            for i, j, d, o in T.slices(data, off, 1 << 22):
+            for i, j, d, o in T.slices(data, off, 1 << 20):
                 if size and size + len(d) > _CHUNK:
                     yield pack()
                     size = 0
