@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .sparkops import cut, with_info
@@ -128,27 +128,23 @@ def shard_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     groups = cut(rows.groupBy("key").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")))
     info = cut(groups.join(shard_groups(groups.select("key", "bytes"), shards), "key").select("key", "n", "shard"))
     placed = cut(with_info(rows, info, "key", "n", rows.count()).select("doc_id", "size", "text_crc32", "shard", F.spark_partition_id().alias("p")))
-    counts = {(r["p"], r["shard"]): r["count"] for r in placed.groupBy("p", "shard").count().collect()}
-    start: dict[tuple[int, int], int] = {}
-    for s in range(shards):
-        at = 0
-        for p in sorted({p for p, _ in counts}):
-            start[p, s] = at
-            at += counts.get((p, s), 0)
+    # A row for each task and shard: the slots that the tasks before it fill.
+    before = Window.partitionBy("shard").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
+    starts = placed.groupBy("p", "shard").count().select("p", "shard", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
     kind = docs.schema[id_col].dataType.simpleString()
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at: dict[tuple[int, int], int] = {}
+        at: dict[int, int] = {}
         for b in batches:
             key = b.column("p").to_numpy().astype(np.int64) * shards + b.column("shard").to_numpy()
-            slot = np.zeros(len(key), np.int64)
+            slot = b.column("start").to_numpy().copy()
             for k in np.unique(key).tolist():
                 mine = np.flatnonzero(key == k)
-                place = divmod(k, shards)
-                first = at.get(place, start.get(place, 0))
-                slot[mine] = first + np.arange(len(mine))
-                at[place] = first + len(mine)
+                first = at.get(k, 0)
+                slot[mine] += first + np.arange(len(mine))
+                at[k] = first + len(mine)
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "size", "text_crc32", "shard")), pa.array(slot)], ["doc_id", "size", "text_crc32", "shard", "slot"])
 
+    placed = placed.join(F.broadcast(starts), ["p", "shard"])
     numbered = placed.mapInArrow(number, f"doc_id {kind}, size long, text_crc32 long, shard int, slot long")
     return numbered.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

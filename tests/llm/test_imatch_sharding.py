@@ -150,3 +150,31 @@ def test_differencing_keeps_sums():
     assert sorted(load) == sorted(sums) and max(load) - min(load) <= 12
     places, sums = sharding.difference([(8, 0), (7, 0), (6, 0), (5, 0), (4, 0)], 2)
     assert sorted(sums) == [14, 16]
+
+
+def brute_differencing(sizes, shards):
+    """Loads by Karmarkar-Karp on a plain list: merge the two partitions of largest spread, largest with smallest."""
+    parts = [sorted([n] + [0] * (shards - 1)) for n in sizes]
+    while len(parts) > 1:
+        parts.sort(key=lambda p: p[-1] - p[0])
+        a, b = parts.pop(), parts.pop()
+        parts.append(sorted(x + y for x, y in zip(a, reversed(b))))
+    return parts[0]
+
+
+def test_one_task_equals_plain_differencing(spark):
+    rnd = random.Random(4)
+    sizes = [rnd.randint(10**6, 2 * 10**6) * 2 + 1 for _ in range(3000)]
+    rows = [(bytearray(str(i).encode()), n) for i, n in enumerate(sizes)]
+    df = spark.createDataFrame(rows, "key binary, bytes long").coalesce(1)
+    where = {bytes(r["key"]): r["shard"] for r in sharding.shard_groups(df, 5).collect()}
+    load = [0] * 5
+    for k, n in rows:
+        load[where[bytes(k)]] += n
+    assert sorted(load) == brute_differencing(sizes, 5)
+
+
+def test_ties_and_small_tables_of_groups(spark):
+    df = spark.createDataFrame([(bytearray(str(i).encode()), 7) for i in range(40)], "key binary, bytes long")
+    load = Counter(r["shard"] for r in sharding.shard_groups(df, 8).collect())
+    assert set(load.values()) == {5} and len(load) == 8
