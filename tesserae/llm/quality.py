@@ -200,6 +200,11 @@ class Chunk:
         self.gram_left, self.gram_right = self.left[by[begin]], self.right[by[begin]]
 
 
+def _ranges(keys: int) -> int:
+    """Ranges for so many keys; above a thousand they are twice as long, as every chunk sends a message to each."""
+    return max(keys // (2 * _PART), min(keys // _PART, 1024)) + 1
+
+
 def _send(chunk: int, keys: np.ndarray, values: np.ndarray, parts: int, bits: int) -> pa.RecordBatch:
     """A chunk's sorted keys and their values (rows x keys), cut at the ranges' edges."""
     width = np.uint64(-(-(1 << bits) // parts))
@@ -355,8 +360,8 @@ def score(docs: DataFrame) -> DataFrame:
     bits = hash_bits(size)
     chunks, drop = bucketed(word_chunks(docs, bits), "chunk", 4 * size // _CHUNK + 1)
     n = chunks.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("tokens"), F.coalesce(F.sum("n_words"), F.lit(0)).alias("words")).first()
-    grams = count_grams(chunks, bits, n["tokens"] // _PART + 1)
-    words = count_words(chunks, grams, bits, n["words"] // _PART + 1)
+    grams = count_grams(chunks, bits, _ranges(n["tokens"]))
+    words = count_words(chunks, grams, bits, _ranges(n["words"]))
 
     def stats(answers: DataFrame) -> list[int]:
         return [x or 0 for x in answers.agg(*[F.sum(x) for x in ("n1", "n2", "n3", "n4", "total", "types")]).first()]

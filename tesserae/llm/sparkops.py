@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut, freed_shuffles, remove, shared_folder, ship, spread
 
-__all__ = ["bounded", "bucketed", "cut", "held_out", "keep_rows", "shared_folder", "ship", "spread", "with_info", "written"]
+__all__ = ["bounded", "bucketed", "cut", "held_out", "keep_rows", "remove", "shared_folder", "ship", "spread", "with_info", "written"]
 
 
 def bounded(df: DataFrame, most: int = 50_000) -> DataFrame:

@@ -74,11 +74,32 @@ def count_sections(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     one empty section without tokens.  Repeated rows are counted each; an empty
     table gives none; other columns are ignored.
     """
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.lit(None).cast("array<long>").alias("sizes"))
+    counted = _count(rows, rule, sections, json_path, ranks_path)
+    return counted.withColumn("field", F.when(F.col("section") == 0, "title").otherwise("body")).select("doc_id", "section", "field", "start_char", "end_char", "n_tokens", "doc_tokens")
+
+
+def count_fields(docs: DataFrame, fields: list[str], id_col: str = "doc_id", separator: str = "\n\n", rule: str = "start", json_path: str | None = None, ranks_path: str | None = None) -> DataFrame:
+    """count_sections() of the columns `fields`, joined by `separator` and encoded once: field is the column's name, section its place.
+
+    A separator belongs to the field before it; a null field is an empty one
+    and has its row.  Other columns are ignored.
+    """
+    texts = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in fields]
+    whole = [F.concat(t, F.lit(separator)) for t in texts[:-1]] + texts[-1:]
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.concat(*whole).alias("text"), F.array(*[F.octet_length(t).cast("long") for t in whole]).alias("sizes"))
+    counted = _count(rows, rule, line_sections, json_path, ranks_path)
+    name = F.element_at(F.array(*[F.lit(c) for c in fields]), F.col("section") + 1)
+    return counted.withColumn("field", name).select("doc_id", "section", "field", "start_char", "end_char", "n_tokens", "doc_tokens")
+
+
+def _count(rows: DataFrame, rule: str, sections, json_path: str | None, ranks_path: str | None) -> DataFrame:
+    """Counts of rows(doc_id, text, sizes): the sections' bytes, or, where these are null, what `sections` finds."""
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
     if json_path is None:
         json_path, ranks_path = default_paths()
-    kind = docs.schema[id_col].dataType.simpleString()
+    kind = rows.schema["doc_id"].dataType.simpleString()
     cache: dict[str, np.ndarray] = {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,7 +112,8 @@ def count_sections(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 lead = np.append(0, np.cumsum((data & 0xC0) != 0x80))
                 counts, starts, ends, section, docs_n, totals = [], [], [], [], [], []
                 for k, ids in enumerate(encode([t or "" for t in b.column("text").to_pylist()])):
-                    bounds = sections(data[off[k] : off[k + 1]])
+                    given = b.column("sizes")[k].as_py()
+                    bounds = sections(data[off[k] : off[k + 1]]) if given is None else np.cumsum([0, *given])
                     end = np.cumsum(size[ids])
                     if len(ids) and end[-1] != bounds[-1]:
                         raise ValueError("tokens don't tile the text")
@@ -108,12 +130,11 @@ def count_sections(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     [
                         b.column("doc_id").take(pa.array(row)),
                         pa.array(number.astype(np.int32)),
-                        pa.array(np.where(number == 0, "title", "body").tolist(), pa.string()),
                         *[pa.array(np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64)) for x in (starts, ends)],
                         pa.array(np.concatenate(counts) if counts else np.zeros(0)),
                         pa.array(np.array(totals, np.int64)[row] if len(row) else np.zeros(0, np.int64)),
                     ],
-                    ["doc_id", "section", "field", "start_char", "end_char", "n_tokens", "doc_tokens"],
+                    ["doc_id", "section", "start_char", "end_char", "n_tokens", "doc_tokens"],
                 )
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, section int, field string, start_char long, end_char long, n_tokens double, doc_tokens long")
+    return rows.mapInArrow(run, f"doc_id {kind}, section int, start_char long, end_char long, n_tokens double, doc_tokens long")

@@ -70,9 +70,9 @@ def test_round_trip(spark):
     assert pieces.encode_documents(empty).count() == 0
 
 
-def brute_counts(text, encode, size, rule):
+def brute_counts(text, encode, size, rule, bounds=None):
     raw = (text or "").encode()
-    bounds = [0] + [i + 1 for i, c in enumerate(raw) if c == 10 and i + 1 < len(raw)] + [len(raw)]
+    bounds = bounds or [0] + [i + 1 for i, c in enumerate(raw) if c == 10 and i + 1 < len(raw)] + [len(raw)]
     out, at = [0.0] * (len(bounds) - 1), 0
     for i in encode([text or ""])[0].tolist():
         parts = [max(0, min(bounds[s + 1], at + size[i]) - max(bounds[s], at)) for s in range(len(out))]
@@ -108,6 +108,23 @@ def test_counts_equal_brute_force(spark, rule):
     assert all(abs(a - b) < 1e-6 for a, b, _ in by.values())
 
 
+@pytest.mark.parametrize("rule", token_counts.RULES)
+def test_fields_equal_brute_force(spark, rule):
+    rows = [(1, "A title", "Some body text,\nof two lines", "é"), (2, None, "", None), (3, "", "only this", ""), (3, "", "only this", ""), (4, "x" * 900, "  ", "end")]
+    df = spark.createDataFrame([(*r, 5, "s") for r in rows], "doc_id long, title string, body string, note string, sizes int, field string")
+    encode = packing.encoder(*packing.default_paths())
+    size = token_counts.token_bytes(public_tokenizers.path("byte_bpe_50k.json"))
+    want = Counter()
+    for i, *parts in rows:
+        parts = [p or "" for p in parts]
+        parts = [p + "--" for p in parts[:-1]] + parts[-1:]
+        bounds = [len("".join(parts[:k]).encode()) for k in range(4)]
+        for name, n in zip(("title", "body", "note"), brute_counts("".join(parts), encode, size, rule, bounds)):
+            want[i, name, round(n, 6)] += 1
+    got = token_counts.count_fields(df, ["title", "body", "note"], separator="--", rule=rule).collect()
+    assert Counter((r["doc_id"], r["field"], round(r["n_tokens"], 6)) for r in got) == want
+
+
 def test_unknown_rule(spark):
     with pytest.raises(ValueError):
         token_counts.count_sections(spark.createDataFrame([], "doc_id long, text string"), rule="other")

@@ -84,6 +84,20 @@ def test_stages_take_empty_tables(spark, folder):
     assert corpus_pipeline.STAGES[-1][1](spark, docs, folder).count() == 0
 
 
+def test_stages_take_long_texts_and_clashing_columns(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    first = docs.where("doc_id < 100")
+    word = first.first()["text"].split()
+    long = " ".join(word[(i * i + i // 7) % len(word)] + word[i * 3 % len(word)] for i in range(120_000))
+    extra = first.unionByName(spark.createDataFrame([(7000, long, "en", None, len(long))], COLUMNS))
+    extra = extra.withColumns({c: F.lit(1) for c in ("_id", "_key", "_text_key", "chunk", "part", "nll", "fp", "root", "kept", "score", "lang_pred", "n")})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, extra, folder)
+        assert got.columns == extra.columns and got.count() > 50, name
+    packed = corpus_pipeline.STAGES[-1][1](spark, extra.where("doc_id = 7000"), folder).collect()
+    assert sum(r["length"] for r in packed) > 120_000 and max(r["length"] for r in packed) == 1024
+
+
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_queries_give_their_columns(spark, folder, name):
     want = {
