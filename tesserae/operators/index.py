@@ -83,7 +83,7 @@ def by_term(post: DataFrame, hot: list[str], parts: int) -> DataFrame:
     if hot:
         names = spark.createDataFrame([(t, True) for t in hot], "term string, _hot boolean")
         post = post.join(F.broadcast(names), "term", "left")
-        salt = F.when(F.col("_hot"), F.pmod(F.xxhash64("doc_id"), F.lit(parts))).otherwise(F.lit(0))
+        salt = F.when(F.col("_hot"), F.pmod(F.xxhash64("doc_id"), F.lit(16 * parts))).otherwise(F.lit(0))
         return post.withColumn("_salt", salt).repartition(parts, "term", "_salt").drop("_hot", "_salt").sortWithinPartitions("term", *posting_order())
     return post.repartition(parts, "term").sortWithinPartitions("term", *posting_order())
 
