@@ -8,6 +8,7 @@ no counterpart here.
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -142,8 +143,8 @@ class Index:
     postings: DataFrame
     stored_vocab: DataFrame | None
     sections: DataFrame
-    #: Terms whose postings save() deals over all parts.
-    hot: list[str] | None = None
+    #: Names the terms whose postings save() deals over all parts.
+    hot: Callable[[], list[str]] | None = None
 
     @property
     def vocab(self) -> DataFrame:
@@ -161,13 +162,13 @@ class Index:
             post = scoring.custom_scores(post, chosen, scorer)
         bounds = chosen.select("doc_id", F.explode("boundaries").alias("b")).select("doc_id", F.col("b.start").alias("start"), F.col("b.end").alias("end"), F.col("b.fieldType").alias("field_type"), F.col("b.sectionId").alias("section_id"), F.col("b.headingLevel").alias("heading_level"))
         meta = chosen.withColumn("text_len", F.octet_length(F.coalesce("text", F.lit("")))).drop("text", "boundaries")
-        return cls(meta, bounds, post, None, section_table(chosen), hot_terms(chosen, shuffle_parts(docs.sparkSession), stop))
+        return cls(meta, bounds, post, None, section_table(chosen), lambda: hot_terms(chosen, shuffle_parts(docs.sparkSession), stop))
 
     def save(self, path: str, check: bool = False) -> "Index":
         """Writes the tables, their counts and, if `check`, their checksums; returns the index as read back."""
         spark = self.docs.sparkSession
         # By hash, as range partitioning would tokenize twice; files sorted by term are skipped by row group as well.
-        by_term(self.postings, self.hot or [], shuffle_parts(spark)).write.mode("overwrite").parquet(f"{path}/postings")
+        by_term(self.postings, self.hot() if self.hot else [], shuffle_parts(spark)).write.mode("overwrite").parquet(f"{path}/postings")
         stored = spark.read.parquet(f"{path}/postings")
         vocabulary(stored).write.mode("overwrite").parquet(f"{path}/vocab")
         for name in ("docs", "boundaries", "sections"):
