@@ -34,8 +34,15 @@ def _letters(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return w.hash & ~_LOW, w.first
 
 
-def _near_seeds(h: np.ndarray, first: np.ndarray, seeds: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word, seed, documents): the words at most `window` places from a seed in one row, and in how many rows; a seed isn't its own neighbour."""
+#: Stands in place of a seed for the documents in which a word is near any marked seed.
+_ANY = -2
+
+
+def _near_seeds(h: np.ndarray, first: np.ndarray, seeds: np.ndarray, window: int, marked: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word, seed, documents): the words at most `window` places from a seed in one row, and in how many rows; a seed isn't its own neighbour.
+
+    For seed `_ANY`, the rows in which the word is that near to any of the `marked` seeds.
+    """
     at, found = T.lookup(seeds, h)
     place = np.flatnonzero(found)
     row = T.row_of(first)
@@ -51,7 +58,10 @@ def _near_seeds(h: np.ndarray, first: np.ndarray, seeds: np.ndarray, window: int
     order = np.lexsort((s, c))
     c, s = c[order], s[order]
     new = np.flatnonzero(np.append(True, (c[1:] != c[:-1]) | (s[1:] != s[:-1]))) if len(c) else np.zeros(0, np.int64)
-    return _added(c[new] & ~_LOW, s[new], np.ones(len(new), np.int64))
+    c, s = c[new], s[new]
+    some = np.unique(c[marked[s]])
+    c, s = np.append(c, some), np.append(s, np.full(len(some), _ANY))
+    return _added(c & ~_LOW, s, np.ones(len(c), np.int64))
 
 
 def _added(word: np.ndarray, seed: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -64,13 +74,13 @@ def _added(word: np.ndarray, seed: np.ndarray, n: np.ndarray) -> tuple[np.ndarra
     return word[new], seed[new], np.add.reduceat(n[order], new)
 
 
-def seed_graph(docs: DataFrame, seeds: np.ndarray, window: int = 5, least_docs: int = 3) -> DataFrame:
-    """Edges (word, seed, n, df, weight) of `docs(text)`: seed is a place in the sorted keys `seeds`, n the documents that have both within `window` words, df those that have the word, weight their positive PMI.
+def seed_graph(docs: DataFrame, seeds: np.ndarray, window: int = 5, least_docs: int = 1, marked: np.ndarray | None = None) -> DataFrame:
+    """Edges (word, seed, n, df, near, weight) of `docs(text)`: seed is a place in the sorted keys `seeds`, n the documents that have both within `window` words, df those that have the word, near those that have it within `window` words of any `marked` seed (a flag for each seed), weight the pair's positive PMI.
 
-    Every pair of a seed and a word in `least_docs` documents or more has an
-    edge, if its PMI is over zero.
+    Every pair of a seed and a word near it has an edge, if its PMI is over
+    zero; with `least_docs` over 1, only pairs with n as large.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(seeds)
+    shared = docs.sparkSession.sparkContext.broadcast((seeds, np.zeros(len(seeds), bool) if marked is None else marked))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         single, pairs, held = terms.Counter(), [], 0
@@ -90,21 +100,21 @@ def seed_graph(docs: DataFrame, seeds: np.ndarray, window: int = 5, least_docs:
             for _, _, d, o in T.slices(data, off, 1_000_000, terms.ROWS):
                 h, first = _letters(d, o)
                 single.add(*terms.key_counts(terms.distinct_in_rows(h, first)))
-                pairs.append(_near_seeds(h, first, shared.value, window))
+                pairs.append(_near_seeds(h, first, shared.value[0], window, shared.value[1]))
                 held += len(pairs[-1][0])
                 if held + sum(single.size) > terms._HELD:
                     yield from out()
         yield from out()
 
     counted = docs.select("text").mapInArrow(run, "word long, seed int, n long").groupBy("word", "seed").agg(F.sum("n").alias("n"))
-    df = F.max(F.when(F.col("seed") == -1, F.col("n"))).over(Window.partitionBy("word"))
-    counted = cut(counted.withColumn("df", df).where((F.col("seed") >= 0) & (F.col("n") >= least_docs) | F.col("word").isin(seeds.view(np.int64).tolist())))
+    of = lambda seed: F.max(F.when(F.col("seed") == seed, F.col("n"))).over(Window.partitionBy("word"))
+    counted = cut(counted.withColumns({"df": of(-1), "near": F.coalesce(of(_ANY), F.lit(0))}).where((F.col("seed") >= 0) & (F.col("n") >= least_docs) | F.col("word").isin(seeds.view(np.int64).tolist())))
     own = np.zeros(len(seeds))
     for r in counted.where("seed = -1").select("word", "df").collect():
         own[np.searchsorted(seeds, np.array([r["word"]]).view(np.uint64)[0])] = r["df"]
     sizes = docs.sparkSession.createDataFrame([(i, float(x)) for i, x in enumerate(own)], "seed int, seed_df double")
     pmi = F.log(F.col("n") * F.lit(float(docs.count())) / (F.col("df") * F.col("seed_df")))
-    return counted.where((F.col("seed") >= 0) & (F.col("n") >= least_docs)).join(F.broadcast(sizes), "seed").select("word", "seed", "n", "df", pmi.alias("weight")).where("weight > 0")
+    return counted.where((F.col("seed") >= 0) & (F.col("n") >= least_docs)).join(F.broadcast(sizes), "seed").select("word", "seed", "n", "df", "near", pmi.alias("weight")).where("weight > 0")
 
 
 def walk(edges: DataFrame, starts: np.ndarray, restart: float = 0.5, steps: int = 12) -> tuple[np.ndarray, np.ndarray]:
@@ -220,12 +230,14 @@ def seeds_of(docs: DataFrame, known: dict, least_seed: int = 3, false_seeds: flo
     return keys[order], (np.arange(len(keys)) < len(toxic))[order], sure[order]
 
 
-def induce(docs: DataFrame, labels: DataFrame, window: int = 5, most_labels: int = 20_000, least_seed: int = 3, false_seeds: float = 1.0, least_docs: int = 3) -> tuple[DataFrame | None, dict]:
+def induce(docs: DataFrame, labels: DataFrame, window: int = 5, most_labels: int = 20_000, least_seed: int = 3, false_seeds: float = 1.0, least_docs: int = 1) -> tuple[DataFrame | None, dict]:
     """The lexicon (word, polarity over 0 to 1) of `docs(doc_id, text)` from `labels(doc_id, toxic)`, and the labels learned from.
 
     A word's polarity is the balance of the two walks' visits, toxic less clean
     over both, times the share of the word's documents in which it stands near a
-    toxic seed (at most one); a toxic seed has at least that of its own labels.
+    toxic seed, where one document more counts as one in which it doesn't, so that
+    a word of few documents is less sure; a toxic seed has at least the polarity of
+    its own labels.
     Words that lean to the clean side have none.  Without toxic seeds there is no lexicon.
     """
     known = _labelled(docs, labels, most_labels)
@@ -234,15 +246,15 @@ def induce(docs: DataFrame, labels: DataFrame, window: int = 5, most_labels: int
     seeds, toxic, sure = seeds_of(docs, known, least_seed, false_seeds)
     if not toxic.any():
         return None, known
-    edges = cut(seed_graph(docs, seeds, window, least_docs).repartition("word"))
+    edges = cut(seed_graph(docs, seeds, window, least_docs, toxic).repartition("word"))
     starts = np.stack([toxic / toxic.sum(), ~toxic / max(1, (~toxic).sum())])
     x, out = walk(edges, starts)
     # A walk's visits are compared with the other's on the scale of one seed's restart.
     x = np.where(out > 0, x / np.maximum(out, 1e-300), 0.0) * np.array([toxic.sum(), (~toxic).sum()])[:, None]
     spark = docs.sparkSession
-    each = spark.createDataFrame([(i, float(a), float(b), bool(c)) for i, (a, b, c) in enumerate(zip(x[0], x[1], toxic))], "seed int, up double, down double, bad boolean")
-    met = edges.join(F.broadcast(each), "seed").groupBy("word").agg(F.sum(F.col("up") * F.col("weight")).alias("up"), F.sum(F.col("down") * F.col("weight")).alias("down"), F.sum(F.when(F.col("bad"), F.col("n")).otherwise(0)).alias("n"), F.first("df").alias("df"))
-    polarity = (F.col("up") - F.col("down")) / (F.col("up") + F.col("down")) * F.least(F.lit(1.0), F.col("n") / F.col("df"))
+    each = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(zip(x[0], x[1]))], "seed int, up double, down double")
+    met = edges.join(F.broadcast(each), "seed").groupBy("word").agg(F.sum(F.col("up") * F.col("weight")).alias("up"), F.sum(F.col("down") * F.col("weight")).alias("down"), F.first("near").alias("near"), F.first("df").alias("df"))
+    polarity = (F.col("up") - F.col("down")) / (F.col("up") + F.col("down")) * F.col("near") / (F.col("df") + 1)
     own = spark.createDataFrame([(int(k), float(2 * s - 1)) for k, s in zip(seeds.view(np.int64)[toxic], sure[toxic])], "word long, polarity double")
     lexicon = met.select("word", polarity.alias("polarity")).unionByName(own).groupBy("word").agg(F.max("polarity").alias("polarity")).where("polarity > 0")
     return cut(lexicon), known

@@ -208,6 +208,33 @@ def test_rare_toxic_words_count(spark):
     assert sum(x["predicted"] for x in got.values()) == len(bad | unlabelled)
 
 
+def test_pairs_of_few_documents_have_edges_and_polarity(spark):
+    """Without a floor given, every pair with a PMI over zero is an edge, also of one or two documents, and reaches the lexicon."""
+    rows, labels = corpus()
+    rows = [*rows, (800, "so vile qqonce one"), (801, "some nasty qqtwice rotten things"), (802, "other qqtwice words")]
+    df = spark.createDataFrame([*rows, (900, None)], "doc_id long, text string").repartition(3)
+    words = [re.findall(r"[a-z]+", t.lower()) for _, t in rows]
+    single = Counter(w for x in words for w in set(x))
+    key = dict(zip(single, keys_of(list(single)).tolist()))
+    names = sorted(["vile", "nasty", "rotten", *[w for w, _ in single.most_common(14)][-4:]], key=key.get)
+    marked = np.array([s in ("vile", "nasty", "rotten") for s in names])
+    near, some = Counter(), Counter()
+    for x in words:
+        pairs = {(x[i + k], x[i]) for i in range(len(x)) for k in range(-5, 6) if k and 0 <= i + k < len(x) and x[i] in names and x[i + k] != x[i]}
+        near.update(pairs)
+        some.update({w for w, s in pairs if marked[names.index(s)]})
+    n = len(rows) + 1
+    want = {(key[w], names.index(s)): (c, single[w], some[w]) for (w, s), c in near.items() if c * n > single[w] * single[s]}
+    got = toxicity.seed_graph(df, np.array([key[s] for s in names], np.uint64), marked=marked).collect()
+    assert {(r["word"] % 2**64, r["seed"]) for r in got} == want.keys() and min(c for c, _, _ in want.values()) == 1
+    assert {(r["word"] % 2**64, r["seed"]): (r["n"], r["df"], r["near"]) for r in got} == want
+
+    known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    lexicon = {r["word"] % 2**64: r["polarity"] for r in toxicity.induce(df, known)[0].collect()}
+    # In one of one and in one of two documents near toxic seeds, however many of these.
+    assert 0.3 < lexicon[key["qqonce"]] <= 1 / 2 and 0.2 < lexicon[key["qqtwice"]] <= 1 / 3
+
+
 def test_lexicon_in_pieces_scores_alike(spark, monkeypatch):
     rows, labels = corpus()
     docs = spark.createDataFrame([*rows[:200], (700, "vile " * 100_000)], "doc_id long, text string")
