@@ -13,9 +13,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 MODES = ("exact", "prefix", "substring", "fuzzy", "library_fuzzy")
 #: Query terms a pass over the vocabulary; more go in blocks.
 BLOCK = 256
+#: Rows of a broadcast side at most; larger ones are joined by exchanges.
+BROADCAST_KEYS = 200_000
 
 QueryTerm = tuple[int, int, str]
 
@@ -78,13 +82,32 @@ def delete_neighbourhood(term: Column, most: int = 2) -> Column:
     return out
 
 
+def _segment(size: Column, k: Column, most: int) -> tuple[Column, Column]:
+    """Start and length of the segment number `k` of a string of `size` characters cut into `most` + 1; the last ones are the longer ones."""
+    parts = most + 1
+    least, more = F.floor(size / parts).cast("int"), (size % parts).cast("int")
+    before = F.greatest(k - (parts - more), F.lit(0))
+    return k * least + before, least + F.when(k >= parts - more, 1).otherwise(0)
+
+
 def fuzzy_join(vocab: DataFrame, queries: DataFrame, most: int = 2) -> DataFrame:
     """(qt, term, distance) for query terms held in a table, queries(qt), of any number.
 
-    Terms within distance d share a string that both become by deleting up to d
-    characters; an equi-join on those finds the candidates, which are verified.
+    A term is cut into `most` + 1 segments, so within that distance one of them
+    stands unchanged in the query, at most `most` places away.  Each term has as
+    many keys as segments, each query those of all lengths and places that can
+    match; an equi-join on them finds the candidates, which are verified.  Keys
+    of up to BROADCAST_KEYS are broadcast, so the vocabulary isn't shuffled.
     """
-    left = vocab.select("term", F.explode(delete_neighbourhood(F.col("term"), most)).alias("_key"))
-    right = queries.select("qt").distinct().select("qt", F.explode(delete_neighbourhood(F.col("qt"), most)).alias("_key"))
-    pairs = left.join(right, "_key").select("qt", "term").distinct()
-    return pairs.withColumn("distance", F.levenshtein("term", "qt", most)).where("distance >= 0")
+    places = F.sequence(F.lit(0), F.lit(most))
+    number, at, size = F.col("_number"), F.col("_at"), F.col("_size")
+    first, many = _segment(size, number, most)
+    left = vocab.select("term", F.length("term").alias("_size"), F.explode(places).alias("_number")).select("term", "_size", "_number", F.substr("term", first + 1, many).alias("_key"))
+    ways = F.sequence(F.lit(-most), F.lit(most))
+    sizes = queries.select("qt").where("qt is not null").distinct().select("qt", F.explode(ways).alias("_d")).select("qt", (F.length("qt") + F.col("_d")).alias("_size")).where("_size >= 0")
+    spots = sizes.select("*", F.explode(places).alias("_number")).select("*", F.explode(ways).alias("_d")).withColumns({"_at": first + F.col("_d"), "_many": many})
+    inside = spots.where((at >= 0) & (at + F.col("_many") <= F.length("qt")))
+    right = cut(inside.select("qt", "_size", "_number", F.substr("qt", at + 1, F.col("_many")).alias("_key")).distinct())
+    right = F.broadcast(right) if right.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else right.hint("merge")
+    pairs = left.join(right, ["_size", "_number", "_key"]).select("qt", "term").withColumn("distance", F.levenshtein("term", "qt", most))
+    return pairs.where("distance >= 0").distinct()
