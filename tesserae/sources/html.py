@@ -10,18 +10,18 @@ from ..functions import text as tx
 _ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
 
 
-def plain(c: Column) -> Column:
-    """Markup as text: tags become spaces, the common references are decoded, white space is single spaces."""
+def plain(c: Column, references: tuple[str, ...] | None = None) -> Column:
+    """Markup as text: tags become spaces, the common references (or those named) are decoded, white space is single spaces."""
     c = F.regexp_replace(c, "<[^>]*>", " ")
-    for a, b in _ENTITIES:
+    for a, b in _ENTITIES if references is None else [x for x in _ENTITIES if x[0] in references]:
         c = F.replace(c, F.lit(a), F.lit(b))
     return F.trim(F.regexp_replace(c, r"\s+", " "))
 
 
-def page_title(html: Column) -> Column:
-    """The first h1, else the title element without its last " - suffix" or " | suffix", else Untitled."""
-    h1 = plain(F.regexp_extract(html, r"(?is)<h1[^>]*>(.*?)</h1>", 1))
-    head = F.regexp_replace(plain(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)), r"\s+[-|]\s+[^-|]*$", "")
+def page_title(html: Column, references: tuple[str, ...] | None = None) -> Column:
+    """The first h1, else the title element without its last " - suffix" or " | suffix", else Untitled; `references` as for plain()."""
+    h1 = plain(F.regexp_extract(html, r"(?is)<h1[^>]*>(.*?)</h1>", 1), references)
+    head = F.regexp_replace(plain(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1), references), r"\s+[-|]\s+[^-|]*$", "")
     return F.coalesce(F.nullif(h1, F.lit("")), F.nullif(head, F.lit("")), F.lit("Untitled"))
 
 
@@ -32,14 +32,15 @@ def page_text(html: Column) -> Column:
     return plain(html)
 
 
-def page_sections(pages: DataFrame) -> DataFrame:
+def page_sections(pages: DataFrame, references: tuple[str, ...] | None = None) -> DataFrame:
     """(page_id, seq, level, section_id, heading, content): each h1 to h6 with what follows up to the next.
 
-    The id is the tag's own, else the heading's slug.
+    The id is the tag's own, else the heading's slug.  `references` are those
+    that headings decode, as for plain().
     """
     parts = F.regexp_extract_all("html", F.lit(r"(?is)(<h[1-6][^>]*>.*?</h[1-6]>.*?)(?=<h[1-6][\s>]|\z)"), F.lit(1))
     rows = pages.select("page_id", F.posexplode(parts).alias("seq", "part"))
-    heading = plain(F.regexp_extract("part", r"(?is)^<h[1-6][^>]*>(.*?)</h[1-6]>", 1))
+    heading = plain(F.regexp_extract("part", r"(?is)^<h[1-6][^>]*>(.*?)</h[1-6]>", 1), references)
     own = F.nullif(F.regexp_extract("part", r"(?is)^<h[1-6][^>]*\bid=[\"']([^\"']+)[\"']", 1), F.lit(""))
     content = page_text(F.regexp_replace("part", r"(?is)^<h[1-6][^>]*>.*?</h[1-6]>", ""))
     return rows.select("page_id", "seq", F.regexp_extract("part", "(?i)^<h([1-6])", 1).cast("int").alias("level"), F.coalesce(own, tx.slugify(heading)).alias("section_id"), heading.alias("heading"), content.alias("content"))

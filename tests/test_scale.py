@@ -2,7 +2,11 @@
 
 import random
 
+import pytest
+
 import naive
+import oracle
+from tesserae import catalogue
 from tesserae.operators.match import fuzzy_join
 
 
@@ -18,3 +22,12 @@ def test_fuzzy_join_never_broadcasts_the_vocabulary(spark, tmp_path):
         assert {tuple(x) for x in found.select("qt", "term", "distance").collect()} == want
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "BuildRight" in plan and "BuildLeft" not in plan
+
+
+@pytest.mark.parametrize("name", ["html_sections"])
+def test_references_are_decoded_as_in_sql(spark, tmp_path, name):
+    heads = ["a &quot;b&quot; &amp;amp; c", "x &lt;y&gt;", "&#39;s&nbsp;t", "&amp;lt; <b>bold</b>"]
+    pages = [(i, f"https://a.org/{i}", f"<p>z</p><h1 class='t'>{h}</h1><p>y &quot;</p>") for i, h in enumerate(heads)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    df = catalogue.QUERIES[name](spark, str(tmp_path))
+    assert oracle.differences(df, oracle.connect(str(tmp_path)), catalogue.ORACLES[name]) == ""
