@@ -5,10 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..schema import CONTENT, HEADING, LIBRARY, STORED, TITLE
 
@@ -51,32 +50,28 @@ def fuzzy_penalty(score: Column, distance: Column) -> Column:
     return score * (1.0 / (1.0 + distance))
 
 
-def custom_scores(postings: DataFrame, docs: DataFrame, function: Callable[[dict], float], name: str = "score") -> DataFrame:
-    """`postings` with column `name` set by a user's function of each match.
+#: What a user's function is told of a document, besides its id, where the corpus has it.
+DOC_COLUMNS = ("title", "excerpt", "href", "kind", "category", "author", "tags")
+
+
+def custom_score(tokens: pa.RecordBatch, docs: list[dict], row: np.ndarray, function: Callable[[dict], float]) -> pa.Array:
+    """Scores of tokens by a user's function of each match; docs[row[i]] is the document of token i.
 
     The function gets a dict {"term", "doc": {...}, "match": {"fieldType",
     "headingLevel", "sectionId", "offset", "textLength"}} and returns a number;
     it is floored, negative numbers count as 0, and a result that isn't finite
-    ends the job.  Rows go in Arrow batches (spark.sql.execution.arrow
-    .maxRecordsPerBatch sets their size).
+    ends the job.  Functions are called where the tokens are made, so a document
+    goes to Python once and nothing is exchanged.
     """
-
-    @F.pandas_udf(T.IntegerType())
-    def run(context: pd.DataFrame) -> pd.Series:
-        values = []
-        for row in context.to_dict("records"):
-            doc = row["doc"]
-            values.append(function({"term": row["term"], "doc": doc if isinstance(doc, dict) else doc.asDict(), "match": row["match"] if isinstance(row["match"], dict) else row["match"].asDict()}))
-        x = np.array(values, np.float64)
-        if not np.isfinite(x).all():
-            raise ValueError("the scoring function gave a number that isn't finite")
-        return pd.Series(np.floor(np.maximum(x, 0)).astype(np.int64))
-
-    columns = [c for c in ("title", "excerpt", "href", "kind", "category", "author", "tags") if c in docs.columns]
-    info = docs.select("doc_id", F.struct("doc_id", *columns).alias("_doc"))
-    match = F.struct(F.col("field_type").alias("fieldType"), F.col("heading_level").alias("headingLevel"), F.col("section_id").alias("sectionId"), "offset", F.col("text_len").alias("textLength"))
-    joined = postings.join(info, "doc_id")
-    return joined.withColumn(name, run(F.struct("term", F.col("_doc").alias("doc"), match.alias("match")))).drop("_doc")
+    columns = [tokens.column(c).to_pylist() for c in ("term", "field_type", "heading_level", "section_id", "offset", "text_len")]
+    values = [
+        function({"term": term, "doc": dict(docs[r]), "match": {"fieldType": field, "headingLevel": level, "sectionId": section, "offset": offset, "textLength": length}})
+        for r, term, field, level, section, offset, length in zip(row.tolist(), *columns)
+    ]
+    x = np.array(values, np.float64)
+    if not np.isfinite(x).all():
+        raise ValueError("the scoring function gave a number that isn't finite")
+    return pa.array(np.floor(np.maximum(x, 0)).astype(np.int64)).cast(pa.int32())
 
 
 def default_function(context: dict) -> float:

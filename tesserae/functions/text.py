@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import json
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from importlib import resources
 
@@ -23,9 +23,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as St
 
 from . import kernels
+from .scoring import custom_score
 
 #: Code-point ranges that normalization removes, besides what decomposition leaves to them.
 MARKS = ((0x0300, 0x036F), (0x0900, 0x097F), (0x0C00, 0x0C7F), (0x1DC0, 0x1DFF), (0x20D0, 0x20FF), (0xFE20, 0xFE2F))
+#: Bytes of text in a segment of tokens that is sorted by term.
+SEGMENT = 1 << 22
 _MARK_CLASS = "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in MARKS) + "]"
 
 
@@ -96,13 +99,19 @@ def _letter_table() -> np.ndarray:
     return table
 
 
-def tokenize(docs: DataFrame, stop: frozenset[str] | None = None, id_col: str = "doc_id", text_col: str = "text", boundaries_col: str | None = None) -> DataFrame:
+def tokenize(docs: DataFrame, stop: frozenset[str] | None = None, id_col: str = "doc_id", text_col: str = "text", boundaries_col: str | None = None, by_term: bool = False, score: Callable[[dict], float] | None = None, info: tuple[str, ...] = ()) -> DataFrame:
     """The tokens of every document: doc_id, term, offset (bytes), text_len (bytes), field_type, section_id, heading_level.
 
     A token is a maximal alphanumeric run, normalized; empty ones and stop words
     are left out.  Its field is that of the first boundary of the list that has
     its offset, else content without section at level 5.  Nothing is shuffled.
     A null text has no tokens.
+
+    With `by_term` the tokens come in segments of whole documents, SEGMENT bytes
+    of text long, each sorted by term, with column `first`: whether it is the
+    term's first in its document.  `score` is a user's function (see
+    scoring.custom_score) that gives column `score`; it is told the columns `info`
+    of a token's document.
     """
     drop = stop_words() if stop is None else stop
     kind = docs.schema[id_col].dataType.simpleString()
@@ -110,16 +119,21 @@ def tokenize(docs: DataFrame, stop: frozenset[str] | None = None, id_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, off = kernels.buffers(batch.column("text"))
-            for i, j in kernels.row_ranges(off):
+            for i, j in kernels.row_ranges(off, SEGMENT if by_term else 1 << 21):
                 bounds = batch.column("bounds").slice(i, j - i) if boundaries_col else None
-                yield _tokens(batch.column("doc_id").slice(i, j - i), data[off[i] : off[j]], off[i : j + 1] - off[i], bounds, drop)
+                ids = batch.column("doc_id").slice(i, j - i)
+                found, row = _tokens(ids, data[off[i] : off[j]], off[i : j + 1] - off[i], bounds, drop, by_term)
+                if score is not None:
+                    docs_of = pa.RecordBatch.from_arrays([ids, *[batch.column(c).slice(i, j - i) for c in info]], ["doc_id", *info]).to_pylist()
+                    found = found.append_column("score", custom_score(found, docs_of, row, score))
+                yield found
 
-    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *([F.col(boundaries_col).alias("bounds")] if boundaries_col else []))
-    return source.mapInArrow(run, f"doc_id {kind}, term string, offset long, text_len long, field_type string, section_id string, heading_level int")
+    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *info, *([F.col(boundaries_col).alias("bounds")] if boundaries_col else []))
+    return source.mapInArrow(run, f"doc_id {kind}, term string, offset long, text_len long, field_type string, section_id string, heading_level int" + (", first boolean" if by_term else "") + (", score int" if score is not None else ""))
 
 
-def _tokens(ids: pa.Array, data: np.ndarray, off: np.ndarray, bounds: pa.Array | None, drop: frozenset[str]) -> pa.RecordBatch:
-    """Tokens of some rows, as arrays; only distinct words are normalized one by one."""
+def _tokens(ids: pa.Array, data: np.ndarray, off: np.ndarray, bounds: pa.Array | None, drop: frozenset[str], by_term: bool = False) -> tuple[pa.RecordBatch, np.ndarray]:
+    """Tokens of some rows, as arrays, and the row of each; only distinct words are normalized one by one."""
     cp = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le", "surrogatepass"), np.uint32)
     lead = np.flatnonzero((data & 0xC0) != 0x80)
     edges = np.searchsorted(lead, off)
@@ -129,6 +143,11 @@ def _tokens(ids: pa.Array, data: np.ndarray, off: np.ndarray, bounds: pa.Array |
     distinct = [normalize_text(raw[4 * a : 4 * b].decode("utf-32-le", "surrogatepass")) for a, b in zip(starts[one].tolist(), ends[one].tolist())]
     wanted = np.array([bool(t) and t not in drop for t in distinct], bool)
     keep = np.flatnonzero(wanted[inverse]) if len(wanted) else np.zeros(0, np.int64)
+    if by_term:
+        ordered = {t: n for n, t in enumerate(sorted(set(distinct)))}
+        order = np.array([ordered[t] for t in distinct], np.int32)[inverse[keep]] if len(keep) else np.zeros(0, np.int32)
+        sort = np.argsort(order, kind="stable")
+        keep, order = keep[sort], order[sort]
     row = np.searchsorted(edges, starts[keep], "right") - 1
     offset = lead[starts[keep]] - off[row]
     place = np.full(len(keep), -1, np.int64)
@@ -157,7 +176,12 @@ def _tokens(ids: pa.Array, data: np.ndarray, off: np.ndarray, bounds: pa.Array |
     level = pc.if_else(missing, pa.scalar(5, pa.int32()), take("headingLevel"))
     terms = pa.array(distinct, pa.string()).take(pa.array(inverse[keep])) if distinct else pa.array([], pa.string())
     columns = [ids.take(pa.array(row)), terms, pa.array(offset, pa.int64()), pa.array(np.diff(off)[row], pa.int64()), field, take("sectionId"), level]
-    return pa.RecordBatch.from_arrays(columns, ["doc_id", "term", "offset", "text_len", "field_type", "section_id", "heading_level"])
+    names = ["doc_id", "term", "offset", "text_len", "field_type", "section_id", "heading_level"]
+    if by_term:
+        first = np.ones(len(keep), bool)
+        first[1:] = (order[1:] != order[:-1]) | (row[1:] != row[:-1])
+        columns, names = [*columns, pa.array(first)], [*names, "first"]
+    return pa.RecordBatch.from_arrays(columns, names), row
 
 
 def tokenize_native(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scoring, text
@@ -25,29 +25,48 @@ TABLES = ("docs", "boundaries", "postings", "vocab", "sections")
 def dense_index(df: DataFrame, order: list[str], name: str, start: int = 0) -> DataFrame:
     """`df` with column `name`: the row's number, from `start`, in the order of `order`.
 
-    Rows are range-partitioned and numbered within their partition; only the
-    partitions' counts go to the driver.
+    Rows are range-partitioned and numbered within their partition, in the
+    exchange that orders them; only the partitions' counts go to the driver.
     """
-    sorted_rows = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()))
-    counts = {r["_part"]: r["count"] for r in sorted_rows.groupBy("_part").count().collect()}
+    # The number that Spark gives a row has its partition above 33 bits and its place in it below.
+    sorted_rows = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_row", F.monotonically_increasing_id()))
+    part = F.shiftright("_row", 33).cast("int")
+    counts = {r["_part"]: r["count"] for r in sorted_rows.groupBy(part.alias("_part")).count().collect()}
     rows, at = [], start
-    for part in sorted(counts):
-        rows.append((part, at))
-        at += counts[part]
+    for p in sorted(counts):
+        rows.append((p, at))
+        at += counts[p]
     starts = df.sparkSession.createDataFrame(rows or [(-1, 0)], "_part int, _start long")
-    place = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    return sorted_rows.join(F.broadcast(starts), "_part").withColumn(name, (F.col("_start") + place - 1).cast("long")).drop("_part", "_start")
+    place = F.col("_row").bitwiseAND(F.lit((1 << 33) - 1))
+    return sorted_rows.withColumn("_part", part).join(F.broadcast(starts), "_part").withColumn(name, (F.col("_start") + place).cast("long")).drop("_part", "_start", "_row")
 
 
 def postings(docs: DataFrame, stop: frozenset[str] | None = None, boundaries_col: str | None = "boundaries") -> DataFrame:
     """Every token of docs(doc_id, text, boundaries) with its field, match type, stored and library score."""
     ship(docs.sparkSession)
-    tokens = text.tokenize(spread(docs), stop, boundaries_col=boundaries_col)
-    return (
-        tokens.withColumn("match_type", scoring.match_type(F.col("heading_level")))
-        .withColumn("base_score", scoring.final_score(F.col("field_type"), F.col("offset"), F.col("text_len")))
-        .withColumn("score", scoring.stored_score(F.col("field_type"), F.col("offset"), F.col("text_len")))
-    )
+    return with_base_score(_scored(text.tokenize(spread(docs), stop, boundaries_col=boundaries_col)))
+
+
+def _scored(tokens: DataFrame) -> DataFrame:
+    scored = tokens.withColumn("match_type", scoring.match_type(F.col("heading_level")))
+    return scored if "score" in tokens.columns else scored.withColumn("score", scoring.stored_score(F.col("field_type"), F.col("offset"), F.col("text_len")))
+
+
+def segments(docs: DataFrame, stop: frozenset[str] | None = None, boundaries_col: str | None = "boundaries", scorer: Callable[[dict], float] | None = None) -> DataFrame:
+    """postings() as save() lays them out: segments of whole documents, each sorted by term, with `first` and without the library score, which follows from the rest.
+
+    `scorer` is a user's function that scores each match instead of the stored score.
+    """
+    ship(docs.sparkSession)
+    info = tuple(c for c in scoring.DOC_COLUMNS if c in docs.columns) if scorer is not None else ()
+    return _scored(text.tokenize(spread(docs), stop, boundaries_col=boundaries_col, by_term=True, score=scorer, info=info))
+
+
+def with_base_score(post: DataFrame) -> DataFrame:
+    """`post` with the library score, where it isn't stored."""
+    if "base_score" in post.columns:
+        return post
+    return post.drop("first").withColumn("base_score", scoring.final_score(F.col("field_type"), F.col("offset"), F.col("text_len")))
 
 
 def posting_order() -> list:
@@ -95,14 +114,20 @@ def checksum(df: DataFrame) -> int:
 
 
 def vocabulary(post: DataFrame) -> DataFrame:
-    """(term_idx, term, term_len, doc_freq) of all terms, numbered in byte order."""
-    terms = cut(post.groupBy("term").agg(F.countDistinct("doc_id").alias("doc_freq")).withColumn("term_len", F.octet_length("term")))
+    """(term_idx, term, term_len, doc_freq) of all terms, numbered in byte order.
+
+    Where `post` has the column `first`, a term's documents are the rows that
+    have it set: one row for each term and task is exchanged, not one for each
+    term and document.
+    """
+    documents = F.coalesce(F.sum((F.col("first") & F.col("doc_id").isNotNull()).cast("long")), F.lit(0)) if "first" in post.columns else F.countDistinct("doc_id")
+    terms = cut(post.groupBy("term").agg(documents.alias("doc_freq")).withColumn("term_len", F.octet_length("term")))
     return dense_index(terms, ["term"], "term_idx").select("term_idx", "term", "term_len", "doc_freq")
 
 
-def section_table(docs: DataFrame, boundaries_col: str = "boundaries") -> DataFrame:
+def section_table(boundaries: DataFrame) -> DataFrame:
     """(section_idx, section_id): the distinct section ids of all boundaries, from 1; 0 stands for none."""
-    ids = docs.select(F.explode(boundaries_col).alias("b")).select(F.col("b.sectionId").alias("section_id")).where("section_id is not null").distinct()
+    ids = boundaries.select("section_id").where("section_id is not null").distinct()
     return dense_index(ids, ["section_id"], "section_idx", 1).select("section_idx", "section_id")
 
 
@@ -142,9 +167,16 @@ class Index:
     boundaries: DataFrame
     postings: DataFrame
     stored_vocab: DataFrame | None
-    sections: DataFrame
-    #: Names the terms whose postings save() deals over all parts.
-    hot: Callable[[], list[str]] | None = None
+    stored_sections: DataFrame | None
+    #: The postings as save() lays them out; without it, save() lays `postings` out by term.
+    segments: DataFrame | None = None
+
+    @property
+    def sections(self) -> DataFrame:
+        """The stored section table, or, for an index that isn't saved, one made on first use."""
+        if self.stored_sections is None:
+            self.stored_sections = section_table(self.boundaries)
+        return self.stored_sections
 
     @property
     def vocab(self) -> DataFrame:
@@ -157,23 +189,29 @@ class Index:
     def build(cls, docs: DataFrame, rule: str | dict = "*", kept_fields: list[str] | None = None, stop: frozenset[str] | None = None, scorer=None) -> "Index":
         """Index of docs(doc_id, title, text, boundaries array, ...), filtered by an index definition."""
         chosen = fields(include(docs, rule), kept_fields)
-        post = postings(chosen, stop)
-        if scorer is not None:
-            post = scoring.custom_scores(post, chosen, scorer)
+        laid = segments(chosen, stop, scorer=scorer)
         bounds = chosen.select("doc_id", F.explode("boundaries").alias("b")).select("doc_id", F.col("b.start").alias("start"), F.col("b.end").alias("end"), F.col("b.fieldType").alias("field_type"), F.col("b.sectionId").alias("section_id"), F.col("b.headingLevel").alias("heading_level"))
         meta = chosen.withColumn("text_len", F.octet_length(F.coalesce("text", F.lit("")))).drop("text", "boundaries")
-        return cls(meta, bounds, post, None, section_table(chosen), lambda: hot_terms(chosen, shuffle_parts(docs.sparkSession), stop))
+        return cls(meta, bounds, with_base_score(laid), None, None, laid)
 
     def save(self, path: str, check: bool = False) -> "Index":
-        """Writes the tables, their counts and, if `check`, their checksums; returns the index as read back."""
+        """Writes the tables, their counts and, if `check`, their checksums; returns the index as read back.
+
+        Segments are written as they come, so postings aren't exchanged; pages of
+        files sorted by term are skipped by their statistics.
+        """
         spark = self.docs.sparkSession
-        # By hash, as range partitioning would tokenize twice; files sorted by term are skipped by row group as well.
-        by_term(self.postings, self.hot() if self.hot else [], shuffle_parts(spark)).write.mode("overwrite").parquet(f"{path}/postings")
-        stored = spark.read.parquet(f"{path}/postings")
-        vocabulary(stored).write.mode("overwrite").parquet(f"{path}/vocab")
-        for name in ("docs", "boundaries", "sections"):
+        laid = by_term(self.postings, [], shuffle_parts(spark)) if self.segments is None else self.segments
+        laid.write.mode("overwrite").parquet(f"{path}/postings")
+        for name in ("docs", "boundaries"):
             getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
-        tables = {name: spark.read.parquet(f"{path}/{name}") for name in TABLES}
+        stored, docs, bounds = (spark.read.parquet(f"{path}/{name}") for name in ("postings", "docs", "boundaries"))
+        if "first" in stored.columns and not docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").isEmpty():
+            # Documents that share an id may lie in several segments.
+            stored = stored.drop("first")
+        vocabulary(stored).write.mode("overwrite").parquet(f"{path}/vocab")
+        (section_table(bounds) if self.stored_sections is None else self.stored_sections).write.mode("overwrite").parquet(f"{path}/sections")
+        tables = {name: with_base_score(t) if name == "postings" else t for name in TABLES for t in [spark.read.parquet(f"{path}/{name}")]}
         counts = {name: t.count() for name, t in tables.items()}
         sums = {name: checksum(t) for name, t in tables.items()} if check else None
         spark.createDataFrame([(FORMAT_VERSION, json.dumps(counts), json.dumps(sums))], "version int, counts string, sums string").coalesce(1).write.mode("overwrite").json(f"{path}/meta")
@@ -232,6 +270,8 @@ class IncrementalLoader:
         if name not in TABLES:
             raise ValueError(f"an index has the tables {TABLES}")
         df = self.spark.read.parquet(f"{self.path}/{name}")
+        if name == "postings":
+            df = with_base_score(df)
         if check:
             if df.count() != self.header["counts"][name]:
                 raise ValueError(f"table {name} at {self.path} doesn't have {self.header['counts'][name]} rows")

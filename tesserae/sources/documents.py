@@ -64,7 +64,7 @@ def document_corpus(documents: DataFrame, chars: bool = False) -> DataFrame:
     Boundaries count bytes, or characters if `chars`.  Rows without text are left out.
     """
     size = F.length if chars else F.octet_length
-    title = F.split("text", "\n")[0]
+    title = F.substring_index("text", "\n", 1)
     head, whole = size(title), size("text")
     bounds = F.filter(F.array(boundary(F.lit(0), head, "title", None, 0), boundary(head + 1, whole, "content", "body", 5)), lambda b: b["start"] < b["end"])
     return documents.where("text is not null").select("doc_id", title.alias("title"), "source", "text", bounds.alias("boundaries"))
