@@ -82,6 +82,11 @@ def delete_neighbourhood(term: Column, most: int = 2) -> Column:
     return out
 
 
+def small(rows: DataFrame) -> DataFrame:
+    """`rows`, which are computed already, marked for a broadcast if there are up to BROADCAST_KEYS, else for exchanges."""
+    return F.broadcast(rows) if rows.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else rows.hint("merge")
+
+
 def _segment(size: Column, k: Column, most: int) -> tuple[Column, Column]:
     """Start and length of the segment number `k` of a string of `size` characters cut into `most` + 1; the last ones are the longer ones."""
     parts = most + 1
@@ -108,6 +113,6 @@ def fuzzy_join(vocab: DataFrame, queries: DataFrame, most: int = 2) -> DataFrame
     spots = sizes.select("*", F.explode(places).alias("_number")).select("*", F.explode(ways).alias("_d")).withColumns({"_at": first + F.col("_d"), "_many": many})
     inside = spots.where((at >= 0) & (at + F.col("_many") <= F.length("qt")))
     right = cut(inside.select("qt", "_size", "_number", F.substr("qt", at + 1, F.col("_many")).alias("_key")).distinct())
-    right = F.broadcast(right) if right.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else right.hint("merge")
+    right = small(right)
     pairs = left.join(right, ["_size", "_number", "_key"]).select("qt", "term").withColumn("distance", F.levenshtein("term", "qt", most))
     return pairs.where("distance >= 0").distinct()

@@ -52,10 +52,10 @@ def accumulate(hits: DataFrame, n_terms: DataFrame, titles: DataFrame, limit: in
     return top(sections.join(titles, "doc_id"), [*result_order(), F.asc("section_id")], limit)
 
 
-def first_posting(hits: DataFrame, limit: int) -> DataFrame:
+def first_posting(hits: DataFrame, titles: DataFrame, limit: int) -> DataFrame:
     """Exact single-term results: each document's best posting, in posting order."""
     one = Window.partitionBy("query_id", "doc_id").orderBy(F.desc("score"), F.desc("base_score"), F.asc("offset"))
-    return top(hits.withColumn("_n", F.row_number().over(one)).where("_n = 1").drop("_n"), [F.desc("score"), F.asc("doc_id")], limit)
+    return top(hits.withColumn("_n", F.row_number().over(one)).where("_n = 1").drop("_n").join(titles, "doc_id"), [F.desc("score"), F.asc("doc_id")], limit)
 
 
 def prefix_fold(hits: DataFrame, titles: DataFrame, limit: int) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import scoring, text
 from ..operators import rank
 from ..operators.index import Index, select_mode
-from ..operators.match import QueryTerm, match_terms
+from ..operators.match import QueryTerm, match_terms, small
 from ..session import cut
 
 RESULT = ["query_id", "rank", "doc_id", "score", "section_idx", "tier", "match_type", "matched_term"]
@@ -62,7 +62,7 @@ class Engine:
             hits = match_terms(post, terms, "exact", keep=True)
         else:
             found = match_terms(self.index.vocab, terms, "prefix" if tier == 2 else "fuzzy")
-            hits = post.join(found.where("distance > 0") if tier == 3 else found, "term")
+            hits = post.join(small(cut(found.where("distance > 0") if tier == 3 else found)), "term")
         if exclude is not None:
             hits = hits.join(exclude.select("query_id", "doc_id").distinct(), ["query_id", "doc_id"], "left_anti")
         raw = F.col("score").cast("double")
@@ -86,7 +86,7 @@ class Engine:
         if single or not multi:
             hits = self._hits(single, tier, exclude)
             if tier == 1:
-                parts.append(rank.first_posting(hits.join(self.titles, "doc_id"), limit).withColumn("matched_term", F.col("term")))
+                parts.append(rank.first_posting(hits, self.titles, limit).withColumn("matched_term", F.col("term")))
             else:
                 parts.append((rank.prefix_fold if tier == 2 else rank.fuzzy_fold)(hits, self.titles, limit))
         if multi:
@@ -142,10 +142,11 @@ class Engine:
         for tier, kind in enumerate(kinds, 1):
             part = match_terms(self.index.vocab, terms, kind).withColumn("tier", F.lit(tier))
             found = part if found is None else found.unionByName(part)
+        found = cut(found)
         if mode == "hybrid":
             first = found.groupBy("query_id", "term_pos").agg(F.min("tier").alias("tier"))
             found = found.join(first, ["query_id", "term_pos", "tier"])
-        hits = self.index.postings.join(found, "term").select("query_id", "term_pos", "doc_id", F.col("base_score").alias("score"))
+        hits = self.index.postings.join(small(cut(found)), "term").select("query_id", "term_pos", "doc_id", F.col("base_score").alias("score"))
         if exclude is not None:
             hits = hits.join(exclude.select("query_id", "doc_id").distinct(), ["query_id", "doc_id"], "left_anti")
         return rank.library_top(rank.merge_score_sets(hits), self.titles).select("query_id", "rank", "doc_id", "score", "title")
