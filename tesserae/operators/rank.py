@@ -26,6 +26,11 @@ def top(rows: DataFrame, order: list[Column], limit: int, by: list[str] = ["quer
     return ranked.where(F.col("rank") <= limit)
 
 
+def exact_sum(c: str) -> Column:
+    """The sum of a column of floats as a decimal number, whatever the rows' order: equal addends give equal sums, so ties stay ties."""
+    return F.sum(F.col(c).cast("decimal(28,18)")).cast("double")
+
+
 def every(rows: DataFrame) -> DataFrame:
     """All of rows(query_id, doc_id, score, ...) with their rank by score and document; the order is made by ranges, so no task holds a query's rows."""
     placed = dense_index(rows.withColumn("_down", -F.col("score")), ["query_id", "_down", "doc_id"], "_place")
@@ -43,12 +48,12 @@ def accumulate(hits: DataFrame, n_terms: DataFrame, titles: DataFrame, limit: in
     best section (match type, score, then lowest id, none first).
     """
     first = F.struct("match_type", "seq")
-    sections = hits.groupBy("query_id", "doc_id", "section_id").agg(F.sum("score").alias("score"), F.min("match_type").alias("match_type"), F.min_by("term", first).alias("matched_term"), F.collect_set("term_pos").alias("_pos"))
+    sections = hits.groupBy("query_id", "doc_id", "section_id").agg(exact_sum("score").alias("score"), F.min("match_type").alias("match_type"), F.min_by("term", first).alias("matched_term"), F.collect_set("term_pos").alias("_pos"))
     per_doc = hits.groupBy("query_id", "doc_id").agg(F.countDistinct("term_pos").alias("_hit")).join(n_terms, "query_id").where("_hit = n").select("query_id", "doc_id")
     sections = sections.drop("_pos").join(per_doc, ["query_id", "doc_id"])
     if dedup_sections:
         best = F.struct("match_type", -F.col("score"), "section_id")
-        sections = sections.groupBy("query_id", "doc_id").agg(F.min_by("section_id", best).alias("section_id"), F.min_by("matched_term", best).alias("matched_term"), F.min("match_type").alias("match_type"), F.sum("score").alias("score"))
+        sections = sections.groupBy("query_id", "doc_id").agg(F.min_by("section_id", best).alias("section_id"), F.min_by("matched_term", best).alias("matched_term"), F.min("match_type").alias("match_type"), exact_sum("score").alias("score"))
     return top(sections.join(titles, "doc_id"), [*result_order(), F.asc("section_id")], limit)
 
 
@@ -97,7 +102,7 @@ def merge_score_sets(scores: DataFrame) -> DataFrame:
     """Documents that all non-empty terms have: scores(query_id, term_pos, doc_id, score) to the sum over terms of the greatest score."""
     best = scores.groupBy("query_id", "term_pos", "doc_id").agg(F.max("score").alias("score"))
     live = best.groupBy("query_id").agg(F.countDistinct("term_pos").alias("_n"))
-    total = best.groupBy("query_id", "doc_id").agg(F.sum("score").alias("score"), F.count("*").alias("_hit"))
+    total = best.groupBy("query_id", "doc_id").agg(exact_sum("score").alias("score"), F.count("*").alias("_hit"))
     return total.join(live, "query_id").where("_hit = _n").select("query_id", "doc_id", "score")
 
 
