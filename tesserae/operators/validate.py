@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scoring
@@ -13,20 +13,26 @@ from .index import Index
 SECTION_ID = "^[A-Za-z0-9_-]+$"
 
 
-def asof(rows: DataFrame, starts: DataFrame, key: str, at: str, start: str) -> DataFrame:
-    """`rows` with the last `start` of their key that is at or before `at`, by one window over both tables; null if there is none."""
+def asof(rows: DataFrame, starts: DataFrame, key: str, at: str, start: str, place: Column | None = None) -> DataFrame:
+    """`rows` with the last `start` of their key that is at or before `at`, by one window over both tables; null if there is none.
+
+    `place` says where a start is, if it isn't the start itself; of starts at one place the greatest counts.
+    """
     both = rows.withColumn("_at", F.col(at)).withColumn("_kind", F.lit(1)).withColumn(start, F.lit(None).cast(starts.schema[start].dataType))
-    marks = starts.select(key, F.col(start).alias("_at"), F.lit(0).alias("_kind"), F.col(start))
+    marks = starts.select(key, (F.col(start) if place is None else place).alias("_at"), F.lit(0).alias("_kind"), F.col(start))
     every = both.unionByName(marks, allowMissingColumns=True)
-    last = F.last(start, ignorenulls=True).over(Window.partitionBy(key).orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0))
+    last = F.last(start, ignorenulls=True).over(Window.partitionBy(key).orderBy("_at", "_kind", start).rowsBetween(Window.unboundedPreceding, 0))
     return every.withColumn(start, last).where("_kind = 1").drop("_at", "_kind")
 
 
 def section_at(offsets: DataFrame, sections: DataFrame) -> DataFrame:
-    """offsets(doc_id, offset) with the section_id that holds them: the last that starts at or before, if it reaches so far."""
-    found = asof(offsets, sections.select("doc_id", F.struct("start", "end", "section_id").alias("_s"), "start").select("doc_id", F.col("start").cast("long").alias("_start")), "doc_id", "offset", "_start")
-    joined = found.join(sections.select("doc_id", F.col("start").cast("long").alias("_start"), "end", "section_id"), ["doc_id", "_start"], "left")
-    return joined.withColumn("section_id", F.when(F.col("offset") < F.col("end"), F.col("section_id"))).drop("_start", "end")
+    """offsets(doc_id, offset) with the section_id that holds them: the last that starts at or before, if it reaches so far.
+
+    The section goes along in the window, so offsets are exchanged once.
+    """
+    marks = sections.select("doc_id", F.struct(F.col("start").cast("long").alias("start"), "end", "section_id").alias("_section"))
+    found = asof(offsets, marks, "doc_id", "offset", "_section", F.col("_section.start"))
+    return found.withColumn("section_id", F.when(F.col("offset") < F.col("_section.end"), F.col("_section.section_id"))).drop("_section")
 
 
 def sections(bounds: DataFrame, lengths: DataFrame | None = None) -> DataFrame:
