@@ -12,12 +12,14 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from ..functions import scoring, text
 from ..schema import FORMAT_VERSION
 from ..session import cut, ship, shuffle_parts, spread
+from .match import small
 
 TABLES = ("docs", "boundaries", "postings", "vocab", "sections")
 
@@ -74,16 +76,48 @@ def posting_order() -> list:
     return [F.desc("score"), F.asc("doc_id"), F.desc("base_score"), F.asc("offset")]
 
 
+#: Postings of a term that one task ranks; longer lists are ranked piece by piece.
+LIST = 1 << 20
+
+
+def _range_number(c: Column, bounds: list) -> Column:
+    """How many of the sorted `bounds` are below the value, by binary search in nested conditions."""
+
+    def at(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        mid = (low + high) // 2
+        return F.when(c > F.lit(bounds[mid]), at(mid + 1, high)).otherwise(at(low, mid))
+
+    return at(0, len(bounds))
+
+
 def posting_places(post: DataFrame) -> DataFrame:
     """`post` with `place`: each posting's rank in its term's list, from 1.
 
-    Postings are numbered along ranges of term and order, so the list of a
-    common term is dealt over many tasks.
+    Every posting is exchanged once, by term.  Lists of over LIST postings are cut
+    along the order into pieces, by score and by ranges of documents, which are
+    ranked by themselves; the pieces' counts give where each begins.
     """
-    rows = post.withColumns({"_down": -F.col("score"), "_base": -F.col("base_score")})
-    placed = dense_index(rows, ["term", "_down", "doc_id", "_base", "offset"], "_n")
-    first = placed.groupBy("term").agg(F.min("_n").alias("_first"))
-    return placed.join(first, "term").withColumn("place", (F.col("_n") - F.col("_first") + 1).cast("int")).drop("_n", "_first", "_down", "_base")
+    spark, total = post.sparkSession, post.count()
+    parts = max(shuffle_parts(spark), total // (2 * LIST))
+    rank = F.row_number().over(Window.partitionBy("term").orderBy(*posting_order()))
+    long_lists = post.groupBy("term").count().where(F.col("count") > LIST).collect()
+    if not long_lists:
+        return post.repartition(parts, "term").withColumn("place", rank)
+    is_long = F.col("term").isin([r["term"] for r in long_lists])
+    short = post.where(~is_long).repartition(parts, "term").withColumn("place", rank)
+    pieces, rows = 1 + 2 * max(r["count"] for r in long_lists) // LIST, post.where(is_long)
+    bounds = []
+    if isinstance(post.schema["doc_id"].dataType, NumericType):
+        bounds = sorted(set(rows.agg(F.percentile_approx("doc_id", [k / pieces for k in range(1, pieces)], 10_000)).first()[0] or []))
+    key = ["term", "score", "_range"]
+    rows = rows.withColumn("_range", _range_number(F.col("doc_id"), bounds))
+    before = F.sum("count").over(Window.partitionBy("term").orderBy(F.desc("score"), F.asc("_range")).rowsBetween(Window.unboundedPreceding, -1))
+    starts = small(cut(rows.groupBy(*key).count().select(*key, F.coalesce(before, F.lit(0)).alias("_start"))))
+    inside = F.row_number().over(Window.partitionBy(*key).orderBy("doc_id", F.desc("base_score"), "offset"))
+    ranked = rows.repartition(parts, *key).withColumn("_n", inside).join(starts, key)
+    return short.unionByName(ranked.withColumn("place", (F.col("_start") + F.col("_n")).cast("int")).drop("_n", "_range", "_start"))
 
 
 def hot_terms(docs: DataFrame, parts: int, stop: frozenset[str] | None = None, one_in: int = 50) -> list[str]:

@@ -9,7 +9,7 @@ import naive
 import oracle
 from tesserae import catalogue
 from tesserae.operators import index as ix
-from tesserae.operators import rank
+from tesserae.operators import rank, validate
 from tesserae.operators.match import fuzzy_join
 from tesserae.plans import search as sp
 from test_search import corpus, generated
@@ -94,3 +94,24 @@ def test_own_scores_join_nothing(spark):
     titles = {r["doc_id"]: r["title"] for r in docs.collect()}
     rows = post.collect()
     assert len(rows) == ix.postings(docs, frozenset()).count() and all(r["score"] == 3 + r["doc_id"] + 100 * len(titles[r["doc_id"]]) + r["offset"] for r in rows)
+
+
+def test_long_posting_lists_are_ranked_in_pieces(spark, monkeypatch):
+    post = ix.postings(corpus(spark, generated(10, 60)), frozenset())
+    want = {}
+    for r in sorted(post.collect(), key=lambda r: (r["term"], -r["score"], r["doc_id"], -r["base_score"], r["offset"])):
+        want.setdefault(r["term"], []).append((r["doc_id"], r["offset"]))
+    for most in (7, 1 << 20):
+        monkeypatch.setattr(ix, "LIST", most)
+        df = ix.posting_places(post)
+        assert {(r["term"], r["place"], r["doc_id"], r["offset"]) for r in df.collect()} == {(t, n, *x) for t, xs in want.items() for n, x in enumerate(xs, 1)}
+        assert df.count() == post.count() and set(df.columns) == {*post.columns, "place"} and "rangepartitioning" not in plan_of(df)
+    assert max(map(len, want.values())) > 14
+
+
+def test_sections_of_offsets_need_one_exchange(spark):
+    offsets = spark.createDataFrame([(1, 0), (1, 5), (1, 9), (2, 3)], "doc_id long, offset long")
+    bounds = spark.createDataFrame([(1, 0, 4, "a"), (1, 5, 8, "b"), (3, 0, 9, "c")], "doc_id long, start long, end long, section_id string")
+    df = validate.section_at(offsets, bounds)
+    assert {tuple(r) for r in df.select("doc_id", "offset", "section_id").collect()} == {(1, 0, "a"), (1, 5, "b"), (1, 9, None), (2, 3, None)}
+    assert plan_of(df).count("Exchange") == 1 and "Join" not in plan_of(df)
